@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words are runs of characters other than blank, tab, newline, VT, FF and CR.
 SPACES = r"\x20\x09-\x0D"
@@ -54,3 +58,26 @@ def restored(df: DataFrame, names: dict[str, str], **added: Column) -> DataFrame
     taken = {a.lower() for a in added}
     kept = [F.col(new).alias(old) for old, new in names.items() if old.lower() not in taken]
     return df.select(*kept, *(c.alias(a) for a, c in added.items()))
+
+
+def with_python(df: DataFrame, needs: list[str], added: str, start: Callable[[], Callable[..., list]], rows: int = 256) -> DataFrame:
+    """df with the columns `added` (a DDL string), computed from the columns `needs` in Arrow batches of a few rows.
+
+    start() runs once in each task and returns the function from lists of values to lists of values. All other
+    columns pass through as Arrow, untouched.
+    """
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*df.schema.fields, *new.fields])
+    arrow = [to_arrow_type(f.dataType) for f in new.fields]
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = work(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in needs))
+                arrays = [pa.array(x, type=t) for x, t in zip(got, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)
+
+    return df.mapInArrow(run, schema)
