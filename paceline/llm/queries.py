@@ -6,13 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe
+from paceline.llm import bpe, langid
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
 from paceline.llm.topk import top_k
 
 
+def remainder(n: int, which: int):
+    """Whether crc32(doc_id as text) mod n is `which`; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == which, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(3, 1))
+    profiles = langid.learn(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -35,7 +46,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_byte_bpe, op8_topk_search, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op5_byte_bpe, op8_topk_search, op10_sharding)}
 
 ORACLE_SQL = {
     "op8_topk_search": """
