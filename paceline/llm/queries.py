@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, kneser_ney, langid
+from paceline.llm import bpe, kneser_ney, langid, rule_ensemble
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
@@ -28,6 +28,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(4, 2))
+    scored = rule_ensemble.classify(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return kneser_ney.rules(docs).drop("text", "lang", "source", "n_chars")
@@ -51,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op4_quality_rules, op5_byte_bpe, op8_topk_search, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op8_topk_search, op10_sharding)}
 
 ORACLE_SQL = {
     "op8_topk_search": """
