@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, kneser_ney, langid, rule_ensemble
+from paceline.llm import bpe, kneser_ney, langid, rule_ensemble, suffix_dedup
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
@@ -51,13 +51,18 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.encode("text", "UTF-8")).alias("text_crc32")
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op8_topk_search, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op8_topk_search, op9_suffix_dedup, op10_sharding)}
 
 ORACLE_SQL = {
     "op8_topk_search": """
