@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, kneser_ney, langid, rule_ensemble, suffix_dedup
+from paceline.llm import bpe, jaccard, kneser_ney, langid, rule_ensemble, suffix_dedup
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
@@ -47,6 +47,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", ids, text)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.linked(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -62,15 +67,36 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op8_topk_search, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op7_jaccard_join, op8_topk_search, op9_suffix_dedup, op10_sharding)}
+
+#: Whole sets of word 3-grams joined on common n-grams, then the least id that links reach.
+JACCARD_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+        FROM w
+    ), sized AS (SELECT doc_id, len(g) AS n FROM s), e AS (SELECT doc_id, unnest(g) AS t FROM s),
+    p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT x, y FROM p JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)
+    ), r(x, y) AS (
+        SELECT doc_id, doc_id FROM sized UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+    )
+    SELECT r.x AS doc_id, any_value(n) AS n_shingles, min(r.y) AS component_id FROM r JOIN sized ON sized.doc_id = r.x GROUP BY r.x
+"""
 
 ORACLE_SQL = {
+    "op7_jaccard_join": JACCARD_SQL,
     "op8_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS q
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, x -> NOT isfinite(x))) = 0
+              AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
