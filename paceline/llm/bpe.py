@@ -44,6 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 #: What a token may still grow from: the trie's node, the token before it, the tokens since the last emitted one.
 Live = tuple[int, int, tuple[int, ...]]
 START = -1
+MISSING = ()
 
 
 class State:
@@ -60,23 +61,31 @@ class State:
 class Transducer:
     """Bytes of one piece in, ids out; see the module's docstring."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.trie: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token_at: dict[int, int] = {}
-        self.inner: set[int] = set()  # nodes that go on
+        self.token_at: list[int | None] = [None]
+        self.inner = bytearray(1)  # whether a node goes on
         for token, i in ranks.items():
             node = 0
             for byte in token:
-                self.inner.add(node)
-                node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
+                self.inner[node] = 1
+                key = node << 8 | byte
+                node = self.trie.get(key)
+                if node is None:
+                    node = self.trie[key] = len(self.token_at)
+                    self.token_at.append(None)
+                    self.inner.append(0)
             self.token_at[node] = i
         self.halves: dict[int, tuple[int, int]] = {}
         self.valid: dict[tuple[int, int], bool] = {}
+        self.states: dict[tuple[int, bytes], State] = {}
         self.reset()
 
     def reset(self) -> None:
+        for state in self.states.values():
+            state.arrows.clear()  # states refer to each other
         self.start = State(START, b"", [(0, START, ())])
         self.states = {(START, b""): self.start}
 
@@ -126,23 +135,31 @@ class Transducer:
             self.valid[left, right] = found
         return found
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+    def read(self, live: list[Live], data: bytes) -> list[Live]:
+        """What the bytes of data make of the live positions, nothing being emitted."""
         trie, token_at, inner, valid = self.trie, self.token_at, self.inner, self.valid
-        live: list[Live] = []
-        own: Live | None = None
-        for node, before, way in state.live:
-            node = trie.get(node << 8 | byte)
-            if node is None:
-                continue
-            if own is None:
-                token = token_at.get(node)
-                if token is not None:
-                    fits = valid.get((before, token))
-                    if self.fits(before, token) if fits is None else fits:
-                        own = 0, token, (*way, token)
-            if node in inner:
-                live.append((node, before, way))
-        live.append(own)
+        for byte in data:
+            then: list[Live] = []
+            own: Live | None = None
+            for node, before, way in live:
+                node = trie.get(node << 8 | byte)
+                if node is None:
+                    continue
+                if own is None:
+                    token = token_at[node]
+                    if token is not None:
+                        fits = valid.get((before, token))
+                        if self.fits(before, token) if fits is None else fits:
+                            own = 0, token, (*way, token)
+                if inner[node]:
+                    then.append((node, before, way))
+            then.append(own)
+            live = then
+        return live
+
+    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
+        """Make the state's arrow for the byte."""
+        live = self.read(state.live, bytes((byte,)))
         pending, last, emitted = state.pending + bytes((byte,)), state.last, ()
         first = live[0][2]
         if first and all(x[2][:1] == first[:1] for x in live):  # all ways that are left begin with the same tokens
@@ -161,9 +178,15 @@ class Transducer:
         return nxt, emitted
 
     def encode(self, piece: bytes) -> list[int]:
+        """An arrow is made when it is wanted a second time: the first time the rest of a short piece is read without."""
         state, out = self.start, []
-        for byte in piece:
-            state, emitted = state.arrows.get(byte) or self.step(state, byte)
+        for k, byte in enumerate(piece):
+            arrow = state.arrows.get(byte, MISSING)
+            if arrow is MISSING and len(piece) - k <= 24:
+                state.arrows[byte] = None
+                out += self.read(state.live, piece[k:])[-1][2]
+                return out
+            state, emitted = (arrow if arrow else self.step(state, byte))
             if emitted:
                 out += emitted
         out += state.live[-1][2]
@@ -173,7 +196,7 @@ class Transducer:
 class Pieces(dict):
     """Piece to the packed ids of its tokens, filled by the transducer."""
 
-    def __init__(self, transducer: Transducer, most: int = 400_000):
+    def __init__(self, transducer: Transducer, most: int = 300_000):
         super().__init__()
         self.transducer, self.most = transducer, most
 
@@ -246,7 +269,7 @@ def codec(ranks: dict[bytes, int], pattern: str, name: str) -> Codec:
     """One codec per worker process, kept from task to task."""
     if name not in _codecs:
         _codecs.clear()
-        gc.set_threshold(200_000, 20, 50)  # states are many small objects that stay; looking at them often is slow
+        gc.set_threshold(1_000_000, 50, 50)  # states are many small objects that stay; looking at them often is slow
         _codecs[name] = Codec(ranks, pattern)
     return _codecs[name]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, jaccard, kneser_ney, langid, rule_ensemble, suffix_dedup
+from paceline.llm import bpe, jaccard, kneser_ney, langid, line_dedup, rule_ensemble, suffix_dedup
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
@@ -47,6 +47,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", ids, text)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.linked(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
@@ -67,7 +72,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op7_jaccard_join, op8_topk_search, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_suffix_dedup, op10_sharding)}
 
 #: Whole sets of word 3-grams joined on common n-grams, then the least id that links reach.
 JACCARD_SQL = r"""
@@ -89,7 +94,29 @@ JACCARD_SQL = r"""
     SELECT r.x AS doc_id, any_value(n) AS n_shingles, min(r.y) AS component_id FROM r JOIN sized ON sized.doc_id = r.x GROUP BY r.x
 """
 
+#: Runs of 2^k lines with 10 words or more that an earlier place has too.
+LINES_SQL = r"""
+    WITH RECURSIVE l AS (
+        SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+    ), k(n) AS (SELECT 1 UNION ALL SELECT 2 * n FROM k WHERE 2 * n <= (SELECT max(len(ls)) FROM l)),
+    runs AS (
+        SELECT doc_id, n, unnest(range(1, len(ls) - n + 2)) AS pos, ls FROM l, k WHERE n <= len(ls)
+    ), named AS (
+        SELECT doc_id, n, pos, array_to_string(ls[pos : pos + n - 1], chr(10)) AS run FROM runs
+    ), judged AS (
+        SELECT doc_id, n, pos, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) > 1 AS later,
+            len(list_filter(regexp_split_to_array(run, '[ 	-]+'), lambda x: x <> '')) AS words
+        FROM named
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM judged WHERE later AND words >= 10
+    ), per AS (SELECT doc_id, list(pos) AS ps FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+        sha256(array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_contains(ps, i), false)), chr(10))) AS kept_sha256
+    FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
 ORACLE_SQL = {
+    "op6_line_dedup": LINES_SQL,
     "op7_jaccard_join": JACCARD_SQL,
     "op8_topk_search": """
         WITH v AS (
