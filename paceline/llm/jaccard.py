@@ -18,8 +18,8 @@ Pairs are verified on the whole sets: the sets of all that answer one leader are
 groups split by a salt. Groups are connected components by minimum labels with pointer jumping.
 
 Defined cases: null texts and texts without words have no n-grams and are linked with nothing; texts of fewer words
-than n are one n-gram; repeated rows and copies share a group; a null id is never the least id of a group unless all
-ids in it are null; an empty table gives an empty result; columns named like the added ones are replaced.
+than n are one n-gram; repeated rows and copies share a group; a null id is the least id of a group only if all its
+ids are null; an empty table gives an empty result; columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -289,8 +289,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs with n_shingles and component_id, the least id of those reached by links."""
+def _grouped(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -> tuple[DataFrame, dict[str, str]]:
+    """The rows of docs, set aside, with their size, their group (null without n-grams) and its first (id, text hash)."""
     held, names = aside(docs)
     held = held.withColumn("id", F.col(names[key]).cast("long")).withColumn("b", F.xxhash64(names[text]))
     texts = held.select("id", "b", F.col(names[text]).cast("string").alias("text"))
@@ -328,25 +328,26 @@ def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str
     if not more.isEmpty():
         labels = components(cut(links.unionByName(_verified(more, whole, num, den))))
 
-    marked = base.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("id", "b", "sig", "size", F.coalesce("label", "sig").alias("label"))
-    least = marked.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("least"))
-    by_text = marked.filter(F.col("label").isNotNull()).groupBy("b").agg(F.first("label").alias("label"))
-    by_text = by_text.join(least, "label").select("b", "least")
+    marked = base.filter(F.col("sig").isNotNull()).join(labels.withColumnRenamed("v", "sig"), "sig", "left")
+    marked = marked.select("id", "b", F.coalesce("label", "sig").alias("label"))
+    first_of = marked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "b")).alias("first"))
+    by_text = marked.groupBy("b").agg(F.first("label").alias("label")).join(first_of, "label")
     sizes = base.groupBy("b").agg(F.first("size").alias("n_shingles"))
-    found = sizes.join(by_text, "b", "left")
-    out = held.join(found, "b", "left")
-    component = F.coalesce("least", "id")
-    return restored(out, names, n_shingles=F.col("n_shingles"), component_id=component)
+    found = sizes.join(by_text, "b", "left").select("b", "n_shingles", "label", F.col("first.id").alias("least"), F.col("first.b").alias("least_b"))
+    return held.join(found, "b", "left"), names
 
 
-def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs, one for each group of linked documents: that of the least id, of equal ids any one.
+def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs with n_shingles and component_id, the least id of those reached by links."""
+    out, names = _grouped(docs, n, num, den, text, key)
+    return restored(out, names, n_shingles=F.col("n_shingles"), component_id=F.coalesce("least", "id"))
 
-    Rows with a null id all stay, as nothing tells which of them to keep.
-    """
-    held, names = aside(docs)
-    grouped = linked(held, n, num, den, names[text], names[key])
-    kept = grouped.filter(F.col("component_id").eqNullSafe(F.col(names[key]).cast("long")))
-    alone = kept.filter(F.col(names[key]).isNull())
-    once = kept.filter(F.col(names[key]).isNotNull()).dropDuplicates([names[key]])
-    return restored(once.unionByName(alone), names)
+
+def deduplicated(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, one for each group of linked documents: that of the least id, null if all are."""
+    out, names = _grouped(docs, n, num, den, text, key)
+    first = F.col("id").eqNullSafe(F.col("least")) & (F.col("b") == F.col("least_b"))
+    out = out.filter(F.col("label").isNull() | first)
+    # rows equal in id and text are left; those without n-grams are linked with nothing and stay
+    out = out.withColumn("apart", F.when(F.col("label").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return restored(out.dropDuplicates(["b", "id", "apart"]), names)
