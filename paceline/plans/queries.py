@@ -1,14 +1,177 @@
-"""The engine's queries by name, and their SQL."""
+"""The engine's queries by name. Doubles are rounded to six places, so that engines agree."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from paceline.functions import scalars
+from paceline.operators import baselines, circuits, dimensions, evaluation, form, models, sessions, simulation
+from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
+from paceline.sources.league import league, table
+
+RACE = form.RACE
+NOW = "2024-02-20 12:00:00"
+
+
+def r6(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def of_league(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: r6(build(league(spark, sf_dir)))
+
+
+def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.laps(table(spark, sf_dir, "events"))
+
+
+def of_laps(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: r6(build(laps(spark, sf_dir)))
+
+
+def quali_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = sessions.valid_laps(laps(spark, sf_dir)).groupBy("session", "driver").agg(
+        *(F.min(F.when(F.col("lap") % 3 == i, F.col("seconds"))).alias(f"q{i}") for i in range(3))
+    )
+    return r6(sessions.quali_gap(own, "q0", "q1", "q2"))
+
+
+def weather_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    samples = e.select(F.to_date("ts").alias("session"), F.col("value").alias("air"), (F.col("event_id") % 11).cast("double").alias("wind"), (F.col("event_type") == "click").alias("rain"))
+    return r6(sessions.weather_summary(samples))
+
+
+def dnf_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    said = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderstatus")).when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 20 + 1).cast("string"))
+    return o.select("o_orderkey", scalars.dnf_flag(said).alias("dnf"))
+
+
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", scalars.slugify(F.concat_ws(" -", "p_name", "p_type")).alias("slug"))
+
+
+def circuit_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return n.select("n_nationkey", scalars.circuit_id(F.concat(F.col("n_name"), F.lit(" É São"))).alias("circuit_id"), scalars.circuit_id(F.col("n_name")).alias("plain_id"))
+
+
+def team_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select("r_regionkey", scalars.team_key(F.col("r_name")).alias("team_key"))
+
+
+def schedule_query(build) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = build(sessions.calendar(spark), F.to_timestamp(F.lit(NOW)))
+        return out.select("year", "round", "slot", "name", "kind", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+    return query
+
+
+def _pending(schedule: DataFrame, now) -> DataFrame:
+    done = sessions.sessions(schedule).filter((F.col("round") * 7 + F.col("slot")) % 4 != 0).select("year", "round", "slot")
+    return sessions.pending_sessions(schedule, done, now)
+
+
+def training_frame(history: DataFrame) -> DataFrame:
+    return form.training_frame(history).select(*RACE, "driver", "y", "drv_finish_l5", "team_finish_l5", "season_round", "grid", "grid_frac")
+
+
+def metrics(history: DataFrame) -> DataFrame:
+    return evaluation.race_metrics(baselines.all_scores(history), history)
+
+
+def gains(history: DataFrame) -> DataFrame:
+    return evaluation.paired(metrics(history), "mean_last5", "previous")
+
+
+def field(history: DataFrame) -> DataFrame:
+    """The last season's entrants with a score and a chance to retire."""
+    final = history.filter(F.col("year") == 2000)
+    rate = simulation.recent_dnf_rate(history)
+    return baselines.grid_equals_finish(final).join(rate, list(RACE)).select(*RACE, "driver", "score", F.col("dnf_rate").alias("p_dnf"))
+
+
+def prior_probabilities(history: DataFrame) -> DataFrame:
+    """Chances that fall with the grid slot, in closed form."""
+    g = form.grid_features(history)
+    return g.select(*RACE, "driver", *(F.least(F.lit(1.0), 2.0 * k / (F.col("grid") + 1 + k)).alias(f"p_{e}") for e, k in simulation.EVENTS.items()))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "history_table": of_league(lambda h: h),
+    "driver_form": of_league(form.driver_form),
+    "team_form": of_league(form.team_form),
+    "recency_form": of_league(form.recency_form),
+    "circuit_history": of_league(circuits.circuit_history),
+    "context": of_league(form.context),
+    "weekend_pace": of_league(form.weekend_pace),
+    "weather_scenario": of_league(form.weather),
+    "grid_features": of_league(form.grid_features),
+    "race_calendar": of_league(form.calendar),
+    "as_of_before": of_league(lambda h: form.before(h, 1998, 6).select(*RACE, "driver", "position")),
+    "usable_history": of_league(lambda h: form.usable(h).select(*RACE, "driver", "position")),
+    "duplicate_entries": of_league(lambda h: form.duplicates(h.unionByName(h.filter("no = 3 AND round = 4")))),
+    "latest_grid": of_league(circuits.latest_grid),
+    "eligible_circuit_years": of_league(circuits.eligible_years),
+    "training_frame": of_league(training_frame),
+    "feature_missing": of_league(lambda h: sessions.missing(form.driver_form(h), ["drv_finish_l5", "drv_pts_share_ytd", "drv_rounds_since_last"])),
+    "dim_drivers": of_league(dimensions.drivers),
+    "dim_teams": of_league(dimensions.teams),
+    "dim_circuits": of_league(dimensions.circuits),
+    "weekend_table": of_laps(sessions.weekend_table),
+    "clean_laps": of_laps(lambda x: sessions.clean_laps(x).select("session", "driver", "lap", "seconds")),
+    "pace_gap": of_laps(lambda x: sessions.pace_gap(x, least_laps=3)),
+    "best_lap_gap": of_laps(sessions.best_lap_gap),
+    "quali_gap": quali_gap,
+    "weather_summary": weather_summary,
+    "race_quality_audit": of_laps(sessions.audit),
+    "dq_summary_by_kind": of_laps(lambda x: sessions.flag_counts(sessions.audit(x))),
+    "earlier_sessions": schedule_query(lambda s, now: sessions.earlier_sessions(s)),
+    "finished_sessions": schedule_query(sessions.finished_sessions),
+    "pending_sessions": schedule_query(_pending),
+    "dnf_flag": dnf_flag,
+    "slugify": slugify,
+    "circuit_id": circuit_id,
+    "team_lineage": team_lineage,
+    "baseline_grid": of_league(baselines.grid_equals_finish),
+    "baseline_previous": of_league(baselines.previous),
+    "baseline_mean_last5": of_league(baselines.mean_last5),
+    "baseline_practice": of_league(baselines.practice),
+    "race_metrics": of_league(metrics),
+    "metrics_summary": of_league(lambda h: evaluation.summary(metrics(h))),
+    "metrics_coverage": of_league(lambda h: evaluation.coverage(metrics(h))),
+    "leaderboard": of_league(lambda h: evaluation.leaderboard(metrics(h), "previous")),
+    "walk_forward_splits": of_league(evaluation.walk_forward),
+    "bootstrap_iid": of_league(lambda h: evaluation.bootstrap(gains(h))),
+    "bootstrap_clustered": of_league(lambda h: evaluation.bootstrap(gains(h), clustered=True)),
+    "recent_dnf_rate": of_league(simulation.recent_dnf_rate),
+    "simulate_race": of_league(lambda h: simulation.simulate(field(h).filter("round <= 2"), 40)),
+    "outcome_probabilities": of_league(lambda h: simulation.probabilities(simulation.simulate(field(h), 100))),
+    "baseline_probabilities": of_league(simulation.uniform_probabilities),
+    "outcomes": of_league(simulation.outcomes),
+    "logloss_brier": of_league(lambda h: simulation.losses(prior_probabilities(h), simulation.outcomes(h))),
+    "reliability_bins": of_league(lambda h: simulation.reliability(prior_probabilities(h), simulation.outcomes(h))),
+    "ece": of_league(lambda h: simulation.calibration_error(simulation.reliability(prior_probabilities(h), simulation.outcomes(h)))),
+    "noise_grid_search": of_league(lambda h: simulation.noise_search(field(h), simulation.outcomes(h))),
+    "fit_total": of_league(lambda h: simulation.fit_total(prior_probabilities(h), "p_podium", 3.0)),
+    "elo_ratings": of_league(models.elo),
+    "ridge_scores": of_league(models.ridge_scores),
+    "plackett_luce": of_league(models.plackett_luce_scores),
+    "dnf_risk": of_league(models.dnf_risk),
+    "grid_prior": of_league(models.grid_prior),
+    "forest_scores": of_league(models.forest_scores),
+    "gbt_scores": of_league(models.boosted_scores),
+    "pairwise_ranker": of_league(models.pairwise_scores),
+    "out_of_fold_grids": of_league(models.out_of_fold_grids),
+    "predicted_grid_chain": of_league(models.predicted_grid_scores),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["driver_form"](spark, sf_dir)
