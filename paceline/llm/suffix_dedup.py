@@ -4,11 +4,13 @@ Every byte covered by a `length`-byte string (a window) that also starts anywher
 the corpus would pass through one machine, so Spark first brings together what can be equal:
 
 1. A window's anchor is its 16-byte gram with the least hash, the leftmost of equals: equal windows have equal
-   anchors at equal offsets. Consecutive windows with one anchor form a run. Runs whose anchor occurs once in the
-   corpus go, by a count of anchors with partial sums.
+   anchors at equal offsets. Consecutive windows with one anchor form a run, cut in two where the anchor passes the
+   middle of the window: each part's windows share the bytes of one half beside the anchor, its core. Runs whose
+   anchor and core occur once in the corpus go, by a count with partial sums.
 2. Runs of the same anchor, extent and fingerprint are equal: with two or more of them, all their windows repeat.
 3. What is left are runs that overlap in part, at the edges of repeats. The bytes of one run of each kind are fetched
-   and grouped by anchor, and each group's suffix array is built: windows are equal where neighbours in it agree in
+   and grouped by anchor and core. In a group, each run is cut to what it can share with another, by the longest
+   agreement to the left and to the right of the anchor, and the suffix array of the rest is built: windows are equal where neighbours in it agree in
    their first `length` bytes. A group of more than MOST kinds, such as a passage that a third of all documents holds,
    is settled by counting its windows' hashes in Spark instead, so that it needn't fit in a task.
 
@@ -150,25 +152,37 @@ def runs(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def records(text: str | None, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """anchor, kind (fingerprint with its extent), first and last window of each run of the text, in slices.
+    """anchor (with core), kind (fingerprint with extent), first window and extent of each run of the text, in slices.
 
-    Slices overlap by a window less a byte. A run cut in two at a slice's end is two runs; as the place of the cut
-    is no part of the content, the caller's last step compares such runs by bytes like others.
+    An extent is 512 times the windows after the first, plus the anchor's distance from the first. Slices overlap by
+    a window less a byte. A run cut in two at a slice's end is two runs; as the place of the cut is no part of the
+    content, the caller's last step compares such runs by bytes like others.
     """
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    half = (length - GRAM) // 2
     for at in range(0, max(0, len(data) - length + 1), SLICE):
         b = data[at : at + SLICE + length - 1]
         first, last, anchor, h = runs(b, length)
-        if len(first):
-            total = sums(b)
-            extent = ((anchor - first) * 512 + (last - first)).astype(np.uint64)
-            kind = _mixed(hashed(total, first, last + length) ^ (extent * FACTOR))
-            yield h.view(np.int64), kind.view(np.int64), first + at, last + at
+        if not len(first):
+            continue
+        total = sums(b)
+        parts = []
+        for side in (0, 1):  # the anchor at least half behind the window's start, then less
+            lo = first if side == 0 else np.maximum(first, anchor - half + 1)
+            hi = np.minimum(last, anchor - half) if side == 0 else last
+            some = np.flatnonzero(lo <= hi)
+            lo, hi, own = lo[some], hi[some], anchor[some]
+            core = hashed(total, own - half, own) if side == 0 else hashed(total, own, own + length - half + 1)
+            extent = (hi - lo) * 512 + own - lo
+            key = _mixed(h[some] ^ (core * FACTOR + np.uint64(side)))
+            kind = _mixed(hashed(total, lo, hi + length) ^ (extent.astype(np.uint64) * FACTOR))
+            parts.append((key.view(np.int64), kind.view(np.int64), lo + at, extent))
+        yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _found(docs: DataFrame, length: int, kinds: bool) -> DataFrame:
     """The records of (a, b, text); without kinds only anchors, with their number in a batch."""
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int64()), ("first", pa.int32()), ("extent", pa.int32())]
     schema = pa.schema(fields if kinds else [("anchor", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +201,7 @@ def _found(docs: DataFrame, length: int, kinds: bool) -> DataFrame:
                     keys, n = np.unique(columns[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], schema=schema)
 
-    ddl = "a long, b long, anchor long, kind long, first int, last int" if kinds else "anchor long, n long"
+    ddl = "a long, b long, anchor long, kind long, first int, extent int" if kinds else "anchor long, n long"
     return docs.mapInArrow(run, ddl)
 
 
@@ -221,6 +235,40 @@ def repeats(contexts: list[tuple[bytes, bool]], length: int) -> list[np.ndarray]
     return [again[s : s + len(c) - length + 1] for s, (c, _) in zip(starts, contexts, strict=True)]
 
 
+def agreement(x: bytes, y: bytes) -> int:
+    """How many bytes at their start are equal."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    lo = 0
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        if x[lo:mid] == y[lo:mid]:
+            lo = mid
+        else:
+            n = mid
+    return lo
+
+
+def trimmed(group: list[dict], length: int) -> list[dict]:
+    """The rows of one anchor cut to windows that may be in another row, without those that have none."""
+    reach = []
+    for side in ("right", "left"):
+        parts = [r["context"][r["left"] :] if side == "right" else r["context"][: r["left"]][::-1] for r in group]
+        order = sorted(range(len(parts)), key=parts.__getitem__)
+        best = [0] * len(parts)
+        for i, j in zip(order, order[1:], strict=False):
+            n = agreement(parts[i], parts[j])
+            best[i], best[j] = max(best[i], n), max(best[j], n)
+        reach.append(best)
+    out = []
+    for r, right, left in zip(group, *reach, strict=True):
+        if left + right >= length:
+            lo = r["left"] - left
+            out.append(r | {"first": r["first"] + lo, "context": r["context"][lo : r["left"] + right]})
+    return out if len(out) > 1 else []
+
+
 def ranges(flags: np.ndarray, at: int) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
     return [(int(x) + at, int(y) - 1 + at) for x, y in zip(edge[::2], edge[1::2], strict=True)]
@@ -235,23 +283,25 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
             if held:
                 flags = repeats([(r["context"], r["n"] == 1) for r in held], length)
                 got = [(r["a"], r["b"], x, y) for r, f in zip(held, flags, strict=True) if r["n"] == 1 for x, y in ranges(f, r["first"])]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], schema=schema)
-            held, size = [], 0
+            held.clear()
 
+        group: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
-                if size > 1 << 14 and r["anchor"] != held[-1]["anchor"]:
-                    yield from out()
-                held.append(r)
-                size += len(r["context"])
+                if group and r["anchor"] != group[0]["anchor"]:
+                    held += trimmed(group, length)
+                    group = []
+                    if sum(len(x["context"]) for x in held) > 1 << 14:
+                        yield from out()
+                group.append(r)
+        held += trimmed(group, length)
         yield from out()
 
     return edges.mapInArrow(run, SPANS)
@@ -284,30 +334,31 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "do
 
     anchors = _found(known, length, False).groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
     again = cut(_found(known, length, True).join(anchors, "anchor", "left_semi"))
-    kinds = again.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "first", "last")).alias("one"))
+    kinds = again.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "first", "extent")).alias("one"))
     kinds = cut(kinds.select("anchor", "kind", "n", "one.*"))
     many = kinds.filter("n > 1").select("anchor", "kind")
-    whole = again.join(many, ["anchor", "kind"], "left_semi").select("a", "b", "first", "last")
+    last = F.col("first") + F.shiftright("extent", 9)
+    whole = again.join(many, ["anchor", "kind"], "left_semi").select("a", "b", "first", last.alias("last"))
 
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     edges = kinds.join(groups.select("anchor", "kinds"), "anchor")
-    wanted = edges.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "n", "kinds", "first", "last")).alias("runs"))
+    wanted = edges.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "n", "kinds", "first", "extent")).alias("runs"))
     held_text = texts.join(wanted, ["a", "b"])  # of repeated rows each gives the same contexts
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("first", pa.int32()), ("context", pa.binary())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("first", pa.int32()), ("left", pa.int32()), ("context", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 got = []
                 for r in batch.slice(at, 128).to_pylist():
                     data = r["text"].encode("utf-8", "surrogatepass")
-                    got += [(r["a"], r["b"], x["anchor"], x["n"], x["kinds"], x["first"], data[x["first"] : x["last"] + length]) for x in r["runs"]]
+                    got += [(r["a"], r["b"], x["anchor"], x["n"], x["kinds"], x["first"], x["extent"] & 511, data[x["first"] : x["first"] + (x["extent"] >> 9) + length]) for x in r["runs"]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], schema=schema)
 
-    fetched = held_text.mapInArrow(contexts, "a long, b long, anchor long, n long, kinds long, first int, context binary")
+    fetched = held_text.mapInArrow(contexts, "a long, b long, anchor long, n long, kinds long, first int, left int, context binary")
     fetched = cut(fetched)
     few = fetched.filter(F.col("kinds") <= MOST).repartition("anchor").sortWithinPartitions("anchor")
-    parts = _by_suffixes(few.select("anchor", "n", "a", "b", "first", "context"), length)
+    parts = _by_suffixes(few.select("anchor", "n", "a", "b", "first", "left", "context"), length)
     parts = parts.unionByName(_by_counts(fetched.filter(F.col("kinds") > MOST), length))
     spans = whole.unionByName(parts).groupBy("a", "b").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
