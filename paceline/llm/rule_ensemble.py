@@ -8,8 +8,8 @@ Learning uses at most max_rows labelled rows, picked by a hash of the statistics
 the only bound, scoring covers all rows.
 
 Defined cases: null and empty texts have zero for every statistic and a score like others; rows without a label, and
-labels other than 0 and 1, teach nothing; with labels of one class or none, every score is the smoothed share of
-label 1; labels repeated for a document each count; an empty table gives an empty result; columns named like the
+labels other than 0 and 1, teach nothing; with labels of one class or none, or too few to split, every score is the
+smoothed share of label 1; labels repeated for a document each count; an empty table gives an empty result; columns named like the
 added ones are replaced.
 """
 
@@ -108,14 +108,17 @@ def learn(rows: DataFrame, names: list[str], label: str, max_rows: int = 100_000
     rows = rows.filter(F.col(label).isin(0, 1)).select(*names, F.col(label).cast("double").alias("y"))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     total = sum(counts.values())
+    p = (counts.get(1.0, 0) + 1) / (total + 2)
+    flat = Ensemble(math.log(p / (1 - p)), ())
     if len(counts) < 2:
-        p = (counts.get(1.0, 0) + 1) / (total + 2)
-        return Ensemble(math.log(p / (1 - p)), ())
+        return flat
     if total > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
     rows = cut(rows.select(array_to_vector(F.array(*names)).alias("x"), "y", *names))
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, featureSubsetStrategy="0.5", minInstancesPerNode=5, seed=seed).fit(rows)
     rules = paths(forest.toDebugString, names)
+    if not rules:  # too few rows to split
+        return flat
     tested = cut(rows.select(array_to_vector(F.array(*(r.column().cast("double") for r in rules))).alias("r"), "y"))
     fitted = LogisticRegression(featuresCol="r", labelCol="y", elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(tested)
     return Ensemble(float(fitted.intercept), tuple((r, float(w)) for r, w in zip(rules, fitted.coefficients, strict=True) if w))
