@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from paceline.operators.form import RACE, last, ranked
 
-FIELD = Window.partitionBy(*RACE)
-SO_FAR = Window.partitionBy("code").orderBy(*RACE).rowsBetween(Window.unboundedPreceding, -1)
+
+def over_field(value: Column) -> Column:
+    return value.over(Window.partitionBy(*RACE))
 
 
 def scored(history: DataFrame, score: Column, model: str) -> DataFrame:
@@ -17,14 +18,15 @@ def scored(history: DataFrame, score: Column, model: str) -> DataFrame:
 
 def grid_equals_finish(history: DataFrame) -> DataFrame:
     slot = F.when(F.col("grid") > 0, F.col("grid"))
-    return scored(history, F.coalesce(slot, F.coalesce(F.max(slot).over(FIELD), F.lit(0.0)) + 1), "grid")
+    return scored(history, F.coalesce(slot, F.coalesce(over_field(F.max(slot)), F.lit(0.0)) + 1), "grid")
 
 
 def previous(history: DataFrame, value: str = "position", fallback: str = "grid") -> DataFrame:
     """The last known value; newcomers come behind all others, in the order of the fallback."""
-    known = F.last(F.when(F.col("race_ok"), F.col(value)), ignorenulls=True).over(SO_FAR)
+    known = F.last(F.when(F.col("race_ok"), F.col(value)), ignorenulls=True)
+    known = known.over(Window.partitionBy("code").orderBy(*RACE).rowsBetween(Window.unboundedPreceding, -1))
     h = history.withColumn("previous", known)
-    behind = F.coalesce(F.max("previous").over(FIELD), F.lit(0.0))
+    behind = F.coalesce(over_field(F.max("previous")), F.lit(0.0))
     slot = F.coalesce(F.when(F.col(fallback) > 0, F.col(fallback)), F.lit(1.0))
     return scored(h, F.coalesce("previous", behind + slot), "previous")
 
@@ -33,14 +35,14 @@ def mean_last5(history: DataFrame, value: str = "position", fallback: str = "gri
     """The mean of the last five known values, unknown ones not being counted as events."""
     h = ranked(history, "code", F.col(value).isNotNull())
     h = h.withColumn("mean", last(F.col(value), 5, "code"))
-    behind = F.coalesce(F.max("mean").over(FIELD), F.lit(0.0))
+    behind = F.coalesce(over_field(F.max("mean")), F.lit(0.0))
     slot = F.coalesce(F.when(F.col(fallback) > 0, F.col(fallback)), F.lit(1.0))
     return scored(h, F.coalesce("mean", behind + slot), "mean_last5")
 
 
 def practice(history: DataFrame) -> DataFrame:
     best = F.col("fp_best_gap")
-    return scored(history, F.coalesce(best, F.max(best).over(FIELD) + 1, F.lit(0.0)), "practice")
+    return scored(history, F.coalesce(best, over_field(F.max(best)) + 1, F.lit(0.0)), "practice")
 
 
 BASELINES = {"grid": grid_equals_finish, "previous": previous, "mean_last5": mean_last5, "practice": practice}
