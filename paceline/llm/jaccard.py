@@ -14,7 +14,8 @@ Set relations save most of the work on a list:
   among the attached follow from those of the leader. After the leaders' pairs are verified and groups are known, a
   second round looks only at pairs whose groups differ; that makes up for attachments that failed.
 
-Pairs are verified on the whole sets: the sets of all that answer one leader are streamed past the leader's, large
+What is left is screened by longer sketches, half a bit for each n-gram, of which two are compared by the length of
+the shorter. Then pairs are verified on the whole sets, made again for the few that need it: the sets of all that answer one leader are streamed past the leader's, large
 groups split by a salt. Groups are connected components by minimum labels with pointer jumping.
 
 Defined cases: null texts and texts without words have no n-grams and are linked with nothing; texts of fewer words
@@ -35,6 +36,7 @@ from paceline.llm.shared import aside, cut, restored
 from paceline.llm.suffix_dedup import FACTOR, _mixed, hashed, sums
 
 FEW = 16
+MOST_COMMON = 500_000
 SPLIT = 500
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,13 +61,34 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(_mixed(np.array([np.bitwise_xor.reduce(_mixed(grams + FACTOR)) + np.uint64(len(grams))]))[0].view(np.int64))
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For half as many classes as n-grams, 256 at least: whether an odd number of n-grams falls in it.
+
+    Classes are remainders by powers of two, so a sketch folds to half its length by XOR. Each n-gram by which two
+    sets differ changes one class, so the bits that differ are no more than the n-grams that do.
+    """
+    m = 1 << max(8, (len(grams) - 1).bit_length() - 1)
+    return np.packbits((np.bincount((_mixed(grams) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    a, b = int.from_bytes(x), int.from_bytes(y)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y, a, b = y, x, b, a
+        half = len(x) // 2
+        a = (a >> 8 * half) ^ (a & (1 << 8 * half) - 1)
+        x = x[:half]
+    return (a ^ b).bit_count()
+
+
 def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def _surveyed(docs: DataFrame, n: int) -> DataFrame:
     """A row for each document (id, text hash, fingerprint, size) and rows of n-grams that some part holds often."""
-    schema = pa.schema([("id", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("size", pa.int64()), ("gram", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -75,7 +98,7 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             grams, times = grams[times >= 4], times[times >= 4]
             none = [None] * len(grams)
-            return _rows([none, none, none, none, grams.view(np.int64), times], schema)
+            return _rows([none, none, none, none, none, grams.view(np.int64), times], schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -84,14 +107,14 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
                 held += sets
                 total += sum(map(len, sets))
                 none = [None] * len(ids)
-                yield _rows([ids, bs, [fingerprint(s) if len(s) else None for s in sets], [len(s) for s in sets], none, none], schema)
+                yield _rows([ids, bs, [fingerprint(s) if len(s) else None for s in sets], [len(s) for s in sets], [parities(s) for s in sets], none, none], schema)
                 if total > 4_000_000:
                     yield often()
                     held, total = [], 0
         if held:
             yield often()
 
-    return docs.mapInArrow(run, "id long, b long, sig long, size long, gram long, times long")
+    return docs.mapInArrow(run, "id long, b long, sig long, size long, sketch binary, gram long, times long")
 
 
 INDEX = "gram long, sig long, size int, pos int, s0 long, s1 long"
@@ -134,9 +157,10 @@ def least_shared(a, b, num: int, den: int):
 class Block:
     """The entries of one list, by position."""
 
-    def __init__(self, columns: list[np.ndarray], num: int, den: int):
-        order = np.lexsort((columns[0], columns[1], columns[2]))
+    def __init__(self, columns: list[np.ndarray], num: int, den: int, sketches: np.ndarray | None = None):
+        self.order = order = np.lexsort((columns[0], columns[1], columns[2]))
         self.sig, self.size, self.pos, self.s0, self.s1 = (c[order] for c in columns)
+        self.sketches = None if sketches is None else sketches[order]
         self.size, self.pos = self.size.astype(np.int64), self.pos.astype(np.int64)
         self.num, self.den = num, den
 
@@ -152,7 +176,11 @@ class Block:
         apart = np.bitwise_count((self.s0[lo:hi] ^ self.s0[i]).view(np.uint64)).astype(np.int64) + np.bitwise_count((self.s1[lo:hi] ^ self.s1[i]).view(np.uint64))
         ok &= apart <= size + self.size[i] - 2 * need
         ok &= self.sig[lo:hi] != self.sig[i]
-        return np.flatnonzero(ok) + lo
+        found = np.flatnonzero(ok)
+        if self.sketches is not None and len(found):
+            most = size + self.size[i] - 2 * need
+            found = np.array([j for j in found if bits_apart(self.sketches[i], self.sketches[lo + j]) <= most[j]], np.int64)
+        return found + lo
 
 
 def _lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
@@ -220,16 +248,16 @@ def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _second_round(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of entries with different groups, from lists of gram, sig, size, pos, s0, s1, label."""
+    """Pairs of entries with different groups, from lists of gram, sig, size, pos, s0, s1, label, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
         found: set[tuple[int, int]] = set()
-        for columns in _lists(batches, 7):
+        for columns in _lists(batches, 8):
             if (columns[6] == columns[6][0]).all():
                 continue
-            block = Block(columns[1:6], num, den)
-            label = columns[6][np.lexsort((columns[1], columns[2], columns[3]))]
+            block = Block(columns[1:6], num, den, columns[7])
+            label = columns[6][block.order]
             kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
             common = count.argmax()  # pairs within the largest group needn't be looked at
             for i in np.flatnonzero(which != common):
@@ -246,6 +274,21 @@ def _second_round(entries: DataFrame, num: int, den: int) -> DataFrame:
     return entries.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "x long, y long")
 
 
+def _screened(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sketches, of sketches (sig, size, sketch), don't rule a link out."""
+    one = sketches.select(F.col("sig").alias("x"), F.col("size").alias("nx"), F.col("sketch").alias("kx"))
+    two = sketches.select(F.col("sig").alias("y"), F.col("size").alias("ny"), F.col("sketch").alias("ky"))
+    both = pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "kx", "ky")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+        for batch in batches:
+            keep = [bits_apart(r["kx"], r["ky"]) <= r["nx"] + r["ny"] - 2 * least_shared(r["nx"], r["ny"], num, den) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], schema=schema)
+
+    return both.mapInArrow(run, "x long, y long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) that are linked. sets: sig, grams (packed)."""
     loads = pairs.groupBy("x").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
@@ -296,37 +339,49 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -
     texts = held.select("id", "b", F.col(names[text]).cast("string").alias("text"))
     survey = cut(_surveyed(texts, n))
     base = survey.filter(F.col("gram").isNull()).select("id", "b", "sig", "size")
-    n_docs = base.count()
-    often = survey.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times"))
-    # each takes a thousandth of the documents: at most a thousand times the mean size of a set
-    often = often.filter(F.col("times") >= max(8, n_docs // 1000)).toArrow()
+    often = cut(survey.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times")))
+    # the lowest of these counts that MOST_COMMON n-grams at most reach, so that they can go to all tasks
+    bounds = [8 << k for k in range(40)]
+    above = often.agg(*(F.coalesce(F.sum((F.col("times") >= t).cast("long")), F.lit(0)).alias(str(k)) for k, t in enumerate(bounds))).first()
+    least = next(t for k, t in enumerate(bounds) if above[k] <= MOST_COMMON)
+    often = often.filter(F.col("times") >= least).toArrow()
     grams = often["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
     common = docs.sparkSession.sparkContext.broadcast((grams[order], often["times"].to_numpy()[order]))
 
     entries = _indexed(texts.select("text"), n, num, den, common).dropDuplicates(["gram", "sig"])
     first = cut(_first_round(entries, num, den))
-    pairs = cut(first.filter(F.col("x").isNotNull()).select("x", "y").distinct())
-    active = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-    chosen = base.join(active, "sig").groupBy("sig").agg(F.min("b").alias("b"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("sig", pa.int64()), ("grams", pa.binary())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                got = [ngrams(t, n) for t in batch.column(1).slice(at, 256).to_pylist()]
-                yield _rows([batch.column(0).slice(at, 256), [g.tobytes() for g in got]], schema)
+    sketches = survey.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+
+    def verified(found: DataFrame) -> DataFrame:
+        """The links among pairs of fingerprints, from the texts of one document each."""
+        pairs = cut(_screened(found, sketches, num, den))
+        active = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
+        chosen = base.join(active, "sig").groupBy("sig").agg(F.min(F.struct("b", "id")).alias("one"))
+        chosen = cut(chosen.select("sig", F.col("one.b").alias("b"), F.col("one.id").alias("own")))  # so that Spark knows its size
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("sig", pa.int64()), ("grams", pa.binary())])
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    got = [ngrams(t, n) for t in batch.column(1).slice(at, 256).to_pylist()]
+                    yield _rows([batch.column(0).slice(at, 256), [g.tobytes() for g in got]], schema)
+
+        # the texts move once, at every size: a plan that broadcast the few at small sizes only would not tell of large ones
+        fetched = texts.join(chosen.hint("merge"), (texts["b"] == chosen["b"]) & texts["id"].eqNullSafe(chosen["own"])).select("sig", "text")
+        # equal rows give a set twice, which changes no link
+        return cut(_verified(pairs, cut(fetched.mapInArrow(sets, "sig long, grams binary")), num, den))
 
-    fetched = texts.join(chosen, "b").groupBy("sig").agg(F.first("text").alias("text"))
-    whole = cut(fetched.mapInArrow(sets, "sig long, grams binary"))
-    links = cut(_verified(pairs, whole, num, den))
+    pairs = cut(first.filter(F.col("x").isNotNull()).select("x", "y").distinct())
+    links = verified(pairs)
     labels = components(links)
     large = first.filter(F.col("gram").isNotNull()).select("gram", "sig", "size", "pos", "s0", "s1")
-    large = large.join(labels.withColumnRenamed("v", "sig"), "sig", "left").select("gram", "sig", "size", "pos", "s0", "s1", F.coalesce("label", "sig").alias("label"))
+    large = large.join(labels.withColumnRenamed("v", "sig"), "sig", "left").join(sketches.select("sig", "sketch"), "sig")
+    large = large.select("gram", "sig", "size", "pos", "s0", "s1", F.coalesce("label", "sig").alias("label"), "sketch")
     known = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = cut(_second_round(large, num, den).distinct().join(known, ["x", "y"], "left_anti"))
     if not more.isEmpty():
-        labels = components(cut(links.unionByName(_verified(more, whole, num, den))))
+        labels = components(cut(links.unionByName(verified(more))))
 
     marked = base.filter(F.col("sig").isNotNull()).join(labels.withColumnRenamed("v", "sig"), "sig", "left")
     marked = marked.select("id", "b", F.coalesce("label", "sig").alias("label"))

@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df, marked for broadcast if it has few rows; Spark chooses the join for others."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def word_count(text: Column) -> Column:
     """Words of the text as long, 0 for null: each word with the spaces behind it shrinks to one character."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACES}]+", "")

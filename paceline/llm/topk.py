@@ -91,7 +91,7 @@ def _block(rows: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, bins: in
         hist = rows.mapInPandas(counts, "q long, b long, n long").groupBy("q", "b").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("q").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         wanted = rows.sparkSession.createDataFrame(pd.DataFrame({"q": np.flatnonzero(active), "want": (k - above)[active]}))
-        hist = hist.withColumn("c", F.sum("n").over(down)).join(F.broadcast(wanted), "q")
+        hist = hist.withColumn("c", F.sum("n").over(down)).join(F.broadcast(wanted), "q")  # a row for each query of the block
         hit = hist.filter((F.col("c") >= F.col("want")) & (F.col("c") - F.col("n") < F.col("want"))).toPandas()
         at = hit["q"].to_numpy()
         lo[at] += hit["b"].to_numpy() * width[at]
