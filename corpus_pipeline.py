@@ -43,8 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode(bpe.encode(docs, path), path)
+    decoded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 

@@ -303,3 +303,24 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
         return lambda packed: [[found.decode(x or b"") for x in packed]]
 
     return restored(with_python(held, [names[ids]], "decoded string", start), names, decoded=F.col("decoded"))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text") -> DataFrame:
+    """The rows of docs with ids, n_tokens and decoded: decode(encode(docs)) with one codec for both in each task.
+
+    Two steps in one plan are two workers for each task, each with the vocabulary and what it has learned.
+    """
+    held, names = aside(docs)
+    ranks, name = _shared(docs, path, pattern)
+
+    def start():
+        found = codec(ranks.value, pattern, name)
+
+        def work(texts: list) -> list:
+            packed = [found.encode(t or "") for t in texts]
+            return [packed, [found.decode(x) for x in packed]]
+
+        return work
+
+    out = with_python(held, [names[text]], "ids binary, decoded string", start)
+    return restored(out, names, ids=F.col("ids"), n_tokens=F.floor(F.octet_length("ids") / 4).cast("long"), decoded=F.col("decoded"))

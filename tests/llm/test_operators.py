@@ -142,6 +142,10 @@ def test_bpe_frames(edges, empty):
     out = check(bpe.decode(bpe.encode(edges, PATH), PATH), edges).toPandas()
     assert (out.decoded == out.text.fillna("")).all() and out.loc[out.doc_id == 3, "n_tokens"].item() == 0
     assert bpe.decode(bpe.encode(empty, PATH), PATH).isEmpty()
+    both = check(bpe.round_trip(edges, PATH), edges).toPandas()
+    key = ["doc_id", "text"]
+    assert both.sort_values(key)[["n_tokens", "ids", "decoded"]].values.tolist() == out.sort_values(key)[["n_tokens", "ids", "decoded"]].values.tolist()
+    assert bpe.round_trip(empty, PATH).isEmpty()
 
 
 # --- languages
