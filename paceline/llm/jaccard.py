@@ -205,7 +205,7 @@ PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("gram", pa.int64()), (
 
 
 def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (x leads y) of all lists, and again the entries of lists with more than FEW."""
+    """Pairs (x leads y) of all lists, and again the attached entries of lists with more than FEW."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[tuple[int, int]] = set()
@@ -226,8 +226,6 @@ def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
         for columns in _lists(batches, 6):
             block = Block(columns[1:], num, den)
             n = len(block.sig)
-            if n > FEW:
-                large.append(columns)
             attached = np.zeros(n, bool)
             for i in range(n):
                 if n > FEW and attached[i]:
@@ -239,6 +237,10 @@ def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
                     elif j > i:
                         a, b = int(block.sig[i]), int(block.sig[j])
                         found.add((min(a, b), max(a, b)))
+            # a leader has met its whole list, and so has an entry that none may be linked with
+            if attached.sum() > 1:
+                again = block.order[attached]
+                large.append([c[again] for c in columns])
             if len(found) > 100_000 or sum(len(c[0]) for c in large) > 100_000:
                 yield from out()
         yield from out()
