@@ -121,18 +121,21 @@ INDEX = "gram long, sig long, size int, pos int, s0 long, s1 long"
 
 
 def _indexed(docs: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
-    """The entries of all sets. common: a broadcast of (n-grams that many hold, sorted; their counts)."""
+    """The entries of all sets, equal sets of a task once. common: a broadcast of (n-grams that many hold, sorted; their counts)."""
     schema = pa.schema([("gram", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = common.value
+        met: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 parts = []
                 for t in batch.column(0).slice(at, 512).to_pylist():
                     s = ngrams(t, n)
-                    if not len(s):
+                    sig = fingerprint(s) if len(s) else None
+                    if sig is None or sig in met:
                         continue
+                    met.add(sig)
                     first = len(s) - (num * len(s) + den - 1) // den + 1
                     sketch = np.packbits((np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8)).view(np.int64)
                     if len(grams):
@@ -142,7 +145,7 @@ def _indexed(docs: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
                     else:
                         chosen = s[:first]
                     m = len(chosen)
-                    parts.append((chosen.view(np.int64), np.full(m, fingerprint(s)), np.full(m, len(s)), np.arange(m), np.full(m, sketch[0]), np.full(m, sketch[1])))
+                    parts.append((chosen.view(np.int64), np.full(m, sig), np.full(m, len(s)), np.arange(m), np.full(m, sketch[0]), np.full(m, sketch[1])))
                 if parts:
                     yield _rows([np.concatenate(c).astype(t.to_pandas_dtype()) for c, t in zip(zip(*parts, strict=True), schema.types, strict=True)], schema)
 
@@ -245,7 +248,8 @@ def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    dealt = entries.repartition("gram").sortWithinPartitions("gram")
+    # dealt by n-gram once; that also brings together what tasks give of equal sets
+    dealt = entries.repartition("gram").dropDuplicates(["gram", "sig"]).sortWithinPartitions("gram")
     return dealt.mapInArrow(run, "x long, y long, " + INDEX)
 
 
@@ -351,7 +355,7 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -
     order = np.argsort(grams)
     common = docs.sparkSession.sparkContext.broadcast((grams[order], often["times"].to_numpy()[order]))
 
-    entries = _indexed(texts.select("text"), n, num, den, common).dropDuplicates(["gram", "sig"])
+    entries = _indexed(texts.select("text"), n, num, den, common)
     first = cut(_first_round(entries, num, den))
     sketches = survey.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
 
