@@ -2,18 +2,18 @@
 
 Base rules are statistics of a text's words and lines. The language model is a modified Kneser-Ney model over
 character n-grams, one per language: tasks count n-grams of whole texts, Spark sums the counts and derives from them
-continuation counts, discounts, context weights and interpolated probabilities, order by order. An n-gram of the
-highest order counts if at least two documents hold it, or a document's own oddities would make it look ordinary.
+continuation counts, discounts, context weights and interpolated probabilities, order by order, from all n-grams.
+After that, an n-gram of any order that a single document holds is left out, or a document's own oddities would make
+it look ordinary: its count goes to the weight of its context, so probabilities still sum to 1.
 
-The model is kept as sorted arrays of n-gram codes with their log probabilities, and of contexts with their back-off
-weights. Scoring looks up a text's distinct n-grams there by binary search, and backs off for those that are missing.
-A document's surprise is its log perplexity per word. A language's band is its median plus and minus `spread` robust
-standard deviations, which widen for short documents as the error of a mean of few words does; documents outside are
-rejected.
+Scoring is a join. Tasks cut their documents into chunks of CHUNK characters and list each chunk's distinct n-grams;
+these meet the model in Spark, and each chunk's documents meet the probabilities of the chunk's own n-grams, sorted.
+All documents are in the model, so none of their n-grams is missing there. A document's surprise is its log
+perplexity per word. A language's band is its median plus and minus `spread` robust standard deviations, which widen
+for short documents as the error of a mean of few words does; documents outside are rejected.
 
-Size: distinct character n-grams level off long before the text does, but nothing bounds them in general. So the
-model is counted before it is gathered, and the highest order whose tables fit in MODEL_ROWS is used; each order's
-counts come from all documents.
+Size: the order is the same at every size, and no task, nor the driver, holds the model; a task holds one chunk, or
+one text if that is longer.
 
 Defined cases: null texts have no words and, like texts shorter than the order, no perplexity, which no band rejects;
 documents with a null language form a group of their own; a language without any scored document has no band; an
@@ -26,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paceline.llm.shared import aside, cut, restored, small, with_python
+from paceline.llm.shared import aside, cut, restored, small
 
 BITS = 15
 FOLD = 32749
-MODEL_ROWS = 12_000_000
+MANY = -1
+CHUNK = 8_000_000
 SLICE = 1_000_000
 SYMBOLS = "#*$%&|<>"
 
@@ -66,52 +69,81 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(keys) else v for v in values)
 
 
+def merged(keys: np.ndarray, n: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, their summed counts, and the one document that holds each, or MANY."""
+    order = np.argsort(keys, kind="stable")
+    keys, n, holder = keys[order], n[order], holder[order]
+    if not len(keys):
+        return keys, n, holder
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    low, high = np.minimum.reduceat(holder, first), np.maximum.reduceat(holder, first)
+    return keys[first], np.add.reduceat(n, first), np.where(low == high, low, MANY)
+
+
+def chunk_of(at: int, chars: int, text: str | None, most: int) -> tuple[int, int]:
+    """The chunk behind this document and the characters in it so far: chunks end after `most` characters."""
+    chars += len(text or "") + 1
+    return (at + 1, 0) if chars >= most else (at, chars)
+
+
 def counted(docs: DataFrame, order: int, text: str, lang: str) -> DataFrame:
-    """lang, code, n (occurrences) and docs (documents that hold it), for all n-grams of all texts."""
-    schema = pa.schema([("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64()), ("docs", pa.int64())])
+    """chunk, lang, code, n (occurrences) and holder: the distinct n-grams of each chunk of documents."""
+    schema = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("code", pa.int64()), ("n", pa.int64()), ("holder", pa.int64())])
+    most = CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = row = TaskContext.get().partitionId() << 32
+        chars = size = 0
         held: dict[str | None, list] = {}
-        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for k in list(held):
-                keys, n, d = summed(*(np.concatenate(x) for x in zip(*held.pop(k), strict=True)))
-                for at in range(0, len(keys), 200_000):
-                    part = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(keys[part]), pa.string()), *map(pa.array, (keys[part], n[part], d[part]))], schema=schema)
-
-        def merged() -> int:
-            for k, parts in held.items():
-                held[k] = [summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-            return sum(len(p[0][0]) for p in held.values())
+                keys, n, holder = merged(*(np.concatenate(x) for x in zip(*held.pop(k), strict=True)))
+                for i in range(0, len(keys), 200_000):
+                    part = slice(i, i + 200_000)
+                    m = len(keys[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at)), pa.array([k] * m, pa.string()), *map(pa.array, (keys[part], n[part], holder[part]))], schema=schema)
 
         for batch in batches:
             for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, n = distinct(t, order)
-                held.setdefault(k, []).append((keys, n, np.ones_like(n)))
-                size += len(keys)
-                if size > 6_000_000:
-                    size = merged()
-                    if size > 3_000_000:
-                        yield from out()
+                if t is not None:
+                    keys, n = distinct(t, order)
+                    held.setdefault(k, []).append((keys, n, np.full(len(keys), row)))
+                    size += len(keys)
+                    if size > 2_000_000:
+                        held = {k: [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))] for k, parts in held.items()}
                         size = 0
+                row += 1
+                behind, chars = chunk_of(at, chars, t, most)
+                if behind != at:
+                    yield from out()
+                    at, size = behind, 0
         yield from out()
 
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("k"))
-    parts = rows.mapInArrow(run, "lang string, code long, n long, docs long")
-    return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("k"))
+    return rows.mapInArrow(run, "chunk long, lang string, code long, n long, holder long")
+
 
+def holder_of() -> Column:
+    return F.when(F.min("holder") == F.max("holder"), F.min("holder")).otherwise(F.lit(MANY)).alias("holder")
 
-def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """From (lang, code, n) of the highest order to (lang, k, code, logp) and (lang, k, code, logg).
 
-    The second holds contexts of k symbols and the weight with which they pass on to order k.
+def totals(parts: DataFrame) -> DataFrame:
+    """lang, code, n and holder, for all n-grams of all texts."""
+    return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"), holder_of())
+
+
+def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (lang, code, n, holder) of the highest order to (lang, k, code, logp) and (lang, k, code, logg), and the
+    first's rows of the highest order, as (lang, code, p).
+
+    The second holds contexts of k symbols and the weight with which they pass on to order k. Counts, discounts and
+    continuation counts are those of all n-grams. One that a single document holds passes its whole count on.
     """
     mask = [(1 << BITS * k) - 1 for k in range(order + 1)]
-    tables = {order: top.select("lang", "code", F.col("n").alias("c"))}
+    tables = {order: top.select("lang", "code", F.col("n").alias("c"), "holder")}
     for k in range(order - 1, 0, -1):
-        tables[k] = cut(tables[k + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask[k])).alias("code")).agg(F.count("*").alias("c")))
+        tables[k] = cut(tables[k + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask[k])).alias("code")).agg(F.count("*").alias("c"), holder_of()))
     below = tables[1].groupBy("lang").agg((F.lit(1.0) / (F.count("*") + 1)).alias("q"))
     probs, weights = [], []
     for k in range(1, order + 1):
@@ -126,6 +158,7 @@ def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         d = t.groupBy("lang").agg(*n).select(F.col("lang").alias("l"), *(discount(i).alias(f"d{i}") for i in range(1, 4)))
         t = t.join(small(d), F.col("lang").eqNullSafe(F.col("l"))).drop("l")  # a row for each language
         t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
+        t = t.withColumn("d", F.when(F.col("holder") == MANY, F.col("d")).otherwise(F.col("c").cast("double")))
         t = t.withColumn("h", F.shiftright("code", BITS))
         ctx = t.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g")).select(F.col("lang").alias("l"), F.col("h").alias("hh"), "total", "g")
         weights.append(ctx.select(F.col("l").alias("lang"), F.lit(k - 1).alias("k"), F.col("hh").alias("code"), F.log("g").cast("float").alias("logg")))
@@ -138,7 +171,7 @@ def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         below = cut(t.select("lang", "code", ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("q")).alias("p")))
         probs.append(below.select("lang", F.lit(k).alias("k"), "code", F.log("p").cast("float").alias("logp")))
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    return union(probs), union(weights)
+    return union(probs), union(weights), below
 
 
 class Arrays:
@@ -190,18 +223,98 @@ def gathered(parts: DataFrame, value: str) -> dict:
     return out
 
 
-def fit(docs: DataFrame, order: int = 4, least_docs: int = 2, text: str = "text", lang: str = "lang") -> Arrays | None:
-    while True:
-        top = cut(counted(docs, order, text, lang).filter(F.col("docs") >= least_docs))
-        if order == 1 or top.count() <= MODEL_ROWS // 2:  # lower orders have fewer types each
-            break
-        order -= 1
+def fit(docs: DataFrame, order: int = 4, text: str = "text", lang: str = "lang") -> Arrays | None:
+    """A model in the driver's memory of the n-grams that at least two documents hold: for small tables, and for texts
+    outside them. `rules` has no such arrays."""
+    top = cut(totals(counted(docs, order, text, lang)).filter(F.col("holder") == MANY))
     if top.isEmpty():
         return None
-    probs, weights = model(top, order)
+    probs, weights, _ = model(top, order)
     return Arrays(order, gathered(probs, "logp"), gathered(weights, "logg"))
 
 
+def packed(held: DataFrame, text: str) -> DataFrame:
+    """chunk, rows: the documents of each chunk of `counted`, all columns, as one compressed Arrow stream."""
+    most = CHUNK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chars = TaskContext.get().partitionId() << 32, 0
+        parts: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if parts:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as writer:
+                    for part in parts:
+                        writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+                parts.clear()
+
+        for batch in batches:
+            start = 0
+            for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
+                behind, chars = chunk_of(at, chars, t, most)
+                if behind != at:
+                    parts.append(batch.slice(start, i + 1 - start))
+                    yield from out()
+                    at, start = behind, i + 1
+            if start < batch.num_rows:
+                parts.append(batch.slice(start))
+        yield from out()
+
+    return held.mapInArrow(run, "chunk long, rows binary")
+
+
+def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
+    """held with the five statistics and the surprise of a word.
+
+    Each chunk's distinct n-grams meet the model in a join, and the chunk's documents meet their answers. Documents
+    are read twice and must come in the same order, so anything but a scan of files or rows is written first.
+    """
+    if "Exchange" in held._jdf.queryExecution().executedPlan().toString():
+        held = cut(held)
+    parts = cut(counted(held, order, text, lang))
+    p = model(cut(totals(parts)), order)[2]
+    known = p.select(F.col("lang").alias("l"), F.col("code").alias("c"), F.log("p").cast("float").alias("logp"))
+    answers = parts.select("chunk", "lang", "code").join(known, F.col("lang").eqNullSafe(F.col("l")) & (F.col("code") == F.col("c")))
+    schema = T.StructType([*held.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} long" for c in COLUMNS) + ", surprise double").fields])
+
+    def score(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            raise ValueError("documents came in another order when they were read again")
+        names, keys = found["lang"].to_numpy(zero_copy_only=False), found["code"].to_numpy()
+        logs = found["logp"].to_numpy().astype(np.float64)
+        tables = {}
+        for k in set(names):
+            at = np.flatnonzero(names == k) if k is not None else np.flatnonzero([x is None for x in names])
+            at = at[np.argsort(keys[at])]
+            tables[k] = keys[at], logs[at]
+
+        def surprise(t: str | None, k: str | None, words: int) -> float | None:
+            own, n = distinct(t, order) if t and words else ((), ())
+            if not len(own):
+                return None
+            table = tables.get(k, (np.zeros(1, np.int64) - 1, np.zeros(1)))
+            at = np.minimum(np.searchsorted(table[0], own), len(table[0]) - 1)
+            if (table[0][at] != own).any():
+                raise ValueError("documents came in another order when they were read again")
+            return float(-(table[1][at] * n).sum()) / words
+
+        out = []
+        for blob in docs["rows"]:
+            for whole in pa.ipc.open_stream(blob.as_buffer()):
+                for i in range(0, whole.num_rows, 256):
+                    batch = whole.slice(i, 256)
+                    texts, langs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, lang))
+                    stats = [base_stats(t or "") for t in texts]
+                    lost = [surprise(t, k, s[0]) for t, k, s in zip(texts, langs, stats, strict=True)]
+                    added = [*(pa.array(x, pa.int64()) for x in zip(*stats, strict=True)), pa.array(lost, pa.float64())]
+                    out.append(pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    return packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema)
+
+
 def base_stats(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; see op4's contract."""
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at exactly the six spaces
@@ -237,23 +350,9 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def rules(docs: DataFrame, spread: float = 6.0, order: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs with the five statistics, base_failed, surprise (log perplexity of a
     word), its band low and high, and kept."""
-    arrays = fit(docs, order, text=text, lang=lang)
     held, names = aside(docs)
     held = held.withColumn("k", F.col(names[lang]).cast("string"))
-    shared = docs.sparkSession.sparkContext.broadcast(arrays)  # at most MODEL_ROWS rows
-
-    def start():
-        m = shared.value
-
-        def work(texts: list, langs: list) -> list:
-            stats = [base_stats(t or "") for t in texts]
-            lost = [m.surprise(t, k) if m is not None and t else None for t, k in zip(texts, langs, strict=True)]
-            per_word = [x / s[0] if x is not None and s[0] else None for x, s in zip(lost, stats, strict=True)]
-            return [*(list(x) for x in zip(*stats, strict=True)), per_word]
-
-        return work
-
-    scored = with_python(held, [names[text], "k"], ", ".join(f"{c} long" for c in COLUMNS) + ", surprise double", start)
+    scored = scored_by(held, order, names[text], "k")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     scored = cut(scored)
     out = scored.join(small(banded(scored)), F.col("k").eqNullSafe(F.col("l")), "left")

@@ -262,6 +262,55 @@ def test_kneser_ney_against_its_formulas(spark):
     assert arrays.surprise("abc", "de") is None
 
 
+def whole_model(texts, order):
+    """Interpolated modified Kneser-Ney by its formulas, over all n-grams; those of one text pass their counts on."""
+    counts, held = collections.Counter(), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        t = "\n" + t
+        for g in (t[i : i + order] for i in range(len(t) - order + 1)):
+            counts[g] += 1
+            for k in range(order):
+                held[g[k:]].add(i)
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+
+    def probability(g):
+        if not g:
+            return 1 / (len(tables[1]) + 1)
+        t = tables[len(g)]
+        n = [0, *(sum(c == i for c in t.values()) for i in range(1, 5))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+        d = [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i, 0.1), i - 0.1) for i in (1, 2, 3)]
+        off = lambda x: d[min(t[x], 3)] if len(held[x]) > 1 else t[x]
+        own = [x for x in t if x[:-1] == g[:-1]]
+        return (t[g] - off(g) + sum(map(off, own)) * probability(g[1:])) / sum(t[x] for x in own)
+
+    return probability
+
+
+TEXTS = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "on and on the cat ran", "zq zq zq xj"]
+
+
+def surprises(spark, texts, langs, order):
+    given = spark.createDataFrame(list(zip(range(len(texts)), texts, langs, strict=True)), "doc_id long, text string, lang string")
+    return [x.surprise for x in kneser_ney.rules(given, order=order).orderBy("doc_id").collect()]
+
+
+def formula(texts, order):
+    p = whole_model(texts, order)
+    return [-sum(np.log(p(f"\n{t}"[i : i + order])) for i in range(len(t) + 2 - order)) / len(t.split()) for t in texts]
+
+
+@pytest.mark.parametrize("chunk", [30, 8_000_000])
+def test_rules_count_all_ngrams(spark, monkeypatch, chunk):
+    monkeypatch.setattr(kneser_ney, "CHUNK", chunk)
+    alone = "eine sprache mit nur einem text"
+    got = surprises(spark, [*TEXTS, alone, "no"], ["en"] * len(TEXTS) + [None, "fr"], 3)
+    assert got[:-1] == pytest.approx([*formula(TEXTS, 3), *formula([alone], 3)], rel=1e-4)
+    assert got[-1] == pytest.approx(formula(["no"], 3)[0], rel=1e-4)
+
+
 # --- line dedup
 
 
