@@ -311,6 +311,11 @@ def test_rules_count_all_ngrams(spark, monkeypatch, chunk):
     assert got[-1] == pytest.approx(formula(["no"], 3)[0], rel=1e-4)
 
 
+def test_rules_keep_their_order_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 4, raising=False)
+    assert surprises(spark, TEXTS, ["en"] * len(TEXTS), 3) == pytest.approx(formula(TEXTS, 3), rel=1e-4)
+
+
 # --- line dedup
 
 
