@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RACE = ("year", "round")
+ERAS = (1995, 1998, 2000)
 
 
 def before(history: DataFrame, year: int, rnd: int) -> DataFrame:
@@ -112,7 +113,7 @@ def recency_form(history: DataFrame, half_lives: tuple[int, ...] = (2, 4, 8)) ->
     return h.select(*out)
 
 
-def context(history: DataFrame, eras: tuple[int, ...] = (1995, 1998, 2000)) -> DataFrame:
+def context(history: DataFrame, eras: tuple[int, ...] = ERAS) -> DataFrame:
     """Round of the season, and seasons since rules last changed."""
     start = F.array_max(F.filter(F.array(*map(F.lit, eras)), lambda e: e <= F.col("year")))
     return history.select(*RACE).distinct().select(*RACE, F.col("round").alias("season_round"), (F.col("year") - start).alias("seasons_since_reg_change"))

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.operators.form import RACE, average_rank, driver_form, grid_features, team_form
+from paceline.operators.form import ERAS, RACE, average_rank, driver_form, grid_features, team_form
 
 FEATURES = ("drv_finish_l5", "drv_quali_l5", "drv_qgap_l5", "drv_pace_l5", "drv_dnf_l10", "team_finish_l5", "grid")
 WITHOUT_GRID = FEATURES[:-1]
@@ -145,9 +145,12 @@ def pairwise_scores(history: DataFrame) -> DataFrame:
 ELO = "year int, round int, driver string, elo_driver double, elo_team double, elo_score double"
 
 
-def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale: float = 400.0, keep: float = 0.75) -> DataFrame:
+def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale: float = 400.0, keep: float = 0.75, keep_team_at_era: float = 0.3, eras: tuple[int, ...] = ERAS) -> DataFrame:
     """Driver and team ratings before every event.
 
+    Ratings shrink when a season begins, those of teams harder when it begins a regulation era. Seasons are counted by
+    events that count: between two of these, ratings shrink once, by the later one's factor.
+
     A rating depends on all that went before, so events are replayed in order, once, in one group: rows of one
     championship, as many as its entrants' starts. Several championships would be groups of their own.
     """
@@ -157,16 +160,20 @@ def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale:
         team: dict[str, float] = {}
         season, out = None, []
         for (year, rnd), race in part.sort_values(["year", "round", "driver"]).groupby(["year", "round"], sort=True):
+            before = driver, team
             if season is not None and year != season:
                 driver = {k: v * keep for k, v in driver.items()}
-                team = {k: v * keep for k, v in team.items()}
-            season = year
+                team = {k: v * (keep_team_at_era if year in eras else keep) for k, v in team.items()}
             d = np.array([driver.get(x, 0.0) for x in race["driver"]])
             t = np.array([team.get(x, 0.0) for x in race["team"]])
             total = d + t
             out.append(pd.DataFrame({"year": year, "round": rnd, "driver": race["driver"].to_numpy(), "elo_driver": d, "elo_team": t, "elo_score": -total}))
             known = race["position"].notna().to_numpy()
-            if not race["race_ok"].iloc[0] or known.sum() < 2:
+            if not race["race_ok"].iloc[0] or not known.any():
+                driver, team = before
+                continue
+            season = year
+            if known.sum() < 2:
                 continue
             p, r = race["position"].to_numpy(float)[known], total[known]
             won = (p[:, None] < p[None, :]) + 0.5 * (p[:, None] == p[None, :])

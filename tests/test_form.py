@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from paceline.operators import circuits, dimensions, evaluation, form, sessions, simulation
+from paceline.operators import circuits, dimensions, evaluation, form, models, sessions, simulation
 
 COLUMNS = (
     "year int, round int, no int, driver string, code string, team string, circuit int, position double, grid double, quali double, quali_gap double,"
@@ -141,3 +141,15 @@ def test_session_rules(spark):
     early = {(r.round, r.name) for r in sessions.earlier_sessions(schedule).collect()}
     assert {n for r, n in early if r == 1} == {"Practice 1", "Practice 2", "Practice 3"}
     assert {n for r, n in early if r == 3} == {"Practice 1", "Sprint Qualifying", "Sprint"}
+
+
+def test_elo_shrinks_teams_harder_at_a_new_era(spark):
+    """a beats b in 1994. 1995 begins an era but its only event doesn't count; 1996 and 1998 do, and 1998 begins one."""
+    events = [(1994, 1, True), (1995, 1, False), (1996, 1, True), (1998, 1, True)]
+    rows = [(y, r, d, t, p, ok) for y, r, ok in events for d, t, p in (("a", "x", 1), ("b", "y", 2))]
+    out = models.elo(spark.createDataFrame(rows, "year int, round int, driver string, team string, position int, race_ok boolean"))
+    got = {x.year: (x.elo_driver, x.elo_team) for x in out.filter("driver = 'a'").collect()}
+    d, t = 15.0, 25.0  # half of each K: the rivals were level
+    late = 1 - 1 / (1 + 10 ** (-2 * 0.75 * (d + t) / 400))
+    want = {1994: (0, 0), 1995: (d * 0.75, t * 0.3), 1996: (d * 0.75, t * 0.75), 1998: ((d * 0.75 + 30 * late) * 0.75, (t * 0.75 + 50 * late) * 0.3)}
+    assert {y: pytest.approx(w) for y, w in want.items()} == got
