@@ -1,6 +1,7 @@
 """Exact n-gram Jaccard self-join by index lists, and the groups it links.
 
-Documents become sets of word n-grams (64-bit hashes). Equal sets are joined first, by their fingerprint. Every other
+Documents become sets of word n-grams (64-bit hashes made of cryptographic hashes of the words). Equal sets are joined
+first, by their fingerprint; a second one of 64 more bits tells apart different sets whose first ones clash. Every other
 set is indexed under its first few n-grams in one global order: two sets over the threshold share one of those. The
 order puts n-grams that many documents hold last, so lists stay short.
 
@@ -15,8 +16,9 @@ Set relations save most of the work on a list:
   second round looks only at pairs whose groups differ; that makes up for attachments that failed.
 
 What is left is screened by longer sketches, half a bit for each n-gram, of which two are compared by the length of
-the shorter. Then pairs are verified on the whole sets, made again for the few that need it: the sets of all that answer one leader are streamed past the leader's, large
-groups split by a salt. Groups are connected components by minimum labels with pointer jumping.
+the shorter. Then pairs are verified on the whole sets, made again for the few that need it: a map of bits, of bounded
+size, tells tasks which texts may be wanted, and only those move. The sets of all that answer one leader are streamed
+past the leader's, large groups split by a salt. Groups are connected components by minimum labels with pointer jumping.
 
 Defined cases: null texts and texts without words have no n-grams and are linked with nothing; texts of fewer words
 than n are one n-gram; repeated rows and copies share a group; a null id is the least id of a group only if all its
@@ -25,31 +27,52 @@ ids are null; an empty table gives an empty result; columns named like the added
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.shared import aside, cut, restored
-from paceline.llm.suffix_dedup import FACTOR, _mixed, hashed, sums
+from paceline.llm.shared import aside, cut, drop, restored
 
 FEW = 16
 MOST_COMMON = 500_000
 SPLIT = 500
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+MAP_BITS = 1 << 26
+SIG_MASK = -1
+MOST_CLASHES = 1000
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """Hashes of words, each made once, as long as there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest())
+        if len(word) <= 32:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = WordHashes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * FACTOR
+    return h ^ (h >> np.uint64(29))
 
 
 def ngrams(text: str | None, n: int) -> np.ndarray:
     """The distinct word n-grams of the whole text, as sorted hashes; A-Z count as a-z."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = np.r_[False, ~SPACE[data], False]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    if not len(edge):
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes split at exactly the six spaces
+    if not parts:
         return np.empty(0, np.uint64)
-    words = hashed(sums(data), edge[::2], edge[1::2])
+    words = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, np.uint64(k))
     for i in range(k):
@@ -57,8 +80,10 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def fingerprint(grams: np.ndarray) -> int:
-    return int(_mixed(np.array([np.bitwise_xor.reduce(_mixed(grams + FACTOR)) + np.uint64(len(grams))]))[0].view(np.int64))
+def fingerprint(grams: np.ndarray, mask: int = -1) -> tuple[int, int]:
+    """The fingerprint of a set, and a second one that tells two sets of equal fingerprints apart."""
+    sig, check = struct.unpack("<qq", blake2b(grams.tobytes(), digest_size=16).digest())
+    return sig & mask, check
 
 
 def parities(grams: np.ndarray) -> bytes:
@@ -87,8 +112,9 @@ def _rows(columns: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _surveyed(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (id, text hash, fingerprint, size) and rows of n-grams that some part holds often."""
-    schema = pa.schema([("id", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
+    """A row for each document (id, text hash, fingerprints, size) and rows of n-grams that some part holds often."""
+    schema = pa.schema([("id", pa.int64()), ("b", pa.binary()), ("sig", pa.int64()), ("also", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("gram", pa.int64()), ("times", pa.int64())])
+    mask = SIG_MASK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,7 +124,7 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             grams, times = np.unique(np.concatenate(held), return_counts=True)
             grams, times = grams[times >= 4], times[times >= 4]
             none = [None] * len(grams)
-            return _rows([none, none, none, none, none, grams.view(np.int64), times], schema)
+            return _rows([none, none, none, none, none, none, grams.view(np.int64), times], schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -107,21 +133,23 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
                 held += sets
                 total += sum(map(len, sets))
                 none = [None] * len(ids)
-                yield _rows([ids, bs, [fingerprint(s) if len(s) else None for s in sets], [len(s) for s in sets], [parities(s) for s in sets], none, none], schema)
+                sig, also = zip(*(fingerprint(s, mask) if len(s) else (None, None) for s in sets), strict=True)
+                yield _rows([ids, bs, sig, also, [len(s) for s in sets], [parities(s) for s in sets], none, none], schema)
                 if total > 4_000_000:
                     yield often()
                     held, total = [], 0
         if held:
             yield often()
 
-    return docs.mapInArrow(run, "id long, b long, sig long, size long, sketch binary, gram long, times long")
+    return docs.mapInArrow(run, "id long, b binary, sig long, also long, size long, sketch binary, gram long, times long")
 
 
 INDEX = "gram long, sig long, size int, pos int, s0 long, s1 long"
 
 
-def _indexed(docs: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
+def _indexed(docs: DataFrame, n: int, num: int, den: int, common, clashes: frozenset[int]) -> DataFrame:
     """The entries of all sets, equal sets of a task once. common: a broadcast of (n-grams that many hold, sorted; their counts)."""
+    mask = SIG_MASK
     schema = pa.schema([("gram", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +160,11 @@ def _indexed(docs: DataFrame, n: int, num: int, den: int, common) -> DataFrame:
                 parts = []
                 for t in batch.column(0).slice(at, 512).to_pylist():
                     s = ngrams(t, n)
-                    sig = fingerprint(s) if len(s) else None
-                    if sig is None or sig in met:
+                    if not len(s):
+                        continue
+                    sig, also = fingerprint(s, mask)
+                    sig = also if sig in clashes else sig
+                    if sig in met:
                         continue
                     met.add(sig)
                     first = len(s) - (num * len(s) + den - 1) // den + 1
@@ -323,48 +354,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return dealt.mapInArrow(run, "x long, y long")
 
 
+def _marked(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts whose hash may be among the chosen ones: a map of MAP_BITS bits, in MAP_BITS / 64 rows at most, goes to
+    all tasks, so that few texts that aren't wanted are moved."""
+    def place(b: Column) -> Column:
+        return F.pmod(F.xxhash64(b), F.lit(MAP_BITS))
+
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    marks = chosen.select(place(F.col("b")).alias("k")).groupBy(F.shiftright("k", 6).alias("word")).agg(F.bit_or(bit).alias("marks"))
+    own = texts.withColumn("k", place(F.col("b"))).withColumn("word", F.shiftright("k", 6))
+    return own.join(F.broadcast(marks), "word").filter(F.col("marks").bitwiseAND(bit) != 0).select(*texts.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label): for each end of a link (x, y) the least end that it reaches."""
     both = cut(links.select("x", "y").union(links.select("y", "x")).distinct())
-    labels = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("label")))
+    held = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("label")).withColumn("old", F.lit(None).cast("long")))
     while True:
+        labels = held.select("v", "label")
         near = both.join(labels.select(F.col("v").alias("y"), "label"), "y").groupBy(F.col("x").alias("v")).agg(F.min("label").alias("near"))
         new = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
-        new = cut(new.join(jump, "mid", "left").select("v", "old", F.least("mid", "far").alias("label")))
-        done = new.filter("label < old").isEmpty()
-        labels = new.select("v", "label")
-        if done:
-            return labels
+        new = cut(new.join(jump, "mid", "left").select("v", F.least("mid", "far").alias("label"), "old"))
+        drop(held)
+        held = new
+        if new.filter("label < old").isEmpty():
+            drop(both)
+            return new.select("v", "label")
 
 
 def _grouped(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -> tuple[DataFrame, dict[str, str]]:
     """The rows of docs, set aside, with their size, their group (null without n-grams) and its first (id, text hash)."""
     held, names = aside(docs)
-    held = held.withColumn("id", F.col(names[key]).cast("long")).withColumn("b", F.xxhash64(names[text]))
+    held = held.withColumn("id", F.col(names[key]).cast("long")).withColumn("b", F.substring(F.unhex(F.sha2(names[text], 256)), 1, 16))
     texts = held.select("id", "b", F.col(names[text]).cast("string").alias("text"))
     survey = cut(_surveyed(texts, n))
-    base = survey.filter(F.col("gram").isNull()).select("id", "b", "sig", "size")
+    base = survey.filter(F.col("gram").isNull()).select("id", "b", "sig", "also", "size", "sketch")
+    # different sets of equal fingerprints, of which there are next to none, are told apart by the second one
+    unlike = base.groupBy("sig").agg((F.min("also") != F.max("also")).alias("unlike")).filter("unlike").select("sig").limit(MOST_CLASHES + 1).collect()
+    if len(unlike) > MOST_CLASHES:
+        raise ValueError("fingerprints of sets clash far more often than hashes do")
+    clashes = frozenset(r.sig for r in unlike)
+    if clashes:
+        base = base.withColumn("sig", F.when(F.col("sig").isin(*clashes), F.col("also")).otherwise(F.col("sig")))
+    # one document of each set stands for it, chosen with partial sums: a set may be that of a third of all documents
+    kinds = base.filter(F.col("sig").isNotNull()).groupBy("sig").agg(
+        F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "b")).alias("first")
+    )
+    kinds = cut(kinds)
     often = cut(survey.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("times").alias("times")))
     # the lowest of these counts that MOST_COMMON n-grams at most reach, so that they can go to all tasks
     bounds = [8 << k for k in range(40)]
     above = often.agg(*(F.coalesce(F.sum((F.col("times") >= t).cast("long")), F.lit(0)).alias(str(k)) for k, t in enumerate(bounds))).first()
     least = next(t for k, t in enumerate(bounds) if above[k] <= MOST_COMMON)
-    often = often.filter(F.col("times") >= least).toArrow()
-    grams = often["gram"].to_numpy().view(np.uint64)
+    most = often.filter(F.col("times") >= least).toArrow()
+    drop(often)
+    grams = most["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    common = docs.sparkSession.sparkContext.broadcast((grams[order], often["times"].to_numpy()[order]))
+    common = docs.sparkSession.sparkContext.broadcast((grams[order], most["times"].to_numpy()[order]))
 
-    entries = _indexed(texts.select("text"), n, num, den, common)
+    entries = _indexed(texts.select("text"), n, num, den, common, clashes)
     first = cut(_first_round(entries, num, den))
-    sketches = survey.filter(F.col("sig").isNotNull()).groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
 
     def verified(found: DataFrame) -> DataFrame:
         """The links among pairs of fingerprints, from the texts of one document each."""
-        pairs = cut(_screened(found, sketches, num, den))
+        pairs = cut(_screened(found, kinds, num, den))
         active = pairs.select(F.col("x").alias("sig")).union(pairs.select("y")).distinct()
-        chosen = base.join(active, "sig").groupBy("sig").agg(F.min(F.struct("b", "id")).alias("one"))
-        chosen = cut(chosen.select("sig", F.col("one.b").alias("b"), F.col("one.id").alias("own")))  # so that Spark knows its size
+        chosen = cut(kinds.join(active, "sig", "left_semi").select("sig", F.col("first.b").alias("b"), F.col("first.id").alias("own")))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema = pa.schema([("sig", pa.int64()), ("grams", pa.binary())])
@@ -373,29 +429,33 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, text: str, key: str) -
                     got = [ngrams(t, n) for t in batch.column(1).slice(at, 256).to_pylist()]
                     yield _rows([batch.column(0).slice(at, 256), [g.tobytes() for g in got]], schema)
 
-        # the texts move once, at every size: a plan that broadcast the few at small sizes only would not tell of large ones
-        fetched = texts.join(chosen.hint("merge"), (texts["b"] == chosen["b"]) & texts["id"].eqNullSafe(chosen["own"])).select("sig", "text")
+        wanted = _marked(texts, chosen).join(chosen.hint("merge"), ["b"]).filter(F.col("id").eqNullSafe(F.col("own"))).select("sig", "text")
         # equal rows give a set twice, which changes no link
-        return cut(_verified(pairs, cut(fetched.mapInArrow(sets, "sig long, grams binary")), num, den))
+        whole = cut(wanted.mapInArrow(sets, "sig long, grams binary"))
+        links = cut(_verified(pairs, whole, num, den))
+        drop(pairs, chosen, whole)
+        return links
 
     pairs = cut(first.filter(F.col("x").isNotNull()).select("x", "y").distinct())
     links = verified(pairs)
     labels = components(links)
     large = first.filter(F.col("gram").isNotNull()).select("gram", "sig", "size", "pos", "s0", "s1")
-    large = large.join(labels.withColumnRenamed("v", "sig"), "sig", "left").join(sketches.select("sig", "sketch"), "sig")
+    large = large.join(labels.withColumnRenamed("v", "sig"), "sig", "left").join(kinds.select("sig", "sketch"), "sig")
     large = large.select("gram", "sig", "size", "pos", "s0", "s1", F.coalesce("label", "sig").alias("label"), "sketch")
     known = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = cut(_second_round(large, num, den).distinct().join(known, ["x", "y"], "left_anti"))
     if not more.isEmpty():
-        labels = components(cut(links.unionByName(verified(more))))
-
-    marked = base.filter(F.col("sig").isNotNull()).join(labels.withColumnRenamed("v", "sig"), "sig", "left")
-    marked = marked.select("id", "b", F.coalesce("label", "sig").alias("label"))
-    first_of = marked.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "b")).alias("first"))
-    by_text = marked.groupBy("b").agg(F.first("label").alias("label")).join(first_of, "label")
-    sizes = base.groupBy("b").agg(F.first("size").alias("n_shingles"))
-    found = sizes.join(by_text, "b", "left").select("b", "n_shingles", "label", F.col("first.id").alias("least"), F.col("first.b").alias("least_b"))
-    return held.join(found, "b", "left"), names
+        again = verified(more)
+        labels = components(links.unionByName(again))
+        drop(again)
+    drop(first, pairs, more, links)
+
+    marked = kinds.select("sig", "first").join(labels.withColumnRenamed("v", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    first_of = marked.groupBy("label").agg(F.min("first").alias("least"))
+    by_set = marked.select("sig", "label").join(first_of, "label").select("sig", "label", "least")
+    by_text = base.groupBy("b").agg(F.first("size").alias("n_shingles"), F.first("sig").alias("sig")).join(by_set, "sig", "left")
+    found = by_text.select("b", "n_shingles", "label", F.col("least.id").alias("least"), F.col("least.b").alias("least_b"))
+    return held.join(found.withColumnRenamed("b", "text_b"), F.col("b").eqNullSafe(F.col("text_b")), "left").drop("text_b"), names
 
 
 def linked(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
