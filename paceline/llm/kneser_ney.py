@@ -1,7 +1,8 @@
 """Quality rules with n-gram perplexity.
 
 Base rules are statistics of a text's words and lines. The language model is a modified Kneser-Ney model over
-character n-grams, one per language: tasks count n-grams of whole texts, Spark sums the counts and derives from them
+n-grams of characters (UTF-16 units, so no letter shares a symbol with another), one per language, of order 4 at most:
+tasks count n-grams of whole texts, Spark sums the counts and derives from them
 continuation counts, discounts, context weights and interpolated probabilities, order by order, from all n-grams.
 After that, an n-gram of any order that a single document holds is left out, or a document's own oddities would make
 it look ordinary: its count goes to the weight of its context, so probabilities still sum to 1.
@@ -31,21 +32,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.llm.shared import aside, cut, restored, small
+from paceline.llm.shared import aside, cut, drop, restored, small
 
-BITS = 15
-FOLD = 32749
+BITS = 16
 MANY = -1
-CHUNK = 8_000_000
+CHUNK = 16_000_000
 SLICE = 1_000_000
 SYMBOLS = "#*$%&|<>"
 
 
 def codes(text: str, order: int) -> Iterator[np.ndarray]:
-    """The packed n-grams of the whole text, in slices. Code points beyond FOLD share symbols."""
-    points = np.frombuffer(f"\n{text}".encode("utf-32-le", "surrogatepass"), np.uint32)
-    for at in range(0, len(points) - order + 1, SLICE):
-        s = points[at : at + SLICE + order - 1].astype(np.int64) % FOLD
+    """The packed n-grams of the whole text, in slices. Symbols are UTF-16 units: none is folded, and four fill 64 bits."""
+    units = np.frombuffer(f"\n{text}".encode("utf-16-le", "surrogatepass"), np.uint16)
+    for at in range(0, len(units) - order + 1, SLICE):
+        s = units[at : at + SLICE + order - 1].astype(np.int64)
         n = len(s) - order + 1
         out = s[:n].copy()
         for k in range(1, order):
@@ -133,14 +133,14 @@ def totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"), holder_of())
 
 
-def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def model(top: DataFrame, order: int, drops: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (lang, code, n, holder) of the highest order to (lang, k, code, logp) and (lang, k, code, logg), and the
-    first's rows of the highest order, as (lang, code, p).
+    first's rows of the highest order, as (lang, code, p). If it drops the tables of lower orders, only that is left.
 
     The second holds contexts of k symbols and the weight with which they pass on to order k. Counts, discounts and
     continuation counts are those of all n-grams. One that a single document holds passes its whole count on.
     """
-    mask = [(1 << BITS * k) - 1 for k in range(order + 1)]
+    mask = [(1 << BITS * k) - 1 for k in range(order)]
     tables = {order: top.select("lang", "code", F.col("n").alias("c"), "holder")}
     for k in range(order - 1, 0, -1):
         tables[k] = cut(tables[k + 1].groupBy("lang", F.col("code").bitwiseAND(F.lit(mask[k])).alias("code")).agg(F.count("*").alias("c"), holder_of()))
@@ -159,7 +159,7 @@ def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         t = t.join(small(d), F.col("lang").eqNullSafe(F.col("l"))).drop("l")  # a row for each language
         t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         t = t.withColumn("d", F.when(F.col("holder") == MANY, F.col("d")).otherwise(F.col("c").cast("double")))
-        t = t.withColumn("h", F.shiftright("code", BITS))
+        t = t.withColumn("h", F.shiftrightunsigned("code", BITS))
         ctx = t.groupBy("lang", "h").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g")).select(F.col("lang").alias("l"), F.col("h").alias("hh"), "total", "g")
         weights.append(ctx.select(F.col("l").alias("lang"), F.lit(k - 1).alias("k"), F.col("hh").alias("code"), F.log("g").cast("float").alias("logg")))
         t = t.join(ctx, F.col("lang").eqNullSafe(F.col("l")) & (F.col("h") == F.col("hh"))).drop("l", "hh")
@@ -168,7 +168,12 @@ def model(top: DataFrame, order: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         else:
             lower = below.select(F.col("lang").alias("l"), F.col("code").alias("s"), F.col("p").alias("q"))
             t = t.join(lower, F.col("lang").eqNullSafe(F.col("l")) & (F.col("code").bitwiseAND(F.lit(mask[k - 1])) == F.col("s")))
-        below = cut(t.select("lang", "code", ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("q")).alias("p")))
+        t = t.select("lang", "code", ((F.col("c") - F.col("d")) / F.col("total") + F.col("g") * F.col("q")).alias("p"))
+        below, older = cut(t), below
+        if drops and k < order:
+            drop(tables[k])
+        if drops and k > 1:
+            drop(older)
         probs.append(below.select("lang", F.lit(k).alias("k"), "code", F.log("p").cast("float").alias("logp")))
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
     return union(probs), union(weights), below
@@ -194,14 +199,13 @@ class Arrays:
             return None
         logs, left = np.zeros(len(keys)), np.arange(len(keys))
         for k in range(self.order, 0, -1):
-            mask = (1 << BITS * k) - 1
-            own = keys[left] & mask
+            own = keys[left] & ((1 << BITS * k) - 1) if k < self.order else keys[left]
             found, p = self.look(self.probs.get((lang, k)), own)
             logs[left[found]] += p[found]
             left, own = left[~found], own[~found]
             if not len(left):
                 break
-            known, g = self.look(self.weights.get((lang, k - 1)), own >> BITS)
+            known, g = self.look(self.weights.get((lang, k - 1)), (own.view(np.uint64) >> np.uint64(BITS)).view(np.int64))
             logs[left[known]] += g[known]
         logs[left] -= np.log(len(self.probs[lang, 1][0]) + 1)  # a symbol never seen
         return float(-(logs * n).sum())
@@ -266,15 +270,19 @@ def packed(held: DataFrame, text: str) -> DataFrame:
 
 
 def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
-    """held with the five statistics and the surprise of a word.
+    """held with the five statistics and the surprise of a word, written.
 
     Each chunk's distinct n-grams meet the model in a join, and the chunk's documents meet their answers. Documents
     are read twice and must come in the same order, so anything but a scan of files or rows is written first.
     """
+    if not 1 <= order <= 4:
+        raise ValueError("n-grams of 1 to 4 symbols fit in 64 bits")
     if "Exchange" in held._jdf.queryExecution().executedPlan().toString():
         held = cut(held)
     parts = cut(counted(held, order, text, lang))
-    p = model(cut(totals(parts)), order)[2]
+    top = cut(totals(parts))
+    p = model(top, order, drops=True)[2]
+    drop(top)
     known = p.select(F.col("lang").alias("l"), F.col("code").alias("c"), F.log("p").cast("float").alias("logp"))
     answers = parts.select("chunk", "lang", "code").join(known, F.col("lang").eqNullSafe(F.col("l")) & (F.col("code") == F.col("c")))
     schema = T.StructType([*held.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} long" for c in COLUMNS) + ", surprise double").fields])
@@ -312,7 +320,9 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
                     out.append(pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names))
         return pa.Table.from_batches(out)
 
-    return packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema)
+    out = cut(packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema))
+    drop(parts, p)
+    return out
 
 
 def base_stats(text: str) -> tuple[int, int, int, int, int]:
@@ -354,7 +364,6 @@ def rules(docs: DataFrame, spread: float = 6.0, order: int = 4, text: str = "tex
     held = held.withColumn("k", F.col(names[lang]).cast("string"))
     scored = scored_by(held, order, names[text], "k")
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    scored = cut(scored)
     out = scored.join(small(banded(scored)), F.col("k").eqNullSafe(F.col("l")), "left")
     width = spread * F.sqrt(F.col("far") ** 2 + F.col("per_word") ** 2 / F.greatest("n_words", F.lit(1)))
     out = out.withColumn("low", F.col("mid") - width).withColumn("high", F.col("mid") + width)

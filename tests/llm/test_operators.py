@@ -316,6 +316,51 @@ def test_rules_keep_their_order_at_every_size(spark, monkeypatch):
     assert surprises(spark, TEXTS, ["en"] * len(TEXTS), 3) == pytest.approx(formula(TEXTS, 3), rel=1e-4)
 
 
+def weighted(values):
+    """The median as percentile_approx gives it: the least value that half of all reach."""
+    return sorted(values)[(len(values) + 1) // 2 - 1]
+
+
+def test_bands_against_brute_force(spark):
+    """Gibberish lies above its language's band."""
+    r = random.Random(4)
+    usual = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    texts = [" ".join(r.choices(usual, weights, k=r.randint(150, 400))) for _ in range(300)]
+    texts.append(" ".join("".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(9)) for _ in range(200)))
+    given = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = kneser_ney.rules(given).orderBy("doc_id").toPandas()
+    ok = got[~got.base_failed & got.surprise.notna()]
+    mid = weighted(ok.surprise)
+    off = (ok.surprise - mid).abs() * 1.4826
+    far, per_word = max(weighted(off), 0.02), weighted(off * np.sqrt(ok.n_words))
+    width = 6 * np.sqrt(far**2 + per_word**2 / got.n_words.clip(lower=1))
+    assert np.allclose(got.low, mid - width, rtol=1e-3) and np.allclose(got.high, mid + width, rtol=1e-3)
+    inside = got.surprise.between(got.low, got.high) | got.surprise.isna()
+    assert (got.kept == (~got.base_failed & inside)).all()
+    assert got.surprise[300] > got.high[300] and not got.kept[300]
+    assert got.kept[:300].mean() > 0.95
+
+
+def test_low_band_rejects(spark):
+    """Base rules look at windows of five words; a text that repeats less than that but has few kinds of words lies low."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(r.choice(letters) for _ in range(r.randint(5, 9))) for _ in range(200)) for _ in range(200)]
+    few = ["".join(r.choice(letters) for _ in range(5)) for _ in range(12)]
+    texts += [" ".join(r.choice(few) for _ in range(200)) for _ in range(4)]
+    given = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = kneser_ney.rules(given).orderBy("doc_id").toPandas()
+    assert (got.surprise[200:] < got.low[200:]).all() and not got.base_failed[200:].any() and not got.kept[200:].any()
+    assert got.kept[:200].all()
+
+
+def test_no_letter_is_scored_as_another():
+    text = "가a" + chr(ord("가") - 32749) + "😀"
+    codes = np.concatenate(list(kneser_ney.codes(text, 1)))
+    assert len(set(codes.tolist())) == 6  # the line end before the text, three letters and the two halves of the last
+
+
 # --- line dedup
 
 
@@ -394,6 +439,40 @@ def test_groups_against_brute_force(spark, n, num, den):
     assert kept == {i for i, (size, c) in enumerate(slow_groups(texts, n, num, den)) if c == i}
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    word = thue_morse(1024)
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    got = jaccard.linked(docs(spark, texts), 3, 90, 100).orderBy("doc_id").collect()
+    assert [x.component_id for x in got] == [0, 1]
+
+
+def test_clashing_fingerprints_are_told_apart(spark, monkeypatch):
+    texts = near_copies(1, prose(11, 150), 10, 2) + [prose(i, 60) for i in range(20, 40)] + ["", "one two", "One  two", None]
+    monkeypatch.setattr(jaccard, "SIG_MASK", 3)
+    got = jaccard.linked(docs(spark, texts), 3, 90, 100).orderBy("doc_id").select("n_shingles", "component_id").collect()
+    assert [tuple(x) for x in got] == slow_groups(texts, 3, 90, 100)
+
+
+def test_full_map_of_wanted_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAP_BITS", 64)
+    texts = near_copies(4, prose(14, 100), 12, 3) + [prose(i, 60) for i in range(20, 30)]
+    got = jaccard.linked(docs(spark, texts), 3, 90, 100).orderBy("doc_id").select("n_shingles", "component_id").collect()
+    assert [tuple(x) for x in got] == slow_groups(texts, 3, 90, 100)
+
+
+def test_second_round(spark):
+    """Chains on which leaders' answers don't reach all links, so that later rounds decide."""
+    chain = prose(78, 400).split()
+    texts = [" ".join([*chain[:300], *(f"v{i}x{k}" for k in range(i % 7))]) for i in range(30)]
+    texts += [" ".join(chain[i : i + 290]) for i in range(0, 40, 4)]
+    got = jaccard.linked(docs(spark, texts), 3, 90, 100).orderBy("doc_id").select("n_shingles", "component_id").collect()
+    assert [tuple(x) for x in got] == slow_groups(texts, 3, 90, 100)
+
+
 def test_groups_edges(edges, empty):
     got = check(jaccard.linked(edges), edges).toPandas()
     assert set(got.loc[got.doc_id.isin([1, 2, 10]), "component_id"]) == {1}
