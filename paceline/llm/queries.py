@@ -94,21 +94,22 @@ JACCARD_SQL = r"""
     SELECT r.x AS doc_id, any_value(n) AS n_shingles, min(r.y) AS component_id FROM r JOIN sized ON sized.doc_id = r.x GROUP BY r.x
 """
 
-#: Runs of 2^k lines with 10 words or more that an earlier place has too.
+#: Maximal runs of lines that two places have in common, from all pairs of equal lines; the later place of each with
+#: 10 words or more goes.
 LINES_SQL = r"""
-    WITH RECURSIVE l AS (
+    WITH l AS (
         SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
-    ), k(n) AS (SELECT 1 UNION ALL SELECT 2 * n FROM k WHERE 2 * n <= (SELECT max(len(ls)) FROM l)),
-    runs AS (
-        SELECT doc_id, n, unnest(range(1, len(ls) - n + 2)) AS pos, ls FROM l, k WHERE n <= len(ls)
-    ), named AS (
-        SELECT doc_id, n, pos, array_to_string(ls[pos : pos + n - 1], chr(10)) AS run FROM runs
-    ), judged AS (
-        SELECT doc_id, n, pos, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) > 1 AS later,
-            len(list_filter(regexp_split_to_array(run, '[ 	-]+'), lambda x: x <> '')) AS words
-        FROM named
+    ), e AS (
+        SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM l
+    ), w AS (
+        SELECT *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM e
+    ), pairs AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, b.pos - a.pos AS off, b.pos, b.words
+        FROM w a JOIN w b ON a.line = b.line AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
+    ), runs AS (
+        SELECT *, pos - row_number() OVER (PARTITION BY x, y, off ORDER BY pos) AS run FROM pairs
     ), gone AS (
-        SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM judged WHERE later AND words >= 10
+        SELECT DISTINCT y AS doc_id, pos FROM (SELECT y, pos, sum(words) OVER (PARTITION BY x, y, off, run) AS total FROM runs) WHERE total >= 10
     ), per AS (SELECT doc_id, list(pos) AS ps FROM gone GROUP BY doc_id)
     SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
         sha256(array_to_string(list_filter(ls, lambda x, i: NOT coalesce(list_contains(ps, i), false)), chr(10))) AS kept_sha256

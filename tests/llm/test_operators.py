@@ -365,28 +365,38 @@ def test_no_letter_is_scored_as_another():
 
 
 def slow_lines(texts, least):
-    where, n = collections.defaultdict(list), 1
+    """Every run of lines, of any length, with enough words and an earlier copy goes."""
     split = [t.split("\n") for t in texts]
-    while n <= max(map(len, split)):
-        for d, lines in enumerate(split):
-            for i in range(len(lines) - n + 1):
-                where[n, "\n".join(lines[i : i + n])].append((d, i))
-        n *= 2
-    gone = set()
-    for (n, run), places in where.items():
-        if len(re.findall(r"[^\x20\x09-\x0D]+", run)) >= least:
-            gone |= {(d, i + k) for d, i in sorted(places)[1:] for k in range(n)}
+    first, gone = {}, set()
+    for d, lines in enumerate(split):
+        for i in range(len(lines)):
+            for n in range(1, len(lines) - i + 1):
+                run = "\n".join(lines[i : i + n])
+                if first.setdefault((n, run), (d, i)) != (d, i) and len(re.findall(r"[^\x20\x09-\x0D]+", run)) >= least:
+                    gone |= {(d, i + k) for k in range(n)}
     return ["\n".join(x for i, x in enumerate(lines) if (d, i) not in gone) for d, lines in enumerate(split)]
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("rows", [7, 100_000])
+def test_line_dedup_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "ROWS", rows)
     r = random.Random(8)
     texts = ["\n".join(r.choice(["a b c", "d e", "f g h i", "j", "", "k l m n o p"]) for _ in range(r.randint(1, 14))) for _ in range(40)]
+    block = ["a", "b", "", "c d", "", "e", "f", "g", "h", "i", "j k"]
+    texts += ["\n".join(["x" * i, *block, *["y"] * i, *block]) for i in range(4)]
     for least in (1, 6, 12):
         got = [x.text for x in line_dedup.dedup(docs(spark, texts), least).orderBy("doc_id").collect()]
         assert got == slow_lines(texts, least)
 
 
+def test_runs_of_any_length_go(spark):
+    """The threshold is on the whole run: three lines of four words, seven of two, a long line with short ones behind."""
+    for run in (["a b c d", "e f g h", "i j k l"], ["a b"] + [f"{c} {c}" for c in "cdefgh"], [" ".join("w" * 60), "one two three", "four five six x"]):
+        texts = ["\n".join([f"start {i}", *run, f"end {i}"]) for i in range(3)]
+        got = [x.text for x in line_dedup.dedup(docs(spark, texts)).orderBy("doc_id").collect()]
+        assert got == [texts[0], "start 1\nend 1", "start 2\nend 2"]
+
+
 def test_line_dedup_edges(edges, empty):
     got = check(line_dedup.dedup(edges), edges).toPandas()
     assert got.loc[got.doc_id == 3, "text"].isna().all() and got.loc[got.doc_id == 4, "text"].item() == ""
