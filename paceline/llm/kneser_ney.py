@@ -269,8 +269,8 @@ def packed(held: DataFrame, text: str) -> DataFrame:
     return held.mapInArrow(run, "chunk long, rows binary")
 
 
-def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
-    """held with the five statistics and the surprise of a word, written.
+def scored_by(held: DataFrame, order: int, text: str, lang: str, kept: list[str]) -> DataFrame:
+    """The columns `kept` of held with the five statistics and the surprise of a word, written.
 
     Each chunk's distinct n-grams meet the model in a join, and the chunk's documents meet their answers. Documents
     are read twice and must come in the same order, so anything but a scan of files or rows is written first.
@@ -285,7 +285,7 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
     drop(top)
     known = p.select(F.col("lang").alias("l"), F.col("code").alias("c"), F.log("p").cast("float").alias("logp"))
     answers = parts.select("chunk", "lang", "code").join(known, F.col("lang").eqNullSafe(F.col("l")) & (F.col("code") == F.col("c")))
-    schema = T.StructType([*held.schema.fields, *T.StructType.fromDDL(", ".join(f"{c} long" for c in COLUMNS) + ", surprise double").fields])
+    schema = T.StructType([*(held.schema[c] for c in kept), *T.StructType.fromDDL(", ".join(f"{c} long" for c in COLUMNS) + ", surprise double").fields])
 
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -317,7 +317,7 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str) -> DataFrame:
                     stats = [base_stats(t or "") for t in texts]
                     lost = [surprise(t, k, s[0]) for t, k, s in zip(texts, langs, stats, strict=True)]
                     added = [*(pa.array(x, pa.int64()) for x in zip(*stats, strict=True)), pa.array(lost, pa.float64())]
-                    out.append(pa.RecordBatch.from_arrays([*batch.columns, *added], names=schema.names))
+                    out.append(pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=schema.names))
         return pa.Table.from_batches(out)
 
     out = cut(packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema))
@@ -357,19 +357,21 @@ def base_stats(text: str) -> tuple[int, int, int, int, int]:
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def rules(docs: DataFrame, spread: float = 6.0, order: int = 4, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs with the five statistics, base_failed, surprise (log perplexity of a
+def rules(docs: DataFrame, spread: float = 6.0, order: int = 4, text: str = "text", lang: str = "lang", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of docs, or these columns of them, with the five statistics, base_failed, surprise (log perplexity of a
     word), its band low and high, and kept."""
-    held, names = aside(docs)
+    columns = tuple(docs.columns) if columns is None else columns
+    held, names = aside(docs.select(*dict.fromkeys([*columns, text, lang])))
     held = held.withColumn("k", F.col(names[lang]).cast("string"))
-    scored = scored_by(held, order, names[text], "k")
+    own = {c: names[c] for c in columns}
+    scored = scored_by(held, order, names[text], "k", [*own.values(), "k"])
     scored = scored.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     out = scored.join(small(banded(scored)), F.col("k").eqNullSafe(F.col("l")), "left")
     width = spread * F.sqrt(F.col("far") ** 2 + F.col("per_word") ** 2 / F.greatest("n_words", F.lit(1)))
     out = out.withColumn("low", F.col("mid") - width).withColumn("high", F.col("mid") + width)
     inside = F.coalesce(F.col("surprise").between(F.col("low"), F.col("high")), F.lit(True))
     added = {c: F.col(c) for c in (*COLUMNS, "base_failed", "surprise", "low", "high")}
-    return restored(out, names, **added, kept=~F.col("base_failed") & inside)
+    return restored(out, own, **added, kept=~F.col("base_failed") & inside)
 
 
 def banded(scored: DataFrame, least: float = 0.02) -> DataFrame:
