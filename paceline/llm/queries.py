@@ -35,14 +35,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return kneser_ney.rules(docs).drop("text", "lang", "source", "n_chars")
+    return kneser_ney.rules(table(spark, sf_dir, "documents"), columns=("doc_id",))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    decoded = bpe.round_trip(docs, path)
     ids, text = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     return decoded.select("doc_id", "n_tokens", ids, text)
 
