@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str) -> DataFrame:
+    """One table of all parts, each written before the next is asked for."""
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote. Only for those of which nothing that is still to be computed reads."""
     for t in tables:

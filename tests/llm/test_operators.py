@@ -505,14 +505,38 @@ def test_topk_against_brute_force(spark):
     for i in range(0, 400, 20):
         scores = sorted((-int(s), k * 5) for k, s in enumerate(q @ q[i]) if k != i)[:10]
         want[i * 5] = [(k, -s) for s, k in scores]
-    for options in ({}, {"few": 0, "bins": 5}, {"block_size": 3}):
+    frame = frame.unionByName(frame.filter("vec_id = 100"))  # a repeated query row, which is also a repeated candidate
+    for q_id, found in want.items():
+        again = [x for x in found if x[0] == 100]
+        want[q_id] = sorted(found + again, key=lambda x: (-x[1], x[0]))[:10]
+    for options in ({}, {"bins": 5}, {"block_size": 3}):
         got = collections.defaultdict(list)
         for x in topk.top_k(frame, **options).orderBy("query_id", "rank").collect():
             got[x.query_id].append((x.vec_id, x.score))
         assert got == want
+        assert topk.ROUNDS[0] >= 0 and topk.ROUNDS[-1] == 0  # histograms ran until every k-th value was known
     assert topk.top_k(frame.limit(0)).isEmpty()
 
 
+def test_histograms_find_each_kth_value(spark):
+    topk.top_k(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), bins=16).count()
+    assert len(topk.ROUNDS) >= 3 and topk.ROUNDS[0] > 0 and topk.ROUNDS[-1] == 0
+
+
+def test_topk_of_queries_of_two_lengths_and_of_large_components(spark):
+    table = [(0, [1.0, 2.0]), (100, [1.0]), (1, [3.0]), (2, [1.0, 1.0]), (3, [2.0**20, -(2.0**20)]), (200, [2.0**20, 2.0**20])]
+    got = topk.top_k(spark.createDataFrame(table, "vec_id long, embedding array<double>")).collect()
+    want = collections.defaultdict(list)
+    for a, x in table:
+        for b, y in table:
+            if a % 100 == 0 and a != b and len(x) == len(y):
+                want[a].append((-sum(int(i * 1024) * int(j * 1024) for i, j in zip(x, y, strict=True)), b))
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == {(a, i + 1, b, -s) for a, found in want.items() for i, (s, b) in enumerate(sorted(found))}
+    large = spark.createDataFrame([(0, [1e20, 1.0]), (1, [1e20, -1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit in 64 bits"):
+        topk.top_k(large).collect()
+
+
 # --- suffix arrays
 
 
