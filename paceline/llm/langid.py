@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from paceline.llm.shared import aside, cut, restored, with_python
 
 SLICE = 2_000_000
+WIDTH = 1 << 15
 MODEL_BYTES = 64 << 20
 
 
@@ -71,9 +72,9 @@ class Space:
             return found, place[codes]
         return np.unique(codes, return_inverse=True)
 
-    def slices(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """First text, counts (texts x distinct trigrams) and those trigrams' vectors, for slices of all symbols."""
-        each = [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
+    def slices(self, each: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First text, counts (texts x distinct trigrams) and those trigrams' vectors, for slices of all symbols and
+        WIDTH distinct trigrams of each at a time, so that memory doesn't grow with the alphabet."""
         flat = np.concatenate([*each, np.empty(0, np.int32)]).astype(np.int64)
         doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
         size = self.rolled.shape[1]
@@ -85,14 +86,22 @@ class Space:
             if len(codes):
                 found, which = self.trigrams(codes, size)
                 first, n = d[0], d[-1] - d[0] + 1
-                counts = np.bincount((d - first) * len(found) + which, minlength=n * len(found)).reshape(n, len(found))
-                a, b, c = found // size // size, found // size % size, found % size
-                vectors = self.rolled[0, a] * self.rolled[1, b] * self.rolled[2, c]
-                yield first, counts.astype(np.float32), vectors.astype(np.float32)
+                for k in range(0, len(found), WIDTH):
+                    own, here = found[k : k + WIDTH], slice(None)
+                    if len(found) > WIDTH:
+                        here = np.flatnonzero((which >= k) & (which < k + WIDTH))
+                    at_own = (d[here] - first) * len(own) + which[here] - k
+                    counts = np.bincount(at_own, minlength=n * len(own)).reshape(n, len(own))
+                    a, b, c = own // size // size, own // size % size, own % size
+                    vectors = self.rolled[0, a] * self.rolled[1, b] * self.rolled[2, c]
+                    yield first, counts.astype(np.float32), vectors.astype(np.float32)
+
+    def symbols_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.symbols(t) if t else np.empty(0, np.int32) for t in texts]
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.float32)
-        for first, counts, vectors in self.slices(texts):
+        for first, counts, vectors in self.slices(self.symbols_of(texts)):
             out[first : first + len(counts)] += counts @ vectors
         return out
 
@@ -124,12 +133,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dims: int = 5
                 texts, langs = (batch.column(i).slice(at, 256).to_pylist() for i in (0, 1))
                 kinds = sorted(set(langs))
                 kind = np.array([kinds.index(x) for x in langs])
-                n = np.zeros(len(texts))
-                parts = list(own.slices(texts))
-                for first, counts, _ in parts:
-                    n[first : first + len(counts)] += counts.sum(axis=1)
+                each = own.symbols_of(texts)
+                n = np.array([len(x) - 2 for x in each])  # trigrams
                 got = np.zeros((len(kinds), dims))
-                for first, counts, vectors in parts:
+                for first, counts, vectors in own.slices(each):
                     rows = np.arange(first, first + len(counts))
                     share = np.zeros((len(kinds), len(counts)), np.float32)
                     share[kind[rows], np.arange(len(counts))] = 1 / np.maximum(n[rows], 1)
