@@ -49,6 +49,32 @@ def test_sharding_mixes(spark):
     assert abs(np.corrcoef(got.doc_id, np.arange(500))[0, 1]) < 0.2
 
 
+def test_sharding_against_its_law(spark):
+    """Every row is in one place, with its size and CRC, and a shard is what its places say; files in other splits agree."""
+    import zlib
+
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sharding.shard(frame, 24).withColumn("crc", F.crc32(F.encode("text", "UTF-8"))).toPandas()
+    given = {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
+    assert sorted(got.doc_id) == sorted(given)
+    for r in got.itertuples():
+        data = None if given[r.doc_id] is None else given[r.doc_id].encode()
+        assert r.size == 8 + len(data or b"") and (r.crc == zlib.crc32(data) if data is not None else r.crc != r.crc)
+    n = len(got)
+    place = sorted(zip(got.shard, got.slot, strict=True))
+    assert place == [(p * 24 // n, p - -(-(p * 24 // n) * n // 24)) for p in range(n)]
+    other = sharding.shard(frame.repartition(7), 24).toPandas()
+    assert set(zip(got.doc_id, got.shard, got.slot, strict=True)) == set(zip(other.doc_id, other.shard, other.slot, strict=True))
+
+
+def test_equal_rows_are_spread(spark):
+    rows_ = [(1, "same text")] * 900 + [(i, f"text {i}") for i in range(2, 302)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("place", "offset", "salt", "many")})
+    got = sharding.shard(frame, 3, bucket_bytes=1000).toPandas()
+    assert got.shard.value_counts().tolist() == [400, 400, 400] and set(got.place) == {"place"} and set(got.salt) == {"salt"}
+    assert all(got[got.shard == s].doc_id.eq(1).mean() > 0.6 for s in range(3))
+
+
 def test_written_shards(edges, spark, tmp_path):
     path = str(tmp_path / "shards")
     sharding.write_shards(sharding.shard(edges, 2).select("doc_id", "text", "shard", "slot"), path)
@@ -95,6 +121,32 @@ def test_targets_by_repeated_sharing(spark):
         assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_mixing_against_brute_force(spark):
+    """Documents by key, whole epochs first, then the prefix of the order that fills the rest of the target."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    frame = frame.unionByName(frame.filter("doc_id < 9").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(frame.filter("doc_id < 5"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keyed = frame.withColumn("key", -F.log(u) / mixing.quality_weight(F.col("text"))).collect()
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in keyed]
+    sizes = collections.Counter()
+    for r, n in zip(keyed, size, strict=True):
+        sizes[r.source] += n
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    target = shares(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), 2.0)
+    want = collections.defaultdict(list)
+    for s in sizes:
+        epochs = int(target[s] // sizes[s]) if sizes[s] else 0
+        left = round(target[s] - epochs * sizes[s])
+        for r, n in sorted(((r, n) for r, n in zip(keyed, size, strict=True) if r.source == s), key=lambda x: (x[0].key, x[0].doc_id is not None, x[0].doc_id or 0)):
+            part = min(n, left)
+            left -= part
+            want[r.doc_id, r.text, s].append(epochs * n + part)
+    got = collections.defaultdict(list)
+    for r in mixing.mix(frame, rows_per_bucket=10).collect():
+        got[r.doc_id, r.text, r.source].append(r.taken)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_mixing_prefers_quality(spark):
     clean, junk = ["plain words in a row here"] * 200, ["### *** $$$ %%% &&& |||"] * 200
     texts = docs(spark, [f"{t} {i}" for i, t in enumerate(clean + junk)]).withColumn("source", F.lit("s"))
@@ -171,6 +223,36 @@ def test_long_texts_are_sliced(monkeypatch):
     whole = own.documents([text, "ab"])
     monkeypatch.setattr(langid, "SLICE", 100)
     assert np.allclose(own.documents([text, "ab"]), whole)
+    monkeypatch.setattr(langid, "WIDTH", 7)
+    assert np.allclose(own.documents([text, "ab"]), whole)
+
+
+def test_languages_against_brute_force(spark):
+    """Prototypes and cosines by their definition, trigram by trigram."""
+    own = langid.Space(128, 3)
+
+    def vector(text):
+        letters = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower(), flags=re.UNICODE).strip() + " "
+        if not re.search(r"[^\W\d_]", text or ""):
+            return np.zeros(128), 0
+        base = {c: np.random.default_rng([3, ord(c)]).integers(0, 2, 128, np.int8) * 2 - 1 for c in set(letters)}
+        grams = [np.roll(base[a], 2) * np.roll(base[b], 1) * base[c] for a, b, c in zip(letters, letters[1:], letters[2:], strict=False)]
+        return np.sum(grams, axis=0), len(grams)
+
+    texts = [(i, prose(i, 40) if i % 2 else " ".join(reversed(prose(i, 40).upper().split())) + " ñandú über", "ab"[i % 2]) for i in range(10)]
+    frame = spark.createDataFrame([*texts, (10, "1 2", "a"), (11, None, "b")], "doc_id long, text string, lang string")
+    totals = {}
+    for _, t, k in texts:
+        v, n = vector(t)
+        totals[k] = totals.get(k, 0) + v / n
+    names = sorted(totals)
+    got = langid.identify(frame, langid.learn(frame, dims=128, seed=3)).orderBy("doc_id").collect()
+    for (_, t, _), r in zip(texts, got, strict=False):
+        v, _ = vector(t)
+        assert np.allclose(own.documents([t])[0], v)
+        cosine = [v @ totals[k] / np.linalg.norm(v) / np.linalg.norm(totals[k]) for k in names]
+        assert r.lang_pred == names[int(np.argmax(cosine))] and r.score == pytest.approx(max(cosine), abs=1e-5)
+    assert [(r.lang_pred, r.score) for r in got[10:]] == [("und", 0.0)] * 2
 
 
 # --- quality
