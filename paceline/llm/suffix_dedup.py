@@ -7,12 +7,14 @@ the corpus would pass through one machine, so Spark first brings together what c
    anchors at equal offsets. Consecutive windows with one anchor form a run, cut in two where the anchor passes the
    middle of the window: each part's windows share the bytes of one half beside the anchor, its core. Runs whose
    anchor and core occur once in the corpus go, by a count with partial sums.
-2. Runs of the same anchor, extent and fingerprint are equal: with two or more of them, all their windows repeat.
+2. Runs of the same anchor, extent and 128-bit cryptographic fingerprint are equal: with two or more of them, all their
+   windows repeat.
 3. What is left are runs that overlap in part, at the edges of repeats. The bytes of one run of each kind are fetched
    and grouped by anchor and core. In a group, each run is cut to what it can share with another, by the longest
-   agreement to the left and to the right of the anchor, and the suffix array of the rest is built: windows are equal where neighbours in it agree in
-   their first `length` bytes. A group of more than MOST kinds, such as a passage that a third of all documents holds,
-   is settled by counting its windows' hashes in Spark instead, so that it needn't fit in a task.
+   agreement to the left and to the right of the anchor, and the suffix array of the rest is built: windows are equal
+   where neighbours in it agree in their first `length` bytes. A group of more than MOST kinds, such as a passage that
+   a third of all documents holds, needn't fit in a task: it is split as far as groups can be, to groups of one window,
+   whose suffix array would be trivial, and these are counted in Spark.
 
 The suffix array is built by linear grouping. Suffixes are grouped by their first byte and groups are taken from the
 last to the first. For each suffix of the group its previous smaller pointer is the nearest suffix before it in a
@@ -20,7 +22,7 @@ lower group; those suffixes get the group's word appended to theirs, as often as
 their groups. In the end suffixes are grouped by their longest Lyndon prefix, and one pass along the pointers emits
 each group's order.
 
-Rows are known by hashes of the id and of the text, so equal rows share a result. Fingerprints have 64 bits.
+Rows are known by hashes of the id and of the text, so equal rows share a result.
 
 Defined cases: null and short texts keep everything; an empty table gives an empty result; repeated rows count as
 copies of one another; columns named like the added ones are replaced.
@@ -29,6 +31,7 @@ copies of one another; columns named like the added ones are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -126,9 +129,17 @@ def sums(b: np.ndarray) -> np.ndarray:
 
 
 def hashed(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of parts that bring together what may be equal; they decide nothing."""
     return _mixed((total[end] - total[start]) * _powers[1][start])
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray, extent: np.ndarray) -> np.ndarray:
+    """Cryptographic 128-bit fingerprints of the parts with their extents, as two columns."""
+    ends = extent.astype("<i8").tobytes()
+    parts = (data[x:y] + ends[8 * i : 8 * i + 8] for i, (x, y) in enumerate(zip(start.tolist(), end.tolist(), strict=True)))
+    return np.frombuffer(b"".join(blake2b(p, digest_size=16).digest() for p in parts), np.int64).reshape(-1, 2)
+
+
 def runs(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For the runs of windows with one anchor: first and last window, the anchor's place and hash."""
     n = len(b) - length + 1
@@ -151,8 +162,9 @@ def runs(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     return first, last, at, h[at]
 
 
-def records(text: str | None, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """anchor (with core), kind (fingerprint with extent), first window and extent of each run of the text, in slices.
+def records(text: str | None, length: int, kinds: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    """anchor (with core), two halves of the kind (fingerprint with extent), first window and extent of each run of the
+    text, in slices; without kinds only the anchors.
 
     An extent is 512 times the windows after the first, plus the anchor's distance from the first. Slices overlap by
     a window less a byte. A run cut in two at a slice's end is two runs; as the place of the cut is no part of the
@@ -165,7 +177,7 @@ def records(text: str | None, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         first, last, anchor, h = runs(b, length)
         if not len(first):
             continue
-        total = sums(b)
+        total, raw = sums(b), b.tobytes()
         parts = []
         for side in (0, 1):  # the anchor at least half behind the window's start, then less
             lo = first if side == 0 else np.maximum(first, anchor - half + 1)
@@ -175,33 +187,36 @@ def records(text: str | None, length: int) -> Iterator[tuple[np.ndarray, ...]]:
             core = hashed(total, own - half, own) if side == 0 else hashed(total, own, own + length - half + 1)
             extent = (hi - lo) * 512 + own - lo
             key = _mixed(h[some] ^ (core * FACTOR + np.uint64(side)))
-            kind = _mixed(hashed(total, lo, hi + length) ^ (extent.astype(np.uint64) * FACTOR))
-            parts.append((key.view(np.int64), kind.view(np.int64), lo + at, extent))
+            if not kinds:
+                parts.append((key.view(np.int64),))
+                continue
+            kind = digests(raw, lo, hi + length, extent)
+            parts.append((key.view(np.int64), kind[:, 0], kind[:, 1], lo + at, extent))
         yield tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _found(docs: DataFrame, length: int, kinds: bool) -> DataFrame:
     """The records of (a, b, text); without kinds only anchors, with their number in a batch."""
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int64()), ("first", pa.int32()), ("extent", pa.int32())]
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("kind", pa.int64()), ("kind2", pa.int64()), ("first", pa.int32()), ("extent", pa.int32())]
     schema = pa.schema(fields if kinds else [("anchor", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 a, b, texts = (batch.column(i).slice(at, 512).to_pylist() for i in range(3))
-                parts = [(x, y, r) for x, y, t in zip(a, b, texts, strict=True) for r in records(t, length)]
+                parts = [(x, y, r) for x, y, t in zip(a, b, texts, strict=True) for r in records(t, length, kinds)]
                 if not parts:
                     continue
                 columns = [np.concatenate(c) for c in zip(*(r for _, _, r in parts), strict=True)]
                 if kinds:
                     n = [len(r[0]) for _, _, r in parts]
                     ids = [np.repeat(np.array([p[i] for p in parts], np.int64), n) for i in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, columns[0], columns[1])), *(pa.array(c.astype(np.int32)) for c in columns[2:])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*ids, *columns[:3])), *(pa.array(c.astype(np.int32)) for c in columns[3:])], schema=schema)
                 else:
                     keys, n = np.unique(columns[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], schema=schema)
 
-    ddl = "a long, b long, anchor long, kind long, first int, extent int" if kinds else "anchor long, n long"
+    ddl = "a long, b long, anchor long, kind long, kind2 long, first int, extent int" if kinds else "anchor long, n long"
     return docs.mapInArrow(run, ddl)
 
 
@@ -307,26 +322,28 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
     return edges.mapInArrow(run, SPANS)
 
 
-def _by_counts(edges: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many kinds of runs: windows' fingerprints counted in Spark."""
+def _by_windows(edges: DataFrame, length: int) -> DataFrame:
+    """The same for anchors of very many kinds of runs, split down to single windows: of the fingerprints of these, 128
+    bits each, Spark counts which there are twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("anchor", pa.int64()), ("w", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("w", pa.int64()), ("w2", pa.int64())])
         for batch in batches:
             for r in batch.to_pylist():
-                b = np.frombuffer(r["context"], np.uint8)
-                first = np.arange(len(b) - length + 1)
-                w = hashed(sums(b), first, first + length).view(np.int64)
+                first = np.arange(len(r["context"]) - length + 1)
+                w = digests(r["context"], first, first + length, np.zeros(len(first), np.int64))
                 m = len(first)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, r[c])) for c in ("a", "b", "n")), pa.array((first + r["first"]).astype(np.int32)), pa.array(np.full(m, r["anchor"])), pa.array(w)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(m, r[c])) for c in ("a", "b", "n")), pa.array((first + r["first"]).astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], schema=schema)
 
-    windows = edges.mapInArrow(run, "a long, b long, n long, at int, anchor long, w long")
-    often = windows.groupBy("anchor", "w").agg(F.count("*").alias("times")).filter("times > 1")
-    return windows.filter("n = 1").join(often, ["anchor", "w"], "left_semi").select("a", "b", F.col("at").alias("first"), F.col("at").alias("last"))
+    windows = edges.mapInArrow(run, "a long, b long, n long, at int, w long, w2 long")
+    often = windows.groupBy("w", "w2").agg(F.count("*").alias("times")).filter("times > 1")
+    return windows.filter("n = 1").join(often, ["w", "w2"], "left_semi").select("a", "b", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
 def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans and kept (the bytes that are left)."""
+    if not 2 * GRAM <= length <= 512:
+        raise ValueError("length must be from 32 to 512")
     held, names = aside(docs)
     held = held.withColumn("a", F.xxhash64(names[key])).withColumn("b", F.xxhash64(names[text]))
     texts = held.select("a", "b", F.col(names[text]).cast("string").alias("text"))
@@ -334,11 +351,11 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "do
 
     anchors = _found(known, length, False).groupBy("anchor").agg(F.sum("n").alias("times")).filter("times > 1").select("anchor")
     again = cut(_found(known, length, True).join(anchors, "anchor", "left_semi"))
-    kinds = again.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "first", "extent")).alias("one"))
-    kinds = cut(kinds.select("anchor", "kind", "n", "one.*"))
-    many = kinds.filter("n > 1").select("anchor", "kind")
+    kinds = again.groupBy("anchor", "kind", "kind2").agg(F.count("*").alias("n"), F.min(F.struct("a", "b", "first", "extent")).alias("one"))
+    kinds = cut(kinds.select("anchor", "kind", "kind2", "n", "one.*"))
+    many = kinds.filter("n > 1").select("anchor", "kind", "kind2")
     last = F.col("first") + F.shiftright("extent", 9)
-    whole = again.join(many, ["anchor", "kind"], "left_semi").select("a", "b", "first", last.alias("last"))
+    whole = again.join(many, ["anchor", "kind", "kind2"], "left_semi").select("a", "b", "first", last.alias("last"))
 
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     edges = kinds.join(groups.select("anchor", "kinds"), "anchor")
@@ -359,7 +376,7 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "do
     fetched = cut(fetched)
     few = fetched.filter(F.col("kinds") <= MOST).repartition("anchor").sortWithinPartitions("anchor")
     parts = _by_suffixes(few.select("anchor", "n", "a", "b", "first", "left", "context"), length)
-    parts = parts.unionByName(_by_counts(fetched.filter(F.col("kinds") > MOST), length))
+    parts = parts.unionByName(_by_windows(fetched.filter(F.col("kinds") > MOST), length))
     spans = whole.unionByName(parts).groupBy("a", "b").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def start():

@@ -652,11 +652,20 @@ def test_byte_dedup_against_brute_force(spark, monkeypatch):
         assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got] == want
 
 
-def test_runs_are_sliced():
+def test_runs_are_sliced(monkeypatch):
     text = prose(70, 400)
-    whole = suffix_dedup.records(text, 200)
-    n = sum(int((e >> 9).sum()) + len(e) for *_, e in whole)
-    assert n == len(text.encode()) - 199
+    for size in (1 << 22, 256, 301):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        parts = list(suffix_dedup.records(text, 200))
+        windows = sorted(w for *_, first, extent in parts for f, e in zip(first, extent, strict=True) for w in range(f, f + (e >> 9) + 1))
+        assert windows == list(range(len(text.encode()) - 199)) and (len(parts) > 1) == (size < 1000)
+
+
+def test_words_that_collide_in_polynomial_hashes_stay(spark):
+    word = thue_morse(2048)
+    texts = [word[:1024], word[1024:].translate(str.maketrans("ab", "ba"))[::-1], word[:1024].translate(str.maketrans("ab", "ba"))]
+    got = suffix_dedup.dedup(docs(spark, texts), 500).orderBy("doc_id").collect()
+    assert [(x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got] == slow_bytes(texts, 500)
 
 
 def test_byte_dedup_edges(edges, empty):
