@@ -279,6 +279,27 @@ def test_rule_paths():
     assert got == {(("a", True, 1.0),), (("a", True, 1.0), ("b", True, 2.0)), (("a", True, 1.0), ("b", False, 2.0)), (("a", False, 1.0),)}
 
 
+def test_scores_against_rules_one_by_one(spark):
+    """The compiled column gives what the rules and weights give, row by row; a very long labelled text is no exception."""
+    r = random.Random(3)
+    texts = [(i, prose(i, r.randint(5, 90)) if i % 3 else "### $$$ " * r.randint(1, 30)) for i in range(120)] + [(120, prose(7, 60_000)), (121, ""), (122, None)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 121, 2)], "doc_id long, quality int")
+    stats = rule_ensemble.statistics(F.col("text"))
+    held = frame.select("doc_id", *(c.alias(k) for k, c in stats.items()))
+    ensemble = rule_ensemble.learn(held.join(labels, "doc_id"), list(stats), "quality")
+    assert ensemble.terms
+    got = {x.doc_id: x.score for x in rule_ensemble.classify(frame, labels, F.lit(True)).collect()}
+    for row in held.withColumn("score", ensemble.score()).collect():
+        z = ensemble.intercept
+        for rule, weight in ensemble.terms:
+            if all((row[s] <= v) if upper else (row[s] > v) for s, upper, v in rule.bounds):
+                z += weight
+        assert row.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+        assert got[row.doc_id] == pytest.approx(row.score, abs=1e-3)  # a fit of its own, from the same rows
+    assert len(got) == 123
+
+
 def slow_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = text.split("\n")
@@ -690,6 +711,59 @@ def test_op9_on_the_table(spark):
     assert [tuple(x) for x in queries.op9_suffix_dedup(spark, SF).orderBy("doc_id").collect()] == want
 
 
+def wanted_copies(given):
+    """What mix() takes of whole documents, one source after the other."""
+    sizes, out = collections.Counter(), {}
+    for r in given:
+        sizes[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    target = shares(sizes, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}, 1.5 * sum(sizes.values()), 2.0)
+    for s in order:
+        epochs, start = int(target[s] // sizes[s]) if sizes[s] else 0, 0
+        for r in sorted((r for r in given if r.source == s), key=lambda r: (r.key, r.doc_id)):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            out[r.doc_id] = (epochs + (start + n / 2 <= target[s] - epochs * sizes[s])) if n else 0
+            start += n
+    return {k: v for k, v in out.items() if v}
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what its predecessor kept."""
+    import duckdb
+    import tiktoken
+
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    held = {"": spark.read.parquet(f"{SF}/documents.parquet").cache()}
+    for name, stage in corpus_pipeline.STAGES:
+        held[name] = stage(spark, held[list(held)[-1]], SF).cache()
+    first, second, third, fourth, fifth = (held[n].collect() for n in stages)
+    given = held[""].collect()
+
+    ids = lambda rows: {r.doc_id for r in rows}
+    base = {r.doc_id for r in given if (lambda x: x[0] >= 10 and 100 * x[4] <= 20 * x[0])(slow_stats(r.text or ""))}
+    judged = {r.doc_id: r for r in kneser_ney.rules(held[""]).collect()}
+    assert ids(first) == {i for i in base if judged[i].surprise is None or judged[i].low <= judged[i].surprise <= judged[i].high}
+
+    con = duckdb.connect()
+    con.register("documents", held["quality rules"].toPandas())
+    cleaned = {r[0]: r[1] for r in con.sql(queries.LINES_SQL.replace("sha256(", "(")).select("doc_id, kept_sha256").fetchall()}
+    assert {r.doc_id: r.text for r in second} == {i: t for i, t in cleaned.items() if re.search(r"[^\x20\x09-\x0D]", t)}
+
+    order = sorted(second, key=lambda r: r.doc_id)
+    groups = slow_groups([r.text for r in order], 5, 80, 100)
+    assert ids(third) == {r.doc_id for i, (r, (_, c)) in enumerate(zip(order, groups, strict=True)) if c == i}
+
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    keyed = held["n-gram Jaccard join"].withColumn("key", -F.log(u) / mixing.quality_weight(F.col("text"))).collect()
+    assert collections.Counter(r.doc_id for r in fourth) == wanted_copies(keyed)
+
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    want = collections.Counter((r.doc_id, np.array(other.encode_ordinary(r.text), "<u4").tobytes(), True) for r in fourth)
+    assert collections.Counter((r.doc_id, bytes(r.ids), r.round_trip) for r in fifth) == want
+
+
 def test_pipeline(spark, edges):
     import corpus_pipeline
 
