@@ -185,7 +185,8 @@ def dedup(docs: DataFrame, least_words: int = 10, text: str = "text", key: str =
 
         return work
 
-    out = with_python(held.join(spans, "rid", "left"), [names[text], "spans"], "left_text string, n_lines long, n_removed long", start)
+    # the texts move at every size: a plan that sent the spans of small inputs to all tasks would not tell of large ones
+    out = with_python(held.join(spans.hint("merge"), "rid", "left"), [names[text], "spans"], "left_text string, n_lines long, n_removed long", start)
     return restored(out, names, n_lines=F.col("n_lines"), n_removed=F.col("n_removed"), **{text: F.col("left_text")}).select(
         *dict.fromkeys([*docs.columns, "n_lines", "n_removed"])
     )
