@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from paceline.sources.championship import RAW_SQL
 from paceline.sources.league import LEAGUE_SQL
 
 
@@ -217,6 +218,50 @@ def search(n: int) -> str:
     return ctes + " " + " UNION ALL ".join(parts)
 
 
+SESSION_AUDIT = RAW_SQL + """, ar AS (
+    SELECT year, round, session, count(*) AS results_rows, count(*) - count(position) AS results_null_position, count(*) - count(DISTINCT code) AS results_dup_drivers,
+        sum(CASE WHEN position = 1 THEN 1 ELSE 0 END) AS winners FROM rres GROUP BY year, round, session
+), al AS (
+    SELECT year, round, session, count(*) AS laps_rows, count(DISTINCT code) AS laps_drivers, avg(CASE WHEN lap <> 1 THEN CASE WHEN seconds IS NULL THEN 1.0 ELSE 0.0 END END) AS laptime_null_frac FROM rlaps GROUP BY year, round, session
+), ax AS (
+    SELECT year, round, session, CASE WHEN session IN ('Race', 'Sprint') THEN 'race' WHEN session LIKE '%Qualifying%' THEN 'qualifying' ELSE 'practice' END AS kind,
+        coalesce(results_rows, 0) AS results_rows, coalesce(results_null_position, 0) AS results_null_position, coalesce(results_dup_drivers, 0) AS results_dup_drivers, coalesce(winners, 0) AS winners,
+        coalesce(laps_rows, 0) AS laps_rows, coalesce(laps_drivers, 0) AS laps_drivers, laptime_null_frac AS u, unreadable, CASE WHEN unreadable THEN 0 ELSE weather_rows END AS weather_rows, CASE WHEN unreadable THEN '' ELSE missing_tables END AS missing_tables
+    FROM rmk LEFT JOIN ar USING (year, round, session) LEFT JOIN al USING (year, round, session)
+), sa AS (
+    SELECT *, list_filter([CASE WHEN unreadable THEN 'unreadable_marker' END, CASE WHEN results_rows NOT BETWEEN 18 AND 25 THEN 'unusual_result_rows' END, CASE WHEN results_dup_drivers > 0 THEN 'duplicate_drivers' END,
+        CASE WHEN kind = 'race' AND results_rows > 0 AND results_null_position > 0.2 * results_rows THEN 'many_null_positions' END, CASE WHEN kind = 'race' AND results_rows > 0 AND winners <> 1 THEN 'no_single_winner' END,
+        CASE WHEN laps_rows = 0 THEN 'no_laps' END, CASE WHEN laps_rows > 0 AND kind = 'race' AND (u IS NULL OR u > 0.25) THEN 'many_null_laptimes' END, CASE WHEN laps_rows > 0 AND kind = 'race' AND u > 0.05 AND u <= 0.25 THEN 'some_untimed_laps' END,
+        CASE WHEN laps_rows > 0 AND laps_drivers < results_rows - 2 THEN 'laps_missing_drivers' END, CASE WHEN weather_rows = 0 THEN 'no_weather' END], lambda f: f IS NOT NULL) AS f FROM ax
+), sv AS (
+    SELECT year, round, session, kind, results_rows, results_null_position, results_dup_drivers, laps_rows, laps_drivers, round(u, 6) AS laptime_null_frac, weather_rows, missing_tables, array_to_string(f, ',') AS flags,
+        NOT list_has_any(f, ['unusual_result_rows', 'duplicate_drivers', 'many_null_positions', 'no_single_winner', 'unreadable_marker']) AS results_ok,
+        NOT list_has_any(f, ['no_laps', 'many_null_laptimes', 'laps_missing_drivers', 'unreadable_marker']) AS laps_ok, NOT list_contains(f, 'no_weather') AS weather_ok FROM sa
+)"""
+WEEKEND = """, wg AS (
+    SELECT *, best / min(best) OVER (PARTITION BY year, round, session) * 100 - 100 AS gap FROM (SELECT year, round, session, code, min(seconds) AS best FROM rlaps WHERE seconds IS NOT NULL AND valid GROUP BY year, round, session, code)
+), wp AS (SELECT *, max(session) OVER (PARTITION BY year, round) AS final FROM wg WHERE session LIKE 'Practice%' AND (round % 3 <> 0 OR session = 'Practice 1')),
+wn AS (SELECT year, round, CAST(count(DISTINCT session) AS DOUBLE) AS n FROM wp GROUP BY year, round),
+wo AS (SELECT year, round, code, min(gap) AS b, max(CASE WHEN session = final THEN gap END) AS l FROM wp GROUP BY year, round, code),
+ws AS (SELECT year, round, code, gap AS g, CAST(rank() OVER (PARTITION BY year, round ORDER BY gap) AS DOUBLE) AS p FROM wg WHERE session = 'Sprint Qualifying' AND round % 3 = 0),
+wk AS (
+    SELECT h.year, h.round, h.code, h.driver, h.team, b AS pq_fp_best_gap, l AS pq_fp_last_gap, coalesce(n, 0.0) AS pq_fp_n, p AS pq_sprintq_pos, g AS pq_sprintq_gap, CASE WHEN h.round % 3 = 0 THEN h.quali END AS pq_sprint_pos
+    FROM league h LEFT JOIN wn USING (year, round) LEFT JOIN wo USING (year, round, code) LEFT JOIN ws USING (year, round, code)
+)"""
+READINGS = ", wx AS (SELECT year, round, avg(l_quantity) AS wx_air_temp, avg(l_tax * 1000) AS wx_track_temp, avg(l_discount * 1000) AS wx_humidity, avg(l_extendedprice / 1000) AS wx_wind_speed, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS wx_rain_frac FROM ln GROUP BY year, round)"
+BUILT = SESSION_AUDIT + WEEKEND + READINGS + """, bm0 AS (
+    SELECT year, round, code, quantile_cont(seconds, 0.5) AS m FROM rlaps WHERE session = 'Race' AND seconds IS NOT NULL AND accurate AND track = '1' AND NOT pit_in AND NOT pit_out AND valid GROUP BY year, round, code HAVING count(*) >= 5
+), bf AS (SELECT year, round, quantile_cont(m, 0.5) AS f FROM bm0 GROUP BY year, round HAVING count(*) >= 10),
+bq AS (SELECT year, round, code, position, least(q1, q2, q3) / min(least(q1, q2, q3)) OVER (PARTITION BY year, round) * 100 - 100 AS gap FROM rq),
+built AS (
+    SELECT h.year, h.round, h.no, h.driver, h.code, CASE h.team WHEN 'MIDDLE EAST' THEN 'AFRICA' WHEN 'ASIA' THEN 'ASIA-PACIFIC' ELSE h.team END AS team, h.position, h.grid, h.points, h.dnf OR h.position IS NULL AS dnf, h.circuit,
+        bq.position AS quali, bq.gap AS quali_gap, CASE WHEN laps_ok THEN m / f * 100 - 100 END AS pace_gap, wx.wx_air_temp, wx_track_temp, wx_humidity, wx_wind_speed, wx.wx_rain_frac,
+        pq_fp_best_gap, pq_fp_last_gap, pq_fp_n, pq_sprintq_pos, pq_sprintq_gap, pq_sprint_pos, coalesce(results_ok, false) AND h.race_ok AS race_ok
+    FROM league h LEFT JOIN bq USING (year, round, code) LEFT JOIN bm0 USING (year, round, code) LEFT JOIN bf USING (year, round) LEFT JOIN wx USING (year, round) LEFT JOIN wk USING (year, round, code)
+    LEFT JOIN (SELECT * FROM sv WHERE session = 'Race') USING (year, round)
+)"""
+WX = ("wx_air_temp", "wx_track_temp", "wx_humidity", "wx_wind_speed", "wx_rain_frac")
+PQ = ("pq_fp_best_gap", "pq_fp_last_gap", "pq_fp_n", "pq_sprintq_pos", "pq_sprintq_gap", "pq_sprint_pos")
 L = LEAGUE_SQL
 FLOATS = ("position", "grid", "quali", "quali_gap", "pace_gap", "points", "wx_rain_frac", "wx_air_temp", "fp_best_gap", "fp_last_gap")
 ORACLE_SQL: dict[str, str] = {
@@ -287,4 +332,18 @@ ORACLE_SQL: dict[str, str] = {
     "reliability_bins": f"{L}{BINS} SELECT bin, {rounded('mean_p', 'rate')}, n FROM rel",
     "ece": f"{L}{BINS} SELECT round(sum(n * abs(mean_p - rate)) / sum(n), 6) AS ece FROM rel",
     "noise_grid_search": f"{L}{FIELD}{OUTCOMES}{search(50)}",
+    "build_history": f"{L}{BUILT} SELECT year, round, no, driver, code, team, circuit, {rounded('position', 'grid', 'points', 'quali', 'quali_gap', 'pace_gap', *WX, *PQ)}, dnf, race_ok FROM built",
+    "session_audit": f"{L}{SESSION_AUDIT} SELECT * FROM sv",
+    "audit_summary_by_kind": f"""{L}{SESSION_AUDIT} SELECT kind, count(*) AS sessions, CAST(sum(CASE WHEN results_ok THEN 1 ELSE 0 END) AS BIGINT) AS results_ok, CAST(sum(CASE WHEN laps_ok THEN 1 ELSE 0 END) AS BIGINT) AS laps_ok,
+        CAST(sum(CASE WHEN weather_ok THEN 1 ELSE 0 END) AS BIGINT) AS weather_ok, CAST(sum(CASE WHEN flags = 'some_untimed_laps' THEN 1 ELSE 0 END) AS BIGINT) AS informational FROM sv GROUP BY kind""",
+    "unmatched_events": f"{L} SELECT DISTINCT year, round FROM league WHERE (year * 12 + round) % 5 = 0",
+    "weekend_features": f"{L}{RAW_SQL}{WEEKEND} SELECT year, round, code, {rounded(*PQ)} FROM wk",
+    "weather_features": f"{L}{BUILT} SELECT DISTINCT year, round, {rounded(*WX)}, CAST(CASE WHEN wx_rain_frac > 0 THEN 1 WHEN wx_rain_frac IS NOT NULL THEN 0 END AS DOUBLE) AS wx_is_wet FROM built",
+    "weekend_pace_full": f"""{L}{RAW_SQL}{WEEKEND} SELECT year, round, driver, {rounded(*PQ)},
+        CASE WHEN pq_fp_best_gap IS NOT NULL THEN rank() OVER (PARTITION BY year, round ORDER BY pq_fp_best_gap NULLS LAST) + (count(pq_fp_best_gap) OVER (PARTITION BY year, round, pq_fp_best_gap) - 1) / 2.0 END AS pq_fp_best_rank,
+        round(pq_fp_best_gap - CASE WHEN count(pq_fp_best_gap) OVER w > CASE WHEN pq_fp_best_gap IS NULL THEN 0 ELSE 1 END THEN (sum(pq_fp_best_gap) OVER w - coalesce(pq_fp_best_gap, 0)) / (count(pq_fp_best_gap) OVER w - CASE WHEN pq_fp_best_gap IS NULL THEN 0 ELSE 1 END) END, 6) AS pq_fp_vs_teammate
+        FROM (SELECT * REPLACE (CASE team WHEN 'MIDDLE EAST' THEN 'AFRICA' WHEN 'ASIA' THEN 'ASIA-PACIFIC' ELSE team END AS team) FROM wk) WINDOW w AS (PARTITION BY year, round, team)""",
+    "calendar_events": "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS round, CAST((month(o_orderdate) - 1) % 6 AS INTEGER) AS circuit FROM orders",
+    "named_results": f"{L}{RAW_SQL} SELECT year, round, session, code, position FROM rres WHERE session <> 'Qualifying'",
+    "races_that_count": f"{L} SELECT DISTINCT year, round FROM league WHERE race_ok",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import baselines, circuits, dimensions, evaluation, form, models, sessions, simulation
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, form, models, sessions, simulation
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
+from paceline.sources import championship
 from paceline.sources.league import league, table
 
 RACE = form.RACE
@@ -103,6 +104,32 @@ def prior_probabilities(history: DataFrame) -> DataFrame:
     return g.select(*RACE, "driver", *(F.least(F.lit(1.0), 2.0 * k / (F.col("grid") + 1 + k)).alias(f"p_{e}") for e, k in simulation.EVENTS.items()))
 
 
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of up to 25 are usual in this league."""
+    return audit.audit(championship.markers(spark, sf_dir), championship.results(spark, sf_dir), championship.laps(spark, sf_dir), most=25)
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (f(spark, sf_dir) for f in (championship.results, championship.schedule, championship.laps, championship.weather))
+    return assembly.build_history(*parts, audit.race_quality(audited(spark, sf_dir)), championship.not_a_race(spark))
+
+
+def weekend_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = championship.results(spark, sf_dir)
+    return r6(assembly.weekend_features(championship.schedule(spark, sf_dir), championship.laps(spark, sf_dir), results, results.filter("session = 'Race'")))
+
+
+def unmatched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a calendar that lacks every fifth month."""
+    known = championship.schedule(spark, sf_dir).filter((F.col("year") * 12 + F.col("round")) % 5 != 0)
+    return assembly.unmatched(championship.results(spark, sf_dir), known)
+
+
+def races_that_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = championship.schedule(spark, sf_dir).select(*RACE)
+    return assembly.keys_in(events, championship.not_a_race(spark), present=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_table": of_league(lambda h: h),
     "driver_form": of_league(form.driver_form),
@@ -170,6 +197,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairwise_ranker": of_league(models.pairwise_scores),
     "out_of_fold_grids": of_league(models.out_of_fold_grids),
     "predicted_grid_chain": of_league(models.predicted_grid_scores),
+    "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
+    "session_audit": lambda spark, sf_dir: r6(audited(spark, sf_dir)),
+    "audit_summary_by_kind": lambda spark, sf_dir: audit.summary(audited(spark, sf_dir)),
+    "unmatched_events": unmatched_events,
+    "weekend_features": weekend_features,
+    "weather_features": lambda spark, sf_dir: r6(assembly.weather_features(built(spark, sf_dir))),
+    "weekend_pace_full": lambda spark, sf_dir: r6(assembly.weekend_pace(built(spark, sf_dir))),
+    "calendar_events": lambda spark, sf_dir: championship.schedule(spark, sf_dir).select(*RACE, "circuit"),
+    "named_results": lambda spark, sf_dir: championship.results(spark, sf_dir).filter("session <> 'Qualifying'").select(*RACE, "session", "code", "position"),
+    "races_that_count": races_that_count,
 }
 
 
