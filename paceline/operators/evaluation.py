@@ -123,3 +123,96 @@ def leaderboard(per_race: DataFrame, base: str, metric: str = "spearman") -> Dat
         (F.sum("m") / F.sum("n")).alias(metric), (F.sum("g") / F.sum("n")).alias("gain"),
         F.sum((F.col("g") > 1e-9).cast("int")).alias("seasons_better"), F.count("*").alias("seasons"), F.sum("n").alias("races"),
     )
+
+
+class LockedSeasonError(ValueError):
+    """A season that is kept for the end was asked for."""
+
+
+class TuningLeakError(ValueError):
+    """Tuning would see a season that isn't for development."""
+
+
+def check_not_locked(seasons: tuple[int, ...], locked: tuple[int, ...], allow: bool = False) -> None:
+    if not allow and (met := sorted(set(seasons) & set(locked))):
+        raise LockedSeasonError(f"seasons {met} are locked")
+
+
+def development_only(rows: DataFrame, seasons: tuple[int, ...]) -> DataFrame:
+    """The rows, all of which must be of these seasons: the data is looked at, not its label."""
+    if outside := sorted(r.year for r in rows.filter(~F.col("year").isin(*seasons)).select("year").distinct().limit(5).collect()):
+        raise TuningLeakError(f"seasons {outside} are not for development")
+    return rows
+
+
+def checked(per_race: DataFrame) -> DataFrame:
+    """per_race, refused if a model lacks an event that others have or repeats one."""
+    if bad := [r.model for r in coverage(per_race).select("model").limit(5).collect()]:
+        raise ValueError(f"models {bad} were not scored once on each event")
+    return per_race
+
+
+def intervals(gains: DataFrame, n: int = 2000, clustered: bool = True, seed: int = 0) -> DataFrame:
+    """(model, low, high): 2.5 and 97.5 percentiles of the mean gain of each model, with the same draws for all.
+
+    gains: model, year, round, gain; all models have the same events, whose numbers are drawn as in bootstrap().
+    """
+    events = gains.select(*RACE).distinct()
+    samples = gains.sparkSession.range(n).withColumnRenamed("id", "i")
+    draw = lambda *parts: uniform(F.lit(seed), *parts)
+    if clustered:
+        seasons = events.groupBy("year").agg(F.count("*").alias("races")).withColumn("s", F.row_number().over(Window.orderBy("year")))
+        total = seasons.agg(F.max("s").alias("total"))
+        d = samples.join(F.broadcast(total)).select("i", "total", F.explode(F.sequence(F.lit(1), "total")).alias("d"))  # one row
+        d = d.withColumn("s", (F.floor(draw(F.col("i"), F.col("d")) * F.col("total")) + 1).cast("int")).join(F.broadcast(seasons), "s")
+        d = d.select("i", "d", "year", "races", F.explode(F.sequence(F.lit(1).cast("long"), "races")).alias("e"))
+        picked = d.select("i", "year", (F.floor(draw(F.col("i"), F.col("d"), F.col("e")) * F.col("races")) + 1).cast("int").alias("k"))
+        keys, order = ["year", "k"], Window.partitionBy("year").orderBy("round")
+    else:
+        total = events.agg(F.count("*").alias("total"))
+        d = samples.join(F.broadcast(total)).select("i", "total", F.explode(F.sequence(F.lit(1).cast("long"), "total")).alias("d"))  # one row
+        picked = d.select("i", (F.floor(draw(F.col("i"), F.col("d")) * F.col("total")) + 1).cast("int").alias("k"))
+        keys, order = ["k"], Window.orderBy(*RACE)
+    # how often each event was drawn for each sample, so that models meet counts and not draws
+    times = picked.groupBy("i", *keys).agg(F.count("*").alias("times"))
+    numbered = gains.join(events.withColumn("k", F.row_number().over(order)), list(RACE))  # a row per event
+    means = times.join(numbered.select("model", *keys, "gain"), keys).groupBy("model", "i").agg((F.sum(F.col("gain") * F.col("times")) / F.sum("times")).alias("m"))
+    return means.groupBy("model").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def best_of(per_race: DataFrame, among: tuple[str, ...], metric: str, smallest: bool = False) -> DataFrame:
+    """One row: the model among these with the highest, or smallest, mean metric."""
+    means = per_race.filter(F.col("model").isin(*among)).groupBy("model").agg(F.avg(metric).alias("m"))
+    return means.agg((F.min_by if smallest else F.max_by)("model", "m").alias("best"))
+
+
+def gains_over(per_race: DataFrame, best: DataFrame, metric: str) -> DataFrame:
+    """model, year, round, gain of the metric over the model named by the one row of best."""
+    base = per_race.join(F.broadcast(best), F.col("model") == F.col("best")).select(*RACE, F.col(metric).alias("b"))
+    return per_race.join(base, list(RACE)).select("model", *RACE, (F.col(metric) - F.col("b")).alias("gain"))
+
+
+def full_leaderboard(per_race: DataFrame, baselines: tuple[str, ...], metric: str = "spearman", n: int = 2000) -> DataFrame:
+    """Models by their mean metric, highest first: all mean metrics, the gain over the best baseline with both
+    intervals, and the seasons in which a model is better. One that clearly beats has its clustered interval above 0."""
+    means = per_race.groupBy("model").agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("races"))
+    best = best_of(per_race, baselines, metric)
+    gains = gains_over(per_race, best, metric)
+    season = gains.groupBy("model", "year").agg(F.avg("gain").alias("g"))
+    won = season.groupBy("model").agg(F.sum((F.col("g") > 0).cast("long")).alias("seasons_better"), F.count("*").alias("seasons"))
+    out = means.join(won, "model").join(gains.groupBy("model").agg(F.avg("gain").alias("vs_best_baseline")), "model")
+    for name, clustered in (("", True), ("iid_", False)):
+        ci = intervals(gains, n, clustered)
+        out = out.join(ci.select("model", F.col("low").alias(f"{name}ci_low"), F.col("high").alias(f"{name}ci_high")), "model")
+    out = out.join(F.broadcast(best), F.lit(True)).withColumn("is_best", F.col("model") == F.col("best"))  # one row
+    other = lambda c: F.when(~F.col("is_best"), F.col(c)).alias(c)
+    return out.select(
+        "model", F.col("model").isin(*baselines).alias("is_baseline"), *METRICS, "races", F.when(F.col("is_best"), 0.0).otherwise(F.col("vs_best_baseline")).alias("vs_best_baseline"),
+        *(other(c) for c in ("ci_low", "ci_high", "iid_ci_low", "iid_ci_high")), "seasons_better", "seasons",
+        (~F.col("is_best") & (F.col("vs_best_baseline") > 0)).alias("beats_best_baseline"), (~F.col("is_best") & (F.col("ci_low") > 0)).alias("clearly_beats"),
+    ).orderBy(F.desc(metric), "model")
+
+
+def relevance(position: Column, most: int = 23) -> Column:
+    """A label for rankers: the better the place, the higher, 1 at least."""
+    return F.greatest(most - position, F.lit(1.0))

@@ -97,20 +97,45 @@ def team_form(history: DataFrame) -> DataFrame:
     )
 
 
-def recency_form(history: DataFrame, half_lives: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
-    """Exponentially weighted means; age is counted in events of the calendar, not of the entrant.
+def decayed(rows: DataFrame, by: str, values: dict[str, str], half_lives: tuple[int, ...], block: int = 256) -> DataFrame:
+    """year, round, by and, for each value and half-life h, the mean of earlier values weighted by 2^(-age / h).
 
-    The weight 2^(usable_before / h) has the target's age as a common factor, which cancels in the ratio. Exponents
-    stay within a double for some 1000 half-lives; blocks of the calendar would have to be rebased beyond.
+    rows: year, round, by, usable_before, race_ok and the values. The target's age is a common factor of all weights and
+    cancels in the ratio. So weights may count from any event: sums within a block of events count from its beginning,
+    and each block carries the sums of those before it, decayed by the events between. No exponent grows with the
+    history. What is older than 1000 half-lives weighs nothing in a double.
     """
-    h = history.join(calendar(history), list(RACE))
-    out = [F.col("year"), F.col("round"), F.col("driver")]
-    for value, name in (("quali_gap", "qgap"), ("quali", "quali")):
-        seen = F.col("race_ok") & F.col(value).isNotNull()
-        for half in half_lives:
-            w = F.when(seen, F.pow(F.lit(2.0), F.col("usable_before") / half))
-            out.append(F.try_divide(F.sum(w * F.col(value)).over(_so_far("driver")), F.sum(w).over(_so_far("driver"))).alias(f"drv_{name}_ew{half}"))
-    return h.select(*out)
+    at = F.floor(F.col("usable_before") / block)
+    x = rows.withColumn("block", at).withColumn("age", F.col("usable_before") - at * block)
+    names = {(v, h): f"{n}_ew{h}" for v, n in values.items() for h in half_lives}
+    sums = []
+    for v, h in names:
+        w = F.when(F.col("race_ok") & F.col(v).isNotNull(), F.pow(F.lit(2.0), F.col("age") / h))
+        sums += [(f"w_{v}_{h}", w, h), (f"s_{v}_{h}", w * F.col(v), h)]
+    blocks = x.groupBy(by, "block").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(k) for k, c, _ in sums))
+    past = F.collect_list(F.struct("block", *(k for k, _, _ in sums))).over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+
+    def carry(k: str, h: int) -> Column:
+        return F.aggregate("past", F.lit(0.0), lambda a, b: a + b[k] * F.pow(F.lit(2.0), (b["block"] - F.col("block")) * block / h)).alias(f"c{k}")
+
+    carried = blocks.select(by, "block", past.alias("past")).select(by, "block", *(carry(k, h) for k, _, h in sums))
+    own = Window.partitionBy(by, "block").orderBy(*RACE).rowsBetween(Window.unboundedPreceding, -1)
+    for k, c, _ in sums:
+        x = x.withColumn(k, F.coalesce(F.sum(c).over(own), F.lit(0.0)))
+    x = x.join(carried, [by, "block"])
+    ratio = lambda v, h: F.try_divide(F.col(f"s_{v}_{h}") + F.col(f"cs_{v}_{h}"), F.col(f"w_{v}_{h}") + F.col(f"cw_{v}_{h}"))
+    return x.select(*RACE, by, *(ratio(v, h).alias(n) for (v, h), n in names.items()))
+
+
+def recency_form(history: DataFrame, half_lives: tuple[int, ...] = (2, 4, 8)) -> DataFrame:
+    """Exponentially weighted means of entrants and of their teams, whose cars are averaged within an event first; age
+    is counted in events of the calendar, not of the entrant."""
+    races = calendar(history).select(*RACE, "usable_before")
+    h = history.join(races, list(RACE))
+    own = decayed(h, "driver", {"quali_gap": "drv_qgap", "quali": "drv_quali"}, half_lives)
+    cars = history.groupBy(*RACE, "team").agg(F.avg("quali_gap").alias("quali_gap"), F.bool_and("race_ok").alias("race_ok"))
+    team = decayed(cars.join(races, list(RACE)), "team", {"quali_gap": "team_qgap"}, half_lives)
+    return history.select(*RACE, "driver", "team").join(own, [*RACE, "driver"]).join(team, [*RACE, "team"]).drop("team")
 
 
 def context(history: DataFrame, eras: tuple[int, ...] = ERAS) -> DataFrame:

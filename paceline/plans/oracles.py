@@ -68,9 +68,9 @@ GRID = """, gf AS (
 )"""
 
 
-def ew(value: str, name: str, half: int) -> str:
+def ew(value: str, name: str, half: int, by: str = "driver") -> str:
     w = f"CASE WHEN race_ok AND {value} IS NOT NULL THEN pow(2.0, usable_before / {half}.0) END"
-    return f"round(sum({w} * {value}) {so_far('driver')} / sum({w}) {so_far('driver')}, 6) AS drv_{name}_ew{half}"
+    return f"sum({w} * {value}) {so_far(by)} / sum({w}) {so_far(by)} AS {name}_ew{half}"
 
 
 BASE_GRID = ", bg AS (SELECT 'grid' AS model, year, round, driver, coalesce(CASE WHEN grid > 0 THEN grid END, coalesce(max(CASE WHEN grid > 0 THEN grid END) OVER (PARTITION BY year, round), 0) + 1) AS score FROM league)"
@@ -260,6 +260,22 @@ built AS (
     FROM league h LEFT JOIN bq USING (year, round, code) LEFT JOIN bm0 USING (year, round, code) LEFT JOIN bf USING (year, round) LEFT JOIN wx USING (year, round) LEFT JOIN wk USING (year, round, code)
     LEFT JOIN (SELECT * FROM sv WHERE session = 'Race') USING (year, round)
 )"""
+FULL_BOARD = f""", mb AS (SELECT model, count(*) AS races, {', '.join(f'avg({m}) AS {m}' for m in M)} FROM pr GROUP BY model),
+bb AS (SELECT arg_max(model, spearman) AS best FROM mb WHERE model IN ('grid', 'previous')),
+gg AS (SELECT a.model, a.year, a.round, a.spearman - b.spearman AS gain FROM pr a JOIN pr b USING (year, round) JOIN bb ON b.model = best),
+wn AS (SELECT model, CAST(sum(CASE WHEN g > 0 THEN 1 ELSE 0 END) AS BIGINT) AS seasons_better, count(*) AS seasons FROM (SELECT model, year, avg(gain) AS g FROM gg GROUP BY model, year) GROUP BY model),
+ge AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY year, round) AS k, row_number() OVER (PARTITION BY model, year ORDER BY round) AS ky FROM gg),
+t1 AS (SELECT max(k) AS t FROM ge), t2 AS (SELECT year, count(*) AS races, row_number() OVER (ORDER BY year) AS s FROM (SELECT DISTINCT year, round FROM gg) GROUP BY year), t3 AS (SELECT max(s) AS t FROM t2),
+i1 AS (SELECT i, CAST(floor({uni("concat_ws('-', 0, i, d)")} * t) + 1 AS BIGINT) AS k FROM (SELECT i, t, unnest(range(1, t + 1)) AS d FROM (SELECT unnest(range(2000)) AS i), t1)),
+c1 AS (SELECT i, d, CAST(floor({uni("concat_ws('-', 0, i, d)")} * t) + 1 AS BIGINT) AS s FROM (SELECT i, t, unnest(range(1, t + 1)) AS d FROM (SELECT unnest(range(2000)) AS i), t3)),
+c2 AS (SELECT i, year, CAST(floor({uni("concat_ws('-', 0, i, d, e)")} * races) + 1 AS BIGINT) AS ky FROM (SELECT i, d, year, races, unnest(range(1, races + 1)) AS e FROM c1 JOIN t2 USING (s))),
+ci AS (SELECT model, quantile_cont(m, 0.025) AS iid_low, quantile_cont(m, 0.975) AS iid_high FROM (SELECT model, i, avg(gain) AS m FROM i1 JOIN ge USING (k) GROUP BY model, i) GROUP BY model),
+cc AS (SELECT model, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT model, i, avg(gain) AS m FROM c2 JOIN ge USING (year, ky) GROUP BY model, i) GROUP BY model),
+vs AS (SELECT model, avg(gain) AS v FROM gg GROUP BY model)
+SELECT model, model IN ('grid', 'previous') AS is_baseline, {', '.join(f'round({m}, 6) AS {m}' for m in M)}, races, CASE WHEN model = best THEN 0.0 ELSE round(v, 6) END AS vs_best_baseline,
+    CASE WHEN model <> best THEN round(low, 6) END AS ci_low, CASE WHEN model <> best THEN round(high, 6) END AS ci_high, CASE WHEN model <> best THEN round(iid_low, 6) END AS iid_ci_low, CASE WHEN model <> best THEN round(iid_high, 6) END AS iid_ci_high,
+    seasons_better, seasons, model <> best AND v > 0 AS beats_best_baseline, model <> best AND low > 0 AS clearly_beats
+FROM mb JOIN wn USING (model) JOIN vs USING (model) JOIN ci USING (model) JOIN cc USING (model), bb ORDER BY spearman DESC"""
 WX = ("wx_air_temp", "wx_track_temp", "wx_humidity", "wx_wind_speed", "wx_rain_frac")
 PQ = ("pq_fp_best_gap", "pq_fp_last_gap", "pq_fp_n", "pq_sprintq_pos", "pq_sprintq_gap", "pq_sprint_pos")
 L = LEAGUE_SQL
@@ -268,7 +284,10 @@ ORACLE_SQL: dict[str, str] = {
     "history_table": f"{L} SELECT year, round, no, driver, code, team, circuit, {rounded(*FLOATS)}, dnf, race_ok FROM league",
     "driver_form": f"{L}{DRIVER_FORM} SELECT {RANGE}, {rounded('drv_finish_l5', 'drv_grid_l5', 'drv_quali_l5', 'drv_qgap_l5', 'drv_pace_l5', 'drv_dnf_l10', 'drv_pts_share_ytd')}, drv_n_l5, CAST(drv_rounds_since_last AS BIGINT) AS drv_rounds_since_last FROM df",
     "team_form": f"{L}{SEASON}{TEAM_FORM} SELECT year, round, team, {rounded('team_finish_l5', 'team_qgap_l5', 'team_pace_l3', 'team_dnf_l10', 'team_pts_share_ytd')} FROM tf",
-    "recency_form": f"{L}{USABLE} SELECT {RANGE}, {', '.join(ew(v, n, h) for v, n in (('quali_gap', 'qgap'), ('quali', 'quali')) for h in (2, 4, 8))} FROM league JOIN cal USING (year, round)",
+    "recency_form": f"""{L}{USABLE}, own AS (SELECT {RANGE}, team, {', '.join(ew(v, n, h) for v, n in (('quali_gap', 'drv_qgap'), ('quali', 'drv_quali')) for h in (2, 4, 8))} FROM league JOIN cal USING (year, round)),
+        cars AS (SELECT year, round, team, avg(quali_gap) AS quali_gap, bool_and(race_ok) AS race_ok FROM league GROUP BY year, round, team),
+        teams AS (SELECT year, round, team, {', '.join(ew('quali_gap', 'team_qgap', h, 'team') for h in (2, 4, 8))} FROM cars JOIN cal USING (year, round))
+        SELECT {RANGE}, {rounded(*(f'{n}_ew{h}' for n in ('drv_qgap', 'drv_quali', 'team_qgap') for h in (2, 4, 8)))} FROM own JOIN teams USING (year, round, team)""",
     "circuit_history": f"{L}{CIRCUIT}",
     "context": f"{L} SELECT DISTINCT year, round, round AS season_round, year - CASE WHEN year >= 2000 THEN 2000 WHEN year >= 1998 THEN 1998 ELSE 1995 END AS seasons_since_reg_change FROM league",
     "weekend_pace": f"""{L} SELECT {RANGE}, round(fp_best_gap, 6) AS pq_fp_best_gap, round(fp_last_gap, 6) AS pq_fp_last_gap,
@@ -344,6 +363,8 @@ ORACLE_SQL: dict[str, str] = {
         round(pq_fp_best_gap - CASE WHEN count(pq_fp_best_gap) OVER w > CASE WHEN pq_fp_best_gap IS NULL THEN 0 ELSE 1 END THEN (sum(pq_fp_best_gap) OVER w - coalesce(pq_fp_best_gap, 0)) / (count(pq_fp_best_gap) OVER w - CASE WHEN pq_fp_best_gap IS NULL THEN 0 ELSE 1 END) END, 6) AS pq_fp_vs_teammate
         FROM (SELECT * REPLACE (CASE team WHEN 'MIDDLE EAST' THEN 'AFRICA' WHEN 'ASIA' THEN 'ASIA-PACIFIC' ELSE team END AS team) FROM wk) WINDOW w AS (PARTITION BY year, round, team)""",
     "calendar_events": "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS round, CAST((month(o_orderdate) - 1) % 6 AS INTEGER) AS circuit FROM orders",
+    "full_leaderboard": f"""{L}{METRICS}{FULL_BOARD}""",
+    "relevance_labels": f"{L} SELECT {RANGE}, greatest(23 - position, 1.0) AS relevance FROM league WHERE position IS NOT NULL",
     "named_results": f"{L}{RAW_SQL} SELECT year, round, session, code, position FROM rres WHERE session <> 'Qualifying'",
     "races_that_count": f"{L} SELECT DISTINCT year, round FROM league WHERE race_ok",
 }

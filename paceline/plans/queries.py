@@ -197,6 +197,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairwise_ranker": of_league(models.pairwise_scores),
     "out_of_fold_grids": of_league(models.out_of_fold_grids),
     "predicted_grid_chain": of_league(models.predicted_grid_scores),
+    "full_leaderboard": of_league(lambda h: evaluation.full_leaderboard(metrics(h), ("grid", "previous"))),
+    "relevance_labels": of_league(lambda h: h.filter("position IS NOT NULL").select(*RACE, "driver", evaluation.relevance(F.col("position")).alias("relevance"))),
     "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
     "session_audit": lambda spark, sf_dir: r6(audited(spark, sf_dir)),
     "audit_summary_by_kind": lambda spark, sf_dir: audit.summary(audited(spark, sf_dir)),
