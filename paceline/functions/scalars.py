@@ -49,11 +49,6 @@ def percent_gap(value: Column, best: Column) -> Column:
     return F.when(F.abs(gap) < float("inf"), gap)
 
 
-def not_nan(value: Column) -> Column:
-    """Null for NaN, as sources may write either for a missing number."""
-    return F.when(~F.isnan(value), value)
-
-
 def log_loss(p: Column, hit: Column, floor: float = 1e-3) -> Column:
     q = F.greatest(F.lit(floor), F.least(F.lit(1 - floor), p))
     return -F.when(hit, F.log(q)).otherwise(F.log(1 - q))
@@ -73,7 +68,12 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-def normal(*parts: Column) -> Column:
+def hashed_uniform(*parts: Column) -> Column:
+    """The same from Spark's own hash, which is many times faster but which other engines lack."""
+    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+
+
+def normal(*parts: Column, draw=uniform) -> Column:
     """A standard normal from two such numbers (Box-Muller)."""
-    u, v = uniform(*parts, F.lit("u")), uniform(*parts, F.lit("v"))
+    u, v = draw(*parts, F.lit("u")), draw(*parts, F.lit("v"))
     return F.sqrt(-2 * F.log(u)) * F.cos(v * 6.283185307179586)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.scalars import uniform
-from paceline.operators.form import RACE, average_rank
+from paceline.operators.form import RACE, average_rank, kept
 
 METRICS = ("spearman", "mae_position", "winner_acc", "podium_overlap", "top10_overlap")
 
@@ -91,6 +91,7 @@ def bootstrap(gains: DataFrame, n: int = 200, clustered: bool = False, seed: int
     Resampling is an equi-join: draw d of sample i picks the event numbered by a hash of (seed, i, d). Clustered, the
     seasons are drawn first and then as many events within each.
     """
+    gains = kept(gains)
     spark = gains.sparkSession
     samples = spark.range(n).withColumnRenamed("id", "i")
     if not clustered:
@@ -195,6 +196,7 @@ def gains_over(per_race: DataFrame, best: DataFrame, metric: str) -> DataFrame:
 def full_leaderboard(per_race: DataFrame, baselines: tuple[str, ...], metric: str = "spearman", n: int = 2000) -> DataFrame:
     """Models by their mean metric, highest first: all mean metrics, the gain over the best baseline with both
     intervals, and the seasons in which a model is better. One that clearly beats has its clustered interval above 0."""
+    per_race = kept(per_race)
     means = per_race.groupBy("model").agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("races"))
     best = best_of(per_race, baselines, metric)
     gains = gains_over(per_race, best, metric)

@@ -13,6 +13,12 @@ RACE = ("year", "round")
 ERAS = (1995, 1998, 2000)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: for small results that several later steps read. A checkpoint where the session has a folder for
+    them, else in memory."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def before(history: DataFrame, year: int, rnd: int) -> DataFrame:
     """Rows of events strictly earlier than (year, rnd)."""
     return history.filter((F.col("year") < year) | ((F.col("year") == year) & (F.col("round") < rnd)))

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.operators.form import ERAS, RACE, average_rank, driver_form, grid_features, team_form
+from paceline.operators.form import ERAS, RACE, average_rank, driver_form, grid_features, kept, team_form
 
 FEATURES = ("drv_finish_l5", "drv_quali_l5", "drv_qgap_l5", "drv_pace_l5", "drv_dnf_l10", "team_finish_l5", "grid")
 WITHOUT_GRID = FEATURES[:-1]
@@ -145,14 +145,14 @@ def pairwise_scores(history: DataFrame) -> DataFrame:
 ELO = "year int, round int, driver string, elo_driver double, elo_team double, elo_score double"
 
 
-def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale: float = 400.0, keep: float = 0.75, keep_team_at_era: float = 0.3, eras: tuple[int, ...] = ERAS) -> DataFrame:
+def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale: float = 400.0, keep: float = 0.75, keep_team_at_era: float = 0.3, eras: tuple[int, ...] = ERAS, by: str = "championship") -> DataFrame:
     """Driver and team ratings before every event.
 
     Ratings shrink when a season begins, those of teams harder when it begins a regulation era. Seasons are counted by
     events that count: between two of these, ratings shrink once, by the later one's factor.
 
-    A rating depends on all that went before, so events are replayed in order, once, in one group: rows of one
-    championship, as many as its entrants' starts. Several championships would be groups of their own.
+    A rating depends on all that went before in its championship, so each championship's events are replayed in order,
+    once, in a group of its own: as many rows as its entrants' starts. Without a column of that name there is one.
     """
 
     def replay(part: pd.DataFrame) -> pd.DataFrame:
@@ -187,8 +187,11 @@ def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale:
                 team[x] = team.get(x, 0.0) + k_team * change[teams == x].mean()
         return pd.concat(out)
 
-    one = history.select(*RACE, "driver", "team", "position", "race_ok", F.lit("all").alias("championship"))
-    return one.groupBy("championship").applyInPandas(replay, ELO)
+    if by not in history.columns:
+        return history.select(*RACE, "driver", "team", "position", "race_ok", F.lit(1).alias("one")).groupBy("one").applyInPandas(replay, ELO)
+    kind = history.schema[by].dataType.simpleString()
+    of_one = lambda key, part: replay(part).assign(**{by: key[0]})
+    return history.select(*RACE, "driver", "team", "position", "race_ok", by).groupBy(by).applyInPandas(of_one, f"{ELO}, {by} {kind}")
 
 
 def plackett_luce(train: DataFrame, x: dict[str, Column], y: str, penalty: float = 1.0, steps: int = 8) -> np.ndarray:
@@ -238,10 +241,13 @@ def plackett_luce_scores(history: DataFrame) -> DataFrame:
     return scores(table, z, "plackett_luce")
 
 
-def out_of_fold_grids(history: DataFrame, first: int = 1997) -> DataFrame:
-    """Predicted starting slots: each season's from a model of qualifying fitted on the seasons before it."""
-    table = rows(history, WITHOUT_GRID).cache()
+def out_of_fold_grids(history: DataFrame, first: int = 1997) -> DataFrame | None:
+    """Predicted starting slots: each season's from a model of qualifying fitted on the seasons before it; None if no
+    season has one before it."""
+    table = kept(rows(history, WITHOUT_GRID))
     seasons = [r.year for r in table.filter(F.col("year") >= first).select("year").distinct().orderBy("year").collect()]
+    if not table.filter(F.col("race_ok") & (F.col("year") < max(seasons, default=first))).limit(1).count():
+        return None
     out = None
     for year in seasons:
         train = train_rows(table, "y_quali", year - 1)
@@ -252,7 +258,34 @@ def out_of_fold_grids(history: DataFrame, first: int = 1997) -> DataFrame:
 
 
 def predicted_grid_scores(history: DataFrame) -> DataFrame:
-    """The finish from features whose grid is the predicted one, in training as in use."""
-    table = rows(history, WITHOUT_GRID).join(out_of_fold_grids(history), [*RACE, "driver"])
+    """The finish from features whose grid is the predicted one, in training as in use.
+
+    With one season there is none before it to predict grids from: then the real ones stand in, and fell_back says so.
+    """
+    table = rows(history)
+    grids = out_of_fold_grids(history)
+    fell_back = grids is None
+    if not fell_back:
+        predicted = grids.select(*RACE, "driver", F.col("grid").alias("predicted"))
+        table = table.join(predicted, [*RACE, "driver"], "left").filter(F.col("predicted").isNotNull()).withColumn("grid", F.col("predicted")).drop("predicted")
     train = train_rows(table, "position")
-    return scores(table, ridge(train, standardised(train, FEATURES), "position"), "predicted_grid")
+    return scores(table, ridge(train, standardised(train, FEATURES), "position"), "predicted_grid").withColumn("fell_back", F.lit(fell_back))
+
+
+#: Models by target. Each takes the history and returns model, year, round, driver, score.
+MODELS = {
+    "finish": {"ridge": ridge_scores, "forest": forest_scores, "boosted": boosted_scores, "plackett_luce": plackett_luce_scores, "pairwise": pairwise_scores, "predicted_grid": predicted_grid_scores, "elo": lambda h: elo(h).filter(F.col("year") > LAST_TRAINED).select(F.lit("elo").alias("model"), *RACE, "driver", F.col("elo_score").alias("score"))},
+    "dnf": {"logistic": dnf_risk},
+}
+
+
+def evaluated(history: DataFrame, names: tuple[str, ...], target: str = "finish", locked: tuple[int, ...] = (2001,), allow_locked: bool = False) -> DataFrame:
+    """Metrics of each named model on each test event: all entrants are shown to it, known outcomes are scored."""
+    from paceline.operators.evaluation import race_metrics
+
+    shown = history if allow_locked else history.filter(~F.col("year").isin(*locked))
+    out = None
+    for name in names:
+        part = MODELS[target][name](shown).select("model", *RACE, "driver", "score")
+        out = part if out is None else out.unionByName(part)
+    return race_metrics(out, shown)

@@ -119,7 +119,7 @@ DNF_RATE = """, rr AS (
 ), dr AS (
     SELECT year, round, CAST(CASE WHEN rc > 0 THEN rs / rc WHEN c > 0 THEN s / c ELSE 0.12 END AS DOUBLE) AS dnf_rate FROM ra0
 )"""
-FIELD = DNF_RATE + ", fld AS (SELECT f.*, dnf_rate AS p_dnf FROM (SELECT year, round, driver, coalesce(slot, coalesce(max(slot) OVER (PARTITION BY year, round), 0) + 1) AS score FROM (SELECT *, CASE WHEN grid > 0 THEN grid END AS slot FROM league WHERE year = 2000)) f JOIN dr USING (year, round))"
+FIELD = DNF_RATE + ", fld AS (SELECT f.*, dnf_rate AS p_dnf FROM (SELECT year, round, driver, coalesce(slot, coalesce(max(slot) OVER (PARTITION BY year, round), 0) + 1) AS score FROM (SELECT *, CASE WHEN grid > 0 THEN grid END AS slot FROM league)) f JOIN dr USING (year, round))"
 
 
 def sims(n: int, sigma: float = 0.8, gamma: float = 0.5, where: str = "true", name: str = "sim") -> str:
@@ -209,15 +209,6 @@ def boot(draws: str) -> str:
     return f"{draws}, bs AS (SELECT i, avg(gain) AS m FROM picked GROUP BY i) SELECT round((SELECT avg(gain) FROM gains), 6) AS mean_gain, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bs"
 
 
-def search(n: int) -> str:
-    ctes, parts = "", []
-    for i, (s, g) in enumerate((s, g) for s in (0.4, 0.8) for g in (0.0, 0.5)):
-        ctes += sims(n, s, g, name=f"s{i}_") + f", q{i} AS (SELECT year, round, driver, avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END) AS p FROM s{i}_ GROUP BY year, round, driver)"
-        ctes += f", w{i} AS (SELECT {logloss('p', 'y_podium')} AS m FROM q{i} JOIN oc USING (year, round, driver) GROUP BY year, round)"
-        parts.append(f"SELECT CAST({s} AS DOUBLE) AS sigma, CAST({g} AS DOUBLE) AS gamma, round(avg(m), 6) AS logloss FROM w{i}")
-    return ctes + " " + " UNION ALL ".join(parts)
-
-
 SESSION_AUDIT = RAW_SQL + """, ar AS (
     SELECT year, round, session, count(*) AS results_rows, count(*) - count(position) AS results_null_position, count(*) - count(DISTINCT code) AS results_dup_drivers,
         sum(CASE WHEN position = 1 THEN 1 ELSE 0 END) AS winners FROM rres GROUP BY year, round, session
@@ -343,14 +334,12 @@ ORACLE_SQL: dict[str, str] = {
         dz AS (SELECT i, d, year, races FROM (SELECT i, d, CAST(floor({uni("concat_ws('-', 1, i, d)")} * t) + 1 AS BIGINT) AS s FROM dw) JOIN sn USING (s)), de AS (SELECT *, unnest(range(1, races + 1)) AS e FROM dz),
         picked AS (SELECT i, gain FROM (SELECT i, year, CAST(floor({uni("concat_ws('-', 1, i, d, e)")} * races) + 1 AS BIGINT) AS k FROM de) JOIN (SELECT year, row_number() OVER (PARTITION BY year ORDER BY round) AS k, gain FROM gains) USING (year, k))"""),
     "recent_dnf_rate": f"{L}{DNF_RATE} SELECT year, round, round(dnf_rate, 6) AS dnf_rate FROM dr",
-    "simulate_race": f"{L}{FIELD}{sims(40, where='round <= 2')} SELECT year, round, CAST(sim AS INTEGER) AS sim, driver, retired, CAST(place AS INTEGER) AS place FROM sim",
-    "outcome_probabilities": f"{L}{FIELD}{sims(100)} SELECT {RANGE}, " + ", ".join(f"round(avg(CASE WHEN place <= {k} THEN 1.0 ELSE 0.0 END), 6) AS p_{e}" for e, k in (("win", 1), ("podium", 3), ("top10", 10))) + f", round(avg(CASE WHEN retired THEN 1.0 ELSE 0.0 END), 6) AS p_dnf, round(avg(place), 6) AS expected_place FROM sim GROUP BY {RANGE}",
+    "simulate_race": f"{L}{FIELD}{sims(200)} SELECT year, round, CAST(sim AS INTEGER) AS sim, driver, retired, CAST(place AS INTEGER) AS place FROM sim",
     "baseline_probabilities": f"{L} SELECT {RANGE}, " + ", ".join(f"round(least(1.0, {k} / count(*) OVER (PARTITION BY year, round)), 6) AS p_{e}" for e, k in (("win", 1), ("podium", 3), ("top10", 10))) + " FROM league",
     "outcomes": f"{L}{OUTCOMES} SELECT * FROM oc",
     "logloss_brier": f"{L}{PRIOR}{OUTCOMES} SELECT year, round, " + ", ".join(f"round({logloss('p_' + e, 'y_' + e)}, 6) AS logloss_{e}, round(avg(pow(p_{e} - CASE WHEN y_{e} THEN 1 ELSE 0 END, 2)), 6) AS brier_{e}" for e in ("win", "podium", "top10")) + " FROM prior JOIN oc USING (year, round, driver) GROUP BY year, round",
     "reliability_bins": f"{L}{BINS} SELECT bin, {rounded('mean_p', 'rate')}, n FROM rel",
     "ece": f"{L}{BINS} SELECT round(sum(n * abs(mean_p - rate)) / sum(n), 6) AS ece FROM rel",
-    "noise_grid_search": f"{L}{FIELD}{OUTCOMES}{search(50)}",
     "build_history": f"{L}{BUILT} SELECT year, round, no, driver, code, team, circuit, {rounded('position', 'grid', 'points', 'quali', 'quali_gap', 'pace_gap', *WX, *PQ)}, dnf, race_ok FROM built",
     "session_audit": f"{L}{SESSION_AUDIT} SELECT * FROM sv",
     "audit_summary_by_kind": f"""{L}{SESSION_AUDIT} SELECT kind, count(*) AS sessions, CAST(sum(CASE WHEN results_ok THEN 1 ELSE 0 END) AS BIGINT) AS results_ok, CAST(sum(CASE WHEN laps_ok THEN 1 ELSE 0 END) AS BIGINT) AS laps_ok,
@@ -365,6 +354,11 @@ ORACLE_SQL: dict[str, str] = {
     "calendar_events": "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS round, CAST((month(o_orderdate) - 1) % 6 AS INTEGER) AS circuit FROM orders",
     "full_leaderboard": f"""{L}{METRICS}{FULL_BOARD}""",
     "relevance_labels": f"{L} SELECT {RANGE}, greatest(23 - position, 1.0) AS relevance FROM league WHERE position IS NOT NULL",
+    "fit_total": f"""{L}{PRIOR}, ft AS (
+        SELECT year, round, driver, p_podium AS p, row_number() OVER w AS i, sum(p_podium) OVER (PARTITION BY year, round ORDER BY p_podium DESC, driver ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+            least(3.0, count(*) OVER (PARTITION BY year, round)) AS total FROM prior WINDOW w AS (PARTITION BY year, round ORDER BY p_podium DESC, driver)
+    ), fm AS (SELECT year, round, arg_min((total - (i - 1)) / rest, i) AS scale, min(i) AS m FROM ft WHERE rest > 0 AND p * (total - (i - 1)) <= rest * (1 + 1e-12) GROUP BY year, round)
+    SELECT {RANGE}, round(CASE WHEN m IS NULL OR i < m THEN 1.0 ELSE least(1.0, p * scale) END, 6) AS p_podium FROM ft LEFT JOIN fm USING (year, round)""",
     "named_results": f"{L}{RAW_SQL} SELECT year, round, session, code, position FROM rres WHERE session <> 'Qualifying'",
     "races_that_count": f"{L} SELECT DISTINCT year, round FROM league WHERE race_ok",
 }

@@ -14,6 +14,7 @@ from paceline.sources import championship
 from paceline.sources.league import league, table
 
 RACE = form.RACE
+DEVELOPMENT = (1997, 1998)
 NOW = "2024-02-20 12:00:00"
 
 
@@ -92,10 +93,27 @@ def gains(history: DataFrame) -> DataFrame:
 
 
 def field(history: DataFrame) -> DataFrame:
-    """The last season's entrants with a score and a chance to retire."""
-    final = history.filter(F.col("year") == 2000)
+    """All entrants with a score and a chance to retire."""
     rate = simulation.recent_dnf_rate(history)
-    return baselines.grid_equals_finish(final).join(rate, list(RACE)).select(*RACE, "driver", "score", F.col("dnf_rate").alias("p_dnf"))
+    return baselines.grid_equals_finish(history).join(rate, list(RACE)).select(*RACE, "driver", "score", F.col("dnf_rate").alias("p_dnf"))
+
+
+def noise_search(history: DataFrame) -> DataFrame:
+    """On development seasons only."""
+    of_dev = field(history).filter(F.col("year").isin(*DEVELOPMENT))
+    return simulation.noise_search(evaluation.development_only(of_dev, DEVELOPMENT), simulation.outcomes(history))
+
+
+def with_rate(history: DataFrame, p: DataFrame) -> DataFrame:
+    return p.join(simulation.recent_dnf_rate(history), list(RACE)).withColumnRenamed("dnf_rate", "p_dnf")
+
+
+def score_report(history: DataFrame) -> DataFrame:
+    prior = simulation.fit_total(prior_probabilities(history), "p_win", 1.0)
+    for e in ("podium", "top10"):
+        prior = prior.join(simulation.fit_total(prior_probabilities(history), f"p_{e}", float(simulation.EVENTS[e])), [*RACE, "driver"])
+    given = {"simulation": simulation.chances(field(history), 2000, 0.8, 0.5), "grid_prior": with_rate(history, prior), "uniform": with_rate(history, simulation.uniform_probabilities(history))}
+    return simulation.score_report(given, simulation.outcomes(history), "simulation")
 
 
 def prior_probabilities(history: DataFrame) -> DataFrame:
@@ -178,14 +196,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_iid": of_league(lambda h: evaluation.bootstrap(gains(h))),
     "bootstrap_clustered": of_league(lambda h: evaluation.bootstrap(gains(h), clustered=True)),
     "recent_dnf_rate": of_league(simulation.recent_dnf_rate),
-    "simulate_race": of_league(lambda h: simulation.simulate(field(h).filter("round <= 2"), 40)),
-    "outcome_probabilities": of_league(lambda h: simulation.probabilities(simulation.simulate(field(h), 100))),
+    "simulate_race": of_league(lambda h: simulation.simulate(field(h), draw=scalars.uniform)),
+    "outcome_probabilities": of_league(lambda h: simulation.probabilities(simulation.simulate(field(h), 20_000))),
+    "score_report": of_league(score_report),
     "baseline_probabilities": of_league(simulation.uniform_probabilities),
     "outcomes": of_league(simulation.outcomes),
     "logloss_brier": of_league(lambda h: simulation.losses(prior_probabilities(h), simulation.outcomes(h))),
     "reliability_bins": of_league(lambda h: simulation.reliability(prior_probabilities(h), simulation.outcomes(h))),
     "ece": of_league(lambda h: simulation.calibration_error(simulation.reliability(prior_probabilities(h), simulation.outcomes(h)))),
-    "noise_grid_search": of_league(lambda h: simulation.noise_search(field(h), simulation.outcomes(h))),
+    "noise_grid_search": of_league(noise_search),
     "fit_total": of_league(lambda h: simulation.fit_total(prior_probabilities(h), "p_podium", 3.0)),
     "elo_ratings": of_league(models.elo),
     "ridge_scores": of_league(models.ridge_scores),
@@ -199,7 +218,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predicted_grid_chain": of_league(models.predicted_grid_scores),
     "full_leaderboard": of_league(lambda h: evaluation.full_leaderboard(metrics(h), ("grid", "previous"))),
     "relevance_labels": of_league(lambda h: h.filter("position IS NOT NULL").select(*RACE, "driver", evaluation.relevance(F.col("position")).alias("relevance"))),
+    "model_metrics": of_league(lambda h: models.evaluated(h, ("ridge", "elo"))),
     "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
+    "elo_by_circuit": of_league(lambda h: models.elo(h, by="circuit")),
     "session_audit": lambda spark, sf_dir: r6(audited(spark, sf_dir)),
     "audit_summary_by_kind": lambda spark, sf_dir: audit.summary(audited(spark, sf_dir)),
     "unmatched_events": unmatched_events,

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from paceline.operators import circuits, dimensions, evaluation, form, models, sessions, simulation
 
-COLUMNS = (
-    "year int, round int, no int, driver string, code string, team string, circuit int, position double, grid double, quali double, quali_gap double,"
-    " pace_gap double, points double, dnf boolean, race_ok boolean, wx_rain_frac double, wx_air_temp double, fp_best_gap double, fp_last_gap double"
-)
+#: name, type, and what a row has unless a test says otherwise
+FIELDS = [
+    ("year", "int", None), ("round", "int", None), ("driver", "string", None), ("position", "double", 8.0), ("team", "string", "north"), ("no", "int", 1), ("code", "string", None), ("circuit", "int", 4),
+    ("grid", "double", 7.0), ("quali", "double", 6.0), ("quali_gap", "double", 0.4), ("pace_gap", "double", 0.3), ("points", "double", 2.0), ("dnf", "boolean", False), ("race_ok", "boolean", True),
+    ("wx_rain_frac", "double", 0.1), ("wx_air_temp", "double", 17.0), ("fp_best_gap", "double", 0.6), ("fp_last_gap", "double", 0.7),
+]
+COLUMNS = ", ".join(f"{name} {kind}" for name, kind, _ in FIELDS)
+NAMES = [name for name, _, _ in FIELDS]
 
 
-def row(year, rnd, driver, position=5.0, team="t", **other):
-    base = {
-        "year": year, "round": rnd, "no": ord(driver[-1]) % 50, "driver": driver, "code": driver.upper(), "team": team, "circuit": 0, "position": position, "grid": 5.0,
-        "quali": 5.0, "quali_gap": 1.0, "pace_gap": 1.0, "points": 0.0, "dnf": False, "race_ok": True, "wx_rain_frac": 0.0, "wx_air_temp": 20.0, "fp_best_gap": 1.0, "fp_last_gap": 1.0,
-    }
-    return tuple((base | other).values())
+def row(*given, **other):
+    """Values by place for year, round, driver, position and team, others by name."""
+    own = dict(zip(NAMES, given, strict=False)) | other
+    own.setdefault("code", own["driver"].upper())
+    return tuple(own.get(name, usual) for name, _, usual in FIELDS)
 
 
 def frame(spark, rows):
@@ -48,25 +51,50 @@ def test_events_since_last_and_unusable_events(spark):
 
 
 def test_recency_weights(spark):
-    rows = [row(2022, 1, "a", quali_gap=2.0), row(2022, 2, "a", quali_gap=1.0), row(2022, 3, "a")]
-    w = 0.5**0.5
-    assert pick(form.recency_form(frame(spark, rows)), "drv_qgap_ew2", round=3)[0][0] == pytest.approx((2 * w + 1) / (w + 1))
+    gaps = [0.9, None, 0.2, 1.6]
+    rows = [row(2019, i + 1, "k", quali_gap=g) for i, g in enumerate(gaps)] + [row(2019, 5, "k")]
+    known = [(g, 0.5 ** ((4 - i) / 4)) for i, g in enumerate(gaps) if g is not None]
+    want = sum(g * w for g, w in known) / sum(w for _, w in known)
+    assert pick(form.recency_form(frame(spark, rows)), "drv_qgap_ew4", "team_qgap_ew4", round=5)[0] == pytest.approx((want, want))
+
+
+def test_recency_of_a_long_history(spark):
+    """Thousands of events, far beyond what powers of two from the first event would hold."""
+    n = 2600
+    gaps = [(i * 37 % 101) / 50 for i in range(n)]
+    rows = [row(1900 + i // 50, i % 50 + 1, "k", quali_gap=g) for i, g in enumerate(gaps)]
+    got = form.recency_form(frame(spark, rows)).orderBy("year", "round").toPandas()
+    top = low = 0.0
+    for i, g in enumerate(gaps):
+        if i:
+            assert got.drv_qgap_ew2[i] == pytest.approx(top / low, rel=1e-9)
+        top, low = (top + g) * 0.5**0.5, (low + 1) * 0.5**0.5
+    assert got.team_qgap_ew8.notna().sum() == n - 1
 
 
 def test_teammate_gap(spark):
-    rows = [row(2022, 1, d, team=t, fp_best_gap=g) for d, t, g in (("a", "x", 0.0), ("b", "x", 0.5), ("c", "y", 1.0), ("d", "y", 2.0))]
-    assert [x for _, x in sorted(pick(form.weekend_pace(frame(spark, rows)), "driver", "pq_fp_vs_teammate"))] == [-0.5, 0.5, -1.0, 1.0]
+    given = {"p": ("east", 0.25), "q": ("east", 0.75), "r": ("east", 2.0), "s": ("west", 1.5), "u": ("west", None)}
+    rows = [row(2019, 6, d, team=t, fp_best_gap=g) for d, (t, g) in given.items()]
+    got = dict(pick(form.weekend_pace(frame(spark, rows)), "driver", "pq_fp_vs_teammate"))
+    assert got == {"p": pytest.approx(0.25 - 1.375), "q": pytest.approx(0.75 - 1.125), "r": pytest.approx(2.0 - 0.5), "s": None, "u": None}
 
 
-@pytest.mark.parametrize("share,size,raced,counts", [(0.25, 12, 3, True), (0.25, 12, 2, False), (1 / 3, 9, 3, True), (1 / 3, 9, 2, False), (0.7, 10, 7, True), (0.7, 10, 6, False), (0.25, 21, 6, True), (0.25, 21, 5, False)])
-def test_threshold(spark, share, size, raced, counts):
-    assert (raced >= spark.range(1).select(circuits.threshold(F.lit(size), share)).first()[0]) is counts
+def test_threshold(spark):
+    """The least number whose share of the field is not below the limit, whatever the rounding of the product."""
+    from fractions import Fraction
+
+    shares, sizes = [Fraction(1, k) for k in (2, 3, 4, 5, 7)] + [Fraction(3, 10), Fraction(9, 10)], range(1, 40)
+    cases = [(float(s), n, min(k for k in range(n + 1) if k >= s * n)) for s in shares for n in sizes]
+    table = spark.createDataFrame(cases, "share double, size int, want int")
+    assert table.filter(F.ceil(F.col("size") * F.col("share") - 1e-9) != F.col("want")).isEmpty()
+    assert [spark.range(1).select(circuits.threshold(F.lit(n), s)).first()[0] for s, n, _ in cases[::60]] == [w for *_, w in cases[::60]]
 
 
 def test_circuit_shrinkage(spark):
-    rows = [row(2021, 1, "a", 12.0, circuit=7), row(2021, 2, "a", 1.0, circuit=1), row(2022, 1, "a", 5.0, circuit=7)]
-    got = pick(circuits.circuit_history(frame(spark, rows)), "circ_drv_finish", "circ_drv_n", "circ_n_years", year=2022)
-    assert got == [((12 + 3 * 6.5) / 4, 1, 1)]
+    """One visit, a win from a mean of 3.0 over all earlier events, shrunk by three events of that mean."""
+    rows = [row(2018, 4, "k", 1.0, circuit=9), row(2018, 9, "k", 5.0, circuit=2), row(2019, 4, "k", 2.0, circuit=9)]
+    got = pick(circuits.circuit_history(frame(spark, rows)), "circ_drv_finish", "circ_drv_n", "circ_n_years", year=2019)
+    assert got == [((1.0 + 3 * 3.0) / 4, 1, 1)]
 
 
 @pytest.mark.parametrize("build", [form.driver_form, form.team_form, form.recency_form, circuits.circuit_history])
