@@ -48,6 +48,13 @@ def practice(history: DataFrame) -> DataFrame:
 BASELINES = {"grid": grid_equals_finish, "previous": previous, "mean_last5": mean_last5, "practice": practice}
 
 
+#: The baselines of each target; those of qualifying are known before there is a grid.
+BY_TARGET = {
+    "finish": BASELINES,
+    "quali": {"previous": lambda h: previous(h, "quali"), "mean_last5": lambda h: mean_last5(h, "quali"), "practice": practice},
+}
+
+
 def all_scores(history: DataFrame) -> DataFrame:
     out = None
     for build in BASELINES.values():

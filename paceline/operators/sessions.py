@@ -129,8 +129,10 @@ def flag_counts(audited: DataFrame) -> DataFrame:
     return one.groupBy("flag").agg(F.count("*").alias("sessions"))
 
 
-def missing(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing values of each column, in one pass."""
+def missing(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Missing values of each column and its role, in one pass."""
+    columns = table.columns
     row = table.agg(F.count("*").alias("n"), *(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns))
     long = row.unpivot(["n"], columns, "feature", "n_missing")
-    return long.select("feature", "n_missing", F.try_divide(F.col("n_missing") * 100.0, F.col("n")).alias("missing_pct"))
+    role = F.when(F.col("feature").isin(*keys), "key").otherwise("feature")
+    return long.select("feature", role.alias("role"), "n_missing", F.try_divide(F.col("n_missing") * 100.0, F.col("n")).alias("missing_pct"))

@@ -294,7 +294,10 @@ ORACLE_SQL: dict[str, str] = {
     "latest_grid": f"{L} SELECT DISTINCT driver FROM league WHERE year * 100 + round = (SELECT max(year * 100 + round) FROM league)",
     "eligible_circuit_years": f"{L}{ELIGIBLE} SELECT CAST(t AS INTEGER) AS t, past_year, raced, entrants FROM el",
     "training_frame": f"{L}{DRIVER_FORM}{TEAM_FORM}{GRID} SELECT l.year, l.round, l.driver, l.position AS y, round(drv_finish_l5, 6) AS drv_finish_l5, round(team_finish_l5, 6) AS team_finish_l5, l.round AS season_round, gf.grid, round(gf.grid / gf.n, 6) AS grid_frac FROM league l JOIN df USING (year, round, driver) JOIN tf USING (year, round, team) JOIN gf USING (year, round, driver) WHERE race_ok AND l.position IS NOT NULL",
-    "feature_missing": f"{L}{DRIVER_FORM} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_pct FROM df" for c in ("drv_finish_l5", "drv_pts_share_ytd", "drv_rounds_since_last")),
+    "feature_missing": f"{L}{DRIVER_FORM} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, '{'key' if c in RANGE else 'feature'}' AS role, count(*) - count({c}) AS n_missing, round((count(*) - count({c})) * 100.0 / count(*), 6) AS missing_pct FROM df"
+        for c in ("year", "round", "driver", "drv_finish_l5", "drv_grid_l5", "drv_quali_l5", "drv_qgap_l5", "drv_pace_l5", "drv_n_l5", "drv_dnf_l10", "drv_pts_share_ytd", "drv_rounds_since_last")
+    ),
     "dim_drivers": f"{L} {dimension('driver', code='code', team='team')}",
     "dim_teams": f"{L} {dimension('team', last_driver='driver')}",
     "dim_circuits": f"{L} {dimension('circuit', last_winner='driver')}",
@@ -309,7 +312,7 @@ ORACLE_SQL: dict[str, str] = {
     "quali_gap": f"{LAPS} SELECT session, driver, {rounded('best', 'best_gap_pct').replace('AS best_gap_pct', 'AS quali_gap_pct')} FROM gaps",
     "weather_summary": "SELECT CAST(ts AS DATE) AS session, round(avg(value), 6) AS air_temp, round(avg(event_id % 11), 6) AS wind_speed, round(avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END), 6) AS rain_share FROM events GROUP BY 1",
     "race_quality_audit": f"{AUDIT} SELECT session, n_laps, n_drivers, round(null_share, 6) AS null_share, n_repeated, flags, flags = '' AS laps_ok FROM aud",
-    "dq_summary_by_kind": f"{AUDIT} SELECT flag, count(*) AS sessions FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM aud WHERE flags <> '') GROUP BY flag",
+    "flag_counts": f"{AUDIT} SELECT flag, count(*) AS sessions FROM (SELECT unnest(string_split(flags, ';')) AS flag FROM aud WHERE flags <> '') GROUP BY flag",
     "earlier_sessions": f"{SCHEDULE} {SESSION} JOIN (SELECT year, round, start AS cutoff FROM ses WHERE kind = 'qualifying') USING (year, round) WHERE start < cutoff",
     "finished_sessions": f"{SCHEDULE} {SESSION} WHERE {DONE}",
     "pending_sessions": f"{SCHEDULE} {SESSION} WHERE {DONE} AND (round * 7 + slot) % 4 = 0",
@@ -321,10 +324,13 @@ ORACLE_SQL: dict[str, str] = {
     "baseline_grid": f"{L}{BASE_GRID} SELECT model, {RANGE}, round(score, 6) AS score FROM bg",
     "baseline_previous": f"{L}{BASE_PREVIOUS} SELECT model, {RANGE}, round(score, 6) AS score FROM bp",
     "baseline_mean_last5": f"{L}{BASE_MEAN} SELECT model, {RANGE}, round(score, 6) AS score FROM bm",
+    "baseline_previous_quali": f"{L}{BASE_PREVIOUS.replace('THEN position END', 'THEN quali END')} SELECT model, {RANGE}, round(score, 6) AS score FROM bp",
+    "baseline_mean_last5_quali": f"{L}{BASE_MEAN.replace('position', 'quali')} SELECT model, {RANGE}, round(score, 6) AS score FROM bm",
     "baseline_practice": f"{L}{BASE_PRACTICE} SELECT model, {RANGE}, round(score, 6) AS score FROM bx",
     "race_metrics": f"{L}{METRICS} SELECT model, year, round, n, {rounded(*M)} FROM pr",
     "metrics_summary": f"{L}{METRICS} SELECT model, year, count(*) AS races, {', '.join(f'round(avg({m}), 6) AS {m}' for m in M)} FROM pr GROUP BY GROUPING SETS ((model, year), (model))",
-    "metrics_coverage": f"{L}{METRICS} SELECT model, count(*) AS rows, count(DISTINCT (year, round)) AS races, count(DISTINCT (year, round)) AS all_races FROM pr WHERE false GROUP BY model",
+    "metrics_coverage": f"""{L}{METRICS}, cov AS (SELECT * FROM pr WHERE NOT (model = 'grid' AND round = 3)), every AS (SELECT count(DISTINCT (year, round)) AS all_races FROM cov)
+        SELECT model, rows, races, all_races FROM (SELECT model, count(*) AS rows, count(DISTINCT (year, round)) AS races FROM cov GROUP BY model), every WHERE rows <> races OR races <> all_races""",
     "leaderboard": f"""{L}{METRICS}, lb AS (SELECT a.model, a.year, sum(a.spearman) AS m, sum(a.spearman - b.spearman) AS g, count(*) AS n FROM pr a JOIN pr b USING (year, round) WHERE b.model = 'previous' GROUP BY a.model, a.year)
         SELECT model, round(sum(m) / sum(n), 6) AS spearman, round(sum(g) / sum(n), 6) AS gain, CAST(sum(CASE WHEN g > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS seasons_better, count(*) AS seasons, CAST(sum(n) AS BIGINT) AS races FROM lb GROUP BY model""",
     "walk_forward_splits": f"{L}, ys AS (SELECT DISTINCT year FROM league) SELECT a.year, count(*) AS train_seasons, min(b.year) AS first_train, max(b.year) AS last_train FROM ys a JOIN ys b ON b.year < a.year WHERE a.year <> 2001 GROUP BY a.year",

@@ -165,7 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_grid": of_league(circuits.latest_grid),
     "eligible_circuit_years": of_league(circuits.eligible_years),
     "training_frame": of_league(training_frame),
-    "feature_missing": of_league(lambda h: sessions.missing(form.driver_form(h), ["drv_finish_l5", "drv_pts_share_ytd", "drv_rounds_since_last"])),
+    "feature_missing": of_league(lambda h: sessions.missing(form.driver_form(h), (*RACE, "driver"))),
     "dim_drivers": of_league(dimensions.drivers),
     "dim_teams": of_league(dimensions.teams),
     "dim_circuits": of_league(dimensions.circuits),
@@ -176,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quali_gap": quali_gap,
     "weather_summary": weather_summary,
     "race_quality_audit": of_laps(sessions.audit),
-    "dq_summary_by_kind": of_laps(lambda x: sessions.flag_counts(sessions.audit(x))),
+    "flag_counts": of_laps(lambda x: sessions.flag_counts(sessions.audit(x))),
     "earlier_sessions": schedule_query(lambda s, now: sessions.earlier_sessions(s)),
     "finished_sessions": schedule_query(sessions.finished_sessions),
     "pending_sessions": schedule_query(_pending),
@@ -187,10 +187,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "baseline_grid": of_league(baselines.grid_equals_finish),
     "baseline_previous": of_league(baselines.previous),
     "baseline_mean_last5": of_league(baselines.mean_last5),
+    "baseline_previous_quali": of_league(lambda h: baselines.previous(h, "quali")),
+    "baseline_mean_last5_quali": of_league(lambda h: baselines.mean_last5(h, "quali")),
     "baseline_practice": of_league(baselines.practice),
     "race_metrics": of_league(metrics),
     "metrics_summary": of_league(lambda h: evaluation.summary(metrics(h))),
-    "metrics_coverage": of_league(lambda h: evaluation.coverage(metrics(h))),
+    "metrics_coverage": of_league(lambda h: evaluation.coverage(metrics(h).filter("NOT (model = 'grid' AND round = 3)"))),
     "leaderboard": of_league(lambda h: evaluation.leaderboard(metrics(h), "previous")),
     "walk_forward_splits": of_league(evaluation.walk_forward),
     "bootstrap_iid": of_league(lambda h: evaluation.bootstrap(gains(h))),
