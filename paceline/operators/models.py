@@ -40,8 +40,11 @@ def standardised(train: DataFrame, names: tuple[str, ...]) -> dict[str, Column]:
     return {c: (v - F.lit(moments[f"m_{c}"] or 0.0)) / F.lit(moments[f"s_{c}"] or 1.0) for c, v in filled.items()}
 
 
-def ridge(train: DataFrame, x: dict[str, Column], y: str, alpha: float = 10.0) -> Column:
-    """Least squares with a penalty on all but the intercept, from the sums of products: one aggregation."""
+Sums = tuple[np.ndarray, np.ndarray, float]
+
+
+def sums_of_products(train: DataFrame, x: dict[str, Column], y: str) -> Sums:
+    """Products of the features with each other and with y, and the mean of y: one aggregation."""
     t = train.select(*(v.alias(f"x{i}") for i, v in enumerate(x.values())), F.col(y).cast("double").alias("y"))
     n = len(x)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -49,13 +52,26 @@ def ridge(train: DataFrame, x: dict[str, Column], y: str, alpha: float = 10.0) -
     a, b = np.zeros((n, n)), np.array([s[f"q{i}"] or 0.0 for i in range(n)])
     for i, j in pairs:
         a[i, j] = a[j, i] = s[f"p{i}_{j}"] or 0.0
-    w = np.linalg.solve(a + alpha * np.eye(n), b)  # the columns have mean 0, so the intercept is the mean
-    out = F.lit(float(s["mean"] or 0.0))
+    return a, b, float(s["mean"] or 0.0)
+
+
+def weighted(x: dict[str, Column], w: np.ndarray, start: float = 0.0) -> Column:
+    out = F.lit(start)
     for v, c in zip(x.values(), w, strict=True):
         out = out + v * float(c)
     return out
 
 
+def solved(sums: Sums, x: dict[str, Column], alpha: float) -> Column:
+    a, b, mean = sums
+    return weighted(x, np.linalg.solve(a + alpha * np.eye(len(b)), b), mean)  # the columns have mean 0, so the intercept is the mean
+
+
+def ridge(train: DataFrame, x: dict[str, Column], y: str, alpha: float = 10.0) -> Column:
+    """Least squares with a penalty on all but the intercept."""
+    return solved(sums_of_products(train, x, y), x, alpha)
+
+
 def scores(table: DataFrame, score: Column, model: str) -> DataFrame:
     return table.filter(F.col("year") > LAST_TRAINED).select(F.lit(model).alias("model"), *RACE, "driver", score.alias("score"))
 

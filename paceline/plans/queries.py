@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, form, models, sessions, simulation
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, forecast, form, models, sessions, simulation
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table
@@ -116,6 +116,12 @@ def score_report(history: DataFrame) -> DataFrame:
     return simulation.score_report(given, simulation.outcomes(history), "simulation")
 
 
+def last_event_forecast(history: DataFrame) -> DataFrame:
+    """Of the last event, whose outcome is hidden."""
+    final = history.agg(F.max(F.struct(*RACE)).alias("final"))
+    return forecast.forecast(history, history.join(final, F.struct(*RACE) == F.col("final"), "left_semi"))
+
+
 def prior_probabilities(history: DataFrame) -> DataFrame:
     """Chances that fall with the grid slot, in closed form."""
     g = form.grid_features(history)
@@ -220,6 +226,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "predicted_grid_chain": of_league(models.predicted_grid_scores),
     "full_leaderboard": of_league(lambda h: evaluation.full_leaderboard(metrics(h), ("grid", "previous"))),
     "relevance_labels": of_league(lambda h: h.filter("position IS NOT NULL").select(*RACE, "driver", evaluation.relevance(F.col("position")).alias("relevance"))),
+    "walk_forward_forecasts": of_league(forecast.collect),
+    "walk_forward_predicted_grid": of_league(lambda h: forecast.collect(h, predicted_grid=True)),
+    "race_forecast": of_league(last_event_forecast),
+    "tuned_ridge": of_league(lambda h: forecast.tune(h, "ridge", DEVELOPMENT)),
+    "tuned_elo": of_league(lambda h: forecast.tune(h, "elo", DEVELOPMENT)),
     "model_metrics": of_league(lambda h: models.evaluated(h, ("ridge", "elo"))),
     "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
     "elo_by_circuit": of_league(lambda h: models.elo(h, by="circuit")),

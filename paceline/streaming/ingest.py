@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest_available(spark: SparkSession, source: str, columns: str, target: str, checkpoint: str) -> int:
+def ingest_available(spark: SparkSession, source: str, columns: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> int:
     """Appends the rows of new files in source to target and returns how many there were.
 
     The checkpoint lists the files that were read, so a run after a crash neither skips nor repeats any.
     """
-    stream = spark.readStream.schema(columns).parquet(source)
-    query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    most = spark.conf.get(kept)
+    spark.conf.set(kept, str(1 << 30))  # the report of every batch is wanted, not of the last few
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    try:
+        query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(kept, most)
     return sum(p["numInputRows"] for p in query.recentProgress)
 
 
