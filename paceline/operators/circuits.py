@@ -53,10 +53,17 @@ def circuit_history(history: DataFrame, min_share: float = 0.25, weight: int = 3
     years = eligible_years(history, min_share).select("t", "past_year")
     own = idx.filter("race_ok").select("circuit", F.col("race_idx").alias("p"), F.col("year").alias("past_year"), "driver", "position", "grid", "dnf")
     at = races.join(history.select(*RACE, "circuit").distinct(), list(RACE)).select(F.col("race_idx").alias("t"), "circuit")
-    past = at.join(years, "t").join(own, ["circuit", "past_year"]).filter(F.col("p") < F.col("t"))
-    mine = past.groupBy("t", "driver").agg(F.count("position").alias("n"), F.avg("position").alias("mean"))
+    # an entrant meets its own visits, an event the sums of earlier events: no event meets the entrants of others
+    seen = own.select("driver", "circuit", "p", "past_year", "position")
+    visited = idx.select("driver", "circuit", F.col("race_idx").alias("t")).join(seen, ["driver", "circuit"]).filter(F.col("p") < F.col("t"))
+    mine = visited.join(years, ["t", "past_year"], "left_semi").groupBy("t", "driver").agg(F.count("position").alias("n"), F.avg("position").alias("mean"))
     gained = F.when((F.col("grid") > 0) & ~F.col("dnf"), F.col("grid") - F.col("position"))
-    field_there = past.groupBy("t").agg(F.avg(gained).alias("circ_overtake"), F.avg(F.col("dnf").cast("double")).alias("circ_dnf_rate"), F.countDistinct("past_year").alias("years"))
+    retired = F.col("dnf").cast("double")
+    events = own.groupBy("circuit", "past_year", "p").agg(F.sum(gained).alias("g"), F.count(gained).alias("gn"), F.sum(retired).alias("d"), F.count(retired).alias("dn"))
+    past = at.join(years, "t").join(events, ["circuit", "past_year"]).filter(F.col("p") < F.col("t"))
+    field_there = past.groupBy("t").agg(
+        F.try_divide(F.sum("g"), F.sum("gn")).alias("circ_overtake"), F.try_divide(F.sum("d"), F.sum("dn")).alias("circ_dnf_rate"), F.countDistinct("past_year").alias("years")
+    )
     out = base.withColumnRenamed("race_idx", "t").join(mine, ["t", "driver"], "left").join(field_there, "t", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select(
