@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ BITS = 16
 MANY = -1
 CHUNK = 16_000_000
 SLICE = 1_000_000
+UNMERGED = 500_000  # n-grams that a task gathers before it sums equal ones
 SYMBOLS = "#*$%&|<>"
 
 
@@ -80,9 +82,9 @@ def merged(keys: np.ndarray, n: np.ndarray, holder: np.ndarray) -> tuple[np.ndar
     return keys[first], np.add.reduceat(n, first), np.where(low == high, low, MANY)
 
 
-def chunk_of(at: int, chars: int, text: str | None, most: int) -> tuple[int, int]:
-    """The chunk behind this document and the characters in it so far: chunks end after `most` characters."""
-    chars += len(text or "") + 1
+def chunk_of(at: int, chars: int, length: int, most: int) -> tuple[int, int]:
+    """The chunk behind a document of this length and the characters in it so far: chunks end after `most` characters."""
+    chars += length + 1
     return (at + 1, 0) if chars >= most else (at, chars)
 
 
@@ -104,17 +106,17 @@ def counted(docs: DataFrame, order: int, text: str, lang: str) -> DataFrame:
                     m = len(keys[part])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, at)), pa.array([k] * m, pa.string()), *map(pa.array, (keys[part], n[part], holder[part]))], schema=schema)
 
-        for batch in batches:
-            for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            for t, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if t is not None:
                     keys, n = distinct(t, order)
                     held.setdefault(k, []).append((keys, n, np.full(len(keys), row)))
                     size += len(keys)
-                    if size > 2_000_000:
+                    if size > UNMERGED:
                         held = {k: [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))] for k, parts in held.items()}
                         size = 0
                 row += 1
-                behind, chars = chunk_of(at, chars, t, most)
+                behind, chars = chunk_of(at, chars, len(t or ""), most)
                 if behind != at:
                     yield from out()
                     at, size = behind, 0
@@ -256,8 +258,8 @@ def packed(held: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             start = 0
-            for i, t in enumerate(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                behind, chars = chunk_of(at, chars, t, most)
+            for i, length in enumerate(pc.utf8_length(batch.column(batch.schema.get_field_index(text))).to_pylist()):
+                behind, chars = chunk_of(at, chars, length or 0, most)
                 if behind != at:
                     parts.append(batch.slice(start, i + 1 - start))
                     yield from out()
@@ -290,13 +292,14 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str, kept: list[str]
     def score(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             raise ValueError("documents came in another order when they were read again")
-        names, keys = found["lang"].to_numpy(zero_copy_only=False), found["code"].to_numpy()
-        logs = found["logp"].to_numpy().astype(np.float64)
+        langs, keys, logs = found["lang"].combine_chunks().dictionary_encode(), found["code"].to_numpy(), found["logp"].to_numpy()
+        names = [*langs.dictionary.to_pylist(), None]
+        lang_of = langs.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
         tables = {}
-        for k in set(names):
-            at = np.flatnonzero(names == k) if k is not None else np.flatnonzero([x is None for x in names])
+        for i in np.unique(lang_of):
+            at = np.flatnonzero(lang_of == i)
             at = at[np.argsort(keys[at])]
-            tables[k] = keys[at], logs[at]
+            tables[names[i]] = keys[at], logs[at].astype(np.float64)
 
         def surprise(t: str | None, k: str | None, words: int) -> float | None:
             own, n = distinct(t, order) if t and words else ((), ())
