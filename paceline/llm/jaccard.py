@@ -42,6 +42,8 @@ FEW = 16
 MOST_COMMON = 500_000
 SPLIT = 500
 MAP_BITS = 1 << 26
+WORDS = 100_000
+GATHERED = 4_000_000
 SIG_MASK = -1
 MOST_CLASHES = 1000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +55,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest())
         if len(word) <= 32:
-            if len(self) >= 500_000:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = h
         return h
@@ -121,8 +123,11 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
         total = 0
 
         def often() -> pa.RecordBatch:
-            grams, times = np.unique(np.concatenate(held), return_counts=True)
-            grams, times = grams[times >= 4], times[times >= 4]
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            grams = np.unique(every[3:][every[3:] == every[:-3]])  # those there four times
+            times = np.searchsorted(every, grams, "right") - np.searchsorted(every, grams)
             none = [None] * len(grams)
             return _rows([none, none, none, none, none, none, grams.view(np.int64), times], schema)
 
@@ -130,14 +135,14 @@ def _surveyed(docs: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 ids, bs, texts = (batch.column(i).slice(at, 512).to_pylist() for i in range(3))
                 sets = [ngrams(t, n) for t in texts]
-                held += sets
-                total += sum(map(len, sets))
+                held.append(np.concatenate(sets))
+                total += len(held[-1])
                 none = [None] * len(ids)
                 sig, also = zip(*(fingerprint(s, mask) if len(s) else (None, None) for s in sets), strict=True)
                 yield _rows([ids, bs, sig, also, [len(s) for s in sets], [parities(s) for s in sets], none, none], schema)
-                if total > 4_000_000:
+                if total > GATHERED:
                     yield often()
-                    held, total = [], 0
+                    total = 0
         if held:
             yield often()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of a batch that goes to Python: long texts would make very large ones of Spark's usual 10,000 rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside run with batches of BATCH bytes; the session's own setting is back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't recompute it, whichever executor is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -45,8 +64,9 @@ def cut_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str) -> D
     """One table of all parts, each written before the next is asked for."""
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     spark.createDataFrame([], schema).write.parquet(path)
-    for part in parts:
-        part.write.mode("append").option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        for part in parts:
+            part.write.mode("append").option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.cut_path = path
     return out
