@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, jaccard, kneser_ney, langid, line_dedup, rule_ensemble, suffix_dedup
+from paceline.llm import bpe, centroids, codebooks, jaccard, kneser_ney, langid, licenses, line_dedup, rule_ensemble, suffix_dedup
 from paceline.llm.mixing import mix
 from paceline.llm.sharding import shard
 from paceline.llm.shared import table
@@ -71,7 +71,28 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc, "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_suffix_dedup, op10_sharding)}
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_mix_sources, op3_quality_classifier, op4_quality_rules, op5_byte_bpe, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_suffix_dedup, op10_sharding,
+        op11_delta_lloyd, op12_license_scan, op13_vector_codes,
+    )
+}
 
 #: Whole sets of word 3-grams joined on common n-grams, then the least id that links reach.
 JACCARD_SQL = r"""
@@ -115,7 +136,86 @@ LINES_SQL = r"""
     FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN per ON per.doc_id = d.doc_id
 """
 
+#: Vectors that take part, as whole numbers in doubles, which hold them exactly.
+VECTORS_SQL = """
+    v0 AS MATERIALIZED (
+        SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+    )"""
+
+
+def lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain Lloyd rounds: every vector meets every centroid in each."""
+    steps = [VECTORS_SQL.format(scale=256), f"""c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v0 WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k})
+    )"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+        SELECT rid, min(struct_pack(d := list_inner_product(v0.v, v0.v) - 2 * list_inner_product(v0.v, c{r}.v) + list_inner_product(c{r}.v, c{r}.v), c := c)) AS b FROM v0, c{r} GROUP BY rid
+    )""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+        SELECT c{r}.c, coalesce(m, v) AS v FROM c{r} LEFT JOIN (
+            SELECT c, list(floor(s / n) ORDER BY i) AS m FROM (SELECT b.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN v0 USING (rid), range(1, 65) AS t(i) GROUP BY ALL) GROUP BY c
+        ) AS new ON new.c = c{r}.c
+    )""")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(list_transform(c{rounds}.v, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+    FROM a{rounds} JOIN v0 USING (rid) JOIN c{rounds} ON c{rounds}.c = b.c"""
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    width = 64 // parts
+    distance = "list_inner_product(p0.v, p0.v) - 2 * list_inner_product(p0.v, {b}.v) + list_inner_product({b}.v, {b}.v)"
+    steps = [VECTORS_SQL.format(scale=4096), f"""p0 AS MATERIALIZED (
+        SELECT rid, vec_id, part, v[part * {width} + 1 : part * {width} + {width}] AS v FROM v0, range(0, {parts}) AS t(part)
+    )""", f"""b0 AS MATERIALIZED (
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p0 WHERE vec_id IN (SELECT DISTINCT vec_id FROM v0 ORDER BY vec_id LIMIT {entries})
+    )"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+        SELECT rid, p0.part, any_value(p0.v) AS v, min(struct_pack(d := {distance.format(b=f"b{r}")}, e := e)) AS b FROM p0 JOIN b{r} ON p0.part = b{r}.part GROUP BY rid, p0.part
+    )""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+        SELECT b{r}.part, b{r}.e, coalesce(m, v) AS v FROM b{r} LEFT JOIN (
+            SELECT part, e, list(floor(s / n) ORDER BY i) AS m FROM (SELECT part, b.e AS e, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {width + 1}) AS t(i) GROUP BY ALL) GROUP BY part, e
+        ) AS new ON new.part = b{r}.part AND new.e = b{r}.e
+    )""")
+    return f"""WITH {", ".join(steps)},
+    done AS (SELECT rid, string_agg(format('{{:02x}}', b.e), '' ORDER BY part) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+    shown AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM done JOIN v0 USING (rid), shown"""
+
+
+def licenses_sql() -> str:
+    """Every template slid along every text."""
+    rows = []
+    for t, p in enumerate(licenses.prepared(x, 0.8) for x in licenses.BASE + licenses.LICENCES):
+        rows += [f"({t}, '{p.template.label}', {p.template.base}, {len(p.words)}, {p.least}, {len(p.key)}, {i}, '{w}', {int(i in p.key)})" for i, w in enumerate(p.words)]
+    return rf"""
+    WITH tpl(t, label, base, n, least, n_key, p, word, is_key) AS (VALUES {", ".join(rows)}),
+    w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '') AS ws FROM documents
+    ), e AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM w),
+    found AS (
+        SELECT doc_id, label, base, n, pos - p AS start, count(*) AS matched FROM e JOIN tpl USING (word)
+        GROUP BY doc_id, t, label, base, n, least, n_key, pos - p HAVING count(*) >= least AND sum(is_key) = n_key
+    ), per AS (
+        SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(matched / n) AS score
+        FROM found GROUP BY doc_id
+    )
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+    FROM w LEFT JOIN per USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op11_delta_lloyd": lloyd_sql(),
+    "op12_license_scan": licenses_sql(),
+    "op13_vector_codes": codes_sql(),
     "op6_line_dedup": LINES_SQL,
     "op7_jaccard_join": JACCARD_SQL,
     "op8_topk_search": """
