@@ -9,8 +9,8 @@ bins numbers and no rows, takes the split with the largest second-order gain
 with missing values on whichever side gains more. Trees grow best-first: of all leaves the one with the largest gain is
 split next, up to a number of leaves. To need one job for a level and not one for a split, the nodes that could still
 be chosen are split on trial, so that their children's sums are known before they are. All folds of a walk-forward
-evaluation grow in the same jobs. Rows move between rounds in a table of the shared folder; trees are joined to them as
-a small table, so plans don't grow with the number of rounds.
+evaluation grow in the same jobs. Rows move between rounds in a table of the shared folder; a round's
+trees are a constant of its plan, which doesn't grow with the number of rounds.
 
 Ranking follows LambdaRank: the pull between two entrants of an event is the logistic loss of their scores times what
 swapping them changes of the event's discounted gain, over pairs with at least one of the `top` best by the current
@@ -24,7 +24,7 @@ smaller feature, then the lower bin, then missing values on the left.
 from __future__ import annotations
 
 import heapq
-import math
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -37,7 +37,7 @@ from paceline.operators.form import RACE
 from paceline.sources.scratch import discard, written
 
 KEYS = (*RACE, "driver")
-NODES = "fold int, nodes array<struct<feature int, cut int, missing_left boolean, left int, right int, value double, open boolean>>"
+NODES = "map<string, array<struct<feature int, cut int, missing_left boolean, left int, right int, value double, open boolean>>>"
 
 
 @dataclass(frozen=True)
@@ -210,23 +210,22 @@ def node_of(bins: Column, nodes: Column, depth: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(depth, 1))), F.lit(0), down)
 
 
-def as_table(spark, trees: dict[int, Tree], open_nodes: dict[int, set[int]], s: Settings | None = None) -> DataFrame:
-    """The trees as rows. With s, only splits that were taken, and the values of leaves."""
-    rows = []
+def as_column(trees: dict[int, Tree], open_nodes: dict[int, set[int]], s: Settings | None = None) -> Column:
+    """The nodes of each row's fold, from a constant. With s, only splits that were taken, and the values of leaves."""
+    out = {}
     for f, t in trees.items():
-        nodes = []
+        nodes = out[str(f)] = []
         for i, n in enumerate(t.nodes):
             leaf = n.feature < 0 or (s is not None and i not in t.taken)
             value = -n.g / (n.h + s.l2) * s.step if s is not None and leaf and n.h + s.l2 > 0 else 0.0
-            nodes.append((-1 if leaf else n.feature, n.cut, n.missing_left, n.left, n.right, float(value), i in open_nodes.get(f, ())))
-        rows.append((f, nodes))
-    return spark.createDataFrame(rows, NODES)
+            nodes.append({"feature": -1 if leaf else n.feature, "cut": int(n.cut), "missing_left": bool(n.missing_left), "left": n.left, "right": n.right, "value": float(value), "open": i in open_nodes.get(f, ())})
+    return F.element_at(F.from_json(F.lit(json.dumps(out)), NODES), F.col("fold").cast("string"))
 
 
 def histograms(rows: DataFrame, trees: dict[int, Tree], open_nodes: dict[int, set[int]], n_features: int, bins: int) -> dict[tuple[int, int], np.ndarray]:
     """{(fold, node): sums of g, h and rows by feature and bin}: one aggregation for all open nodes."""
     depth = max(n.depth for t in trees.values() for n in t.nodes)
-    at = rows.filter("train").join(F.broadcast(as_table(rows.sparkSession, trees, open_nodes)), "fold")  # a row for each fold
+    at = rows.filter("train").withColumn("nodes", as_column(trees, open_nodes))
     at = at.withColumn("node", node_of(F.col("bins"), F.col("nodes"), depth)).filter(F.get("nodes", F.col("node"))["open"])
     parts = at.select("fold", "node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
     sums = parts.groupBy("fold", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
@@ -274,7 +273,6 @@ def boost(table: DataFrame, names: tuple[str, ...], y: str, folds: Folds, s: Set
 
     log, if given, receives the trees of every round.
     """
-    spark = table.sparkSession
     rows = dealt(table.select(*KEYS, "race_ok", F.col(y).cast("double").alias("y"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(names))), "y", folds)
     columns = tuple(f"x{i}" for i in range(len(names)))
     rows = binned(rows, columns, written(edges(rows, columns, s.bins))).drop(*columns, "race_ok")
@@ -291,8 +289,7 @@ def boost(table: DataFrame, names: tuple[str, ...], y: str, folds: Folds, s: Set
         if not any(t.taken for t in trees.values()):
             break
         depth = max(n.depth for t in trees.values() for n in t.nodes)
-        small = as_table(spark, trees, {}, s)
-        moved = state.join(F.broadcast(small), "fold")  # a row for each fold
+        moved = state.withColumn("nodes", as_column(trees, {}, s))
         moved = moved.withColumn("pred", F.col("pred") + F.get("nodes", node_of(F.col("bins"), F.col("nodes"), depth))["value"]).drop("nodes", "g", "h")
         new = written(gradients(moved, s))
         discard(state)
