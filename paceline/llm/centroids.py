@@ -103,7 +103,7 @@ def transfers(state: DataFrame) -> list[tuple[int, int, list[int]]]:
     parts = moved.filter("m.c >= 0").select("m.c", "m.sign", F.posexplode("v").alias("i", "x"))
     sums = parts.groupBy("c", "i").agg(F.sum((F.col("x") * F.col("sign")).cast("decimal(38,0)")).alias("s"), F.sum("sign").alias("n"))
     found: dict[int, tuple[int, dict[int, int]]] = {}
-    for r in sums.toLocalIterator():  # k * dims rows at most
+    for r in sums.collect():  # k * dims rows at most
         found.setdefault(r.c, (r.n, {}))[1][r.i] = int(r.s)
     return [(c, n, [s[i] for i in range(len(s))]) for c, (n, s) in sorted(found.items())]
 
