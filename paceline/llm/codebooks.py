@@ -36,11 +36,20 @@ Books = np.ndarray  # parts x entries x part length
 def first_books(rows: DataFrame, parts: int, entries: int) -> Books | None:
     """The parts of the vectors of the smallest ids; None without any."""
     usable = rows.filter(F.col("id").isNotNull() & (F.size("v") % parts == 0))
-    least = usable.orderBy("id", "v").select(F.size("v").alias("n")).first()
-    if least is None:
+    found: dict = {}
+    while len(found) < entries:
+        # an id may have any number of rows, so the next ones are asked for behind the last id, not behind the last row
+        behind = usable.filter((F.col("id") > max(found)) & (F.size("v") == length)) if found else usable
+        got = behind.orderBy("id", "v").limit(entries).collect()
+        if not got:
+            break
+        length = len(next(iter(found.values()), got[0].v))
+        for r in got:
+            if r.id not in found and len(r.v) == length and len(found) < entries:
+                found[r.id] = r.v
+    if not found:
         return None
-    same = usable.filter(F.size("v") == least.n).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(entries)
-    start = np.array([r.v for r in same.select("v").collect()], np.int64)
+    start = np.array([found[i] for i in sorted(found)], np.int64)
     return start.reshape(len(start), parts, -1).transpose(1, 0, 2)
 
 
@@ -70,24 +79,26 @@ def entry_sums(rows: DataFrame, books: Books) -> dict[tuple[int, int], tuple[int
         for b in batches:
             for start in range(0, b.num_rows, 4096):
                 part = b.slice(start, 4096)
-                v = matrix(part.column("v"), parts * width)
-                most = largest(v) * len(v)
-                if bound + most >= 2**62:  # what is summed so far goes out before 64 bits overflow
-                    yield out()
-                    total[:], count[:], bound = 0, 0, 0
-                bound += most
-                at, _ = coded(v, books)
-                cut_up = v.reshape(len(v), parts, width)
-                for p in range(parts):
-                    taken = (at[:, p] == np.arange(entries)[:, None]).astype(np.int64)
-                    total[p] += taken @ cut_up[:, p]
-                    count[p] += taken.sum(axis=1)
+                whole = matrix(part.column("v"), parts * width)
+                most = max(largest(whole), 1)
+                step = max(1, 2**62 // most)
+                for v in (whole[i : i + step] for i in range(0, len(whole), step)):
+                    if bound + most * len(v) >= 2**62:  # what is summed so far goes out before 64 bits overflow
+                        yield out()
+                        total[:], count[:], bound = 0, 0, 0
+                    bound += most * len(v)
+                    at, _ = coded(v, books)
+                    cut_up = v.reshape(len(v), parts, width)
+                    for p in range(parts):
+                        taken = (at[:, p] == np.arange(entries)[:, None]).astype(np.int64)
+                        total[p] += taken @ cut_up[:, p]
+                        count[p] += taken.sum(axis=1)
         yield out()
 
     sums = rows.select("v").mapInArrow(run, "part int, entry int, i int, n long, s long")
     merged = sums.groupBy("part", "entry", "i").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"))
     found: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
-    for r in merged.toLocalIterator():  # as many rows as numbers in the codebooks
+    for r in merged.collect():  # as many rows as numbers in the codebooks
         found.setdefault((r.part, r.entry), (r.n, {}))[1][r.i] = int(r.s)
     return {k: (n, [s[i] for i in range(len(s))]) for k, (n, s) in found.items()}
 
