@@ -3,10 +3,9 @@ model settings on development seasons."""
 
 from __future__ import annotations
 
-import itertools
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.operators import models, simulation
@@ -120,17 +119,29 @@ def forecast(history: DataFrame, entries: DataFrame, predicted_grid: bool = Fals
     return raw.select(*RACE, "driver", "grid").join(places, [*RACE, "driver"])
 
 
-def settings(model: str) -> list[dict[str, float]]:
-    """Every setting of the model's grid, in order."""
+def settings(spark: SparkSession, model: str) -> DataFrame:
+    """trial_id and the columns of the model's grid: every combination of its values, in their order.
+
+    One row exploded once for each parameter; a trial's number is that of its values, read as digits.
+    """
     grid = GRIDS[model]
-    return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    trials = spark.range(1).select(F.lit(0).alias("trial_id"))
+    for name, values in grid.items():
+        numbered = F.posexplode(F.array(*map(F.lit, values))).alias("at", name)
+        trials = trials.select("*", numbered).withColumn("trial_id", F.col("trial_id") * len(values) + F.col("at")).drop("at")
+    return trials.orderBy("trial_id")
+
+
+def tried(spark: SparkSession, model: str) -> dict[int, dict[str, float]]:
+    """The settings by trial: a row for each."""
+    return {r.trial_id: {k: r[k] for k in GRIDS[model]} for r in settings(spark, model).collect()}
 
 
 def setting_scores(history: DataFrame, model: str, seasons: tuple[int, ...]) -> DataFrame:
     """model (the setting's number), year, round, driver, score of each setting in each season."""
-    tried = settings(model)
+    trials = tried(history.sparkSession, model)
     if model == "elo":  # ratings before an event know nothing later, so they need no fit by season
-        parts = [models.elo(history, **s).filter(F.col("year").isin(*seasons)).select(F.lit(i).alias("model"), *RACE, "driver", F.col("elo_score").alias("score")) for i, s in enumerate(tried)]
+        parts = [models.elo(history, **s).filter(F.col("year").isin(*seasons)).select(F.lit(i).alias("model"), *RACE, "driver", F.col("elo_score").alias("score")) for i, s in trials.items()]
     else:
         table, parts = kept(models.rows(history)), []
         for year in seasons:
@@ -140,10 +151,10 @@ def setting_scores(history: DataFrame, model: str, seasons: tuple[int, ...]) ->
             x = models.standardised(train, models.FEATURES)
             if model == "ridge":
                 sums = models.sums_of_products(train, x, "position")
-                columns = [models.solved(sums, x, **s) for s in tried]
+                columns = {i: models.solved(sums, x, **s) for i, s in trials.items()}
             else:
-                columns = [-models.weighted(x, models.plackett_luce(train, x, "position", **s)) for s in tried]
-            each = F.array(*(F.struct(F.lit(i).alias("model"), c.alias("score")) for i, c in enumerate(columns)))
+                columns = {i: -models.weighted(x, models.plackett_luce(train, x, "position", **s)) for i, s in trials.items()}
+            each = F.array(*(F.struct(F.lit(i).alias("model"), c.alias("score")) for i, c in columns.items()))
             parts.append(table.filter(F.col("year") == year).select(*RACE, "driver", F.inline(each)).select("model", *RACE, "driver", "score"))
     if not parts:
         raise ValueError(f"none of {seasons} has a season with results before it")
@@ -163,7 +174,7 @@ def tune(history: DataFrame, model: str, seasons: tuple[int, ...]) -> DataFrame:
     metrics = race_metrics(development_only(setting_scores(shown, model, seasons), seasons), shown)
     means = {r.model: r for r in metrics.groupBy("model").agg(F.avg("spearman").alias("mean"), F.count("*").alias("races")).collect()}
     trials, best = [], None
-    for i, s in enumerate(settings(model)):
+    for i, s in tried(history.sparkSession, model).items():
         if i not in means:
             continue
         if best is None or means[i]["mean"] > means[best]["mean"] + 1e-12:

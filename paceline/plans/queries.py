@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, forecast, form, models, sessions, simulation
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, sessions, simulation, walkforward
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table
+from paceline.sources.scratch import written
 
 RACE = form.RACE
 DEVELOPMENT = (1997, 1998)
@@ -154,6 +155,18 @@ def races_that_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.keys_in(events, championship.not_a_race(spark), present=False)
 
 
+def ranker(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return of_league(lambda h: harness.walk_forward_scores(written(h), (name,)))
+
+
+def plackett_luce_steps(history: DataFrame) -> DataFrame:
+    """How the fit of each fold converged."""
+    report: list[walkforward.Step] = []
+    table = written(models.rows(history))
+    walkforward.plackett_luce(table, models.FEATURES, "position", folds.walk_forward(table, "position"), report=report)
+    return history.sparkSession.createDataFrame([tuple(vars(s).values()) for s in report], "fold int, step int, loss double, gradient double, change double")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_table": of_league(lambda h: h),
     "driver_form": of_league(form.driver_form),
@@ -232,6 +245,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tuned_ridge": of_league(lambda h: forecast.tune(h, "ridge", DEVELOPMENT)),
     "tuned_elo": of_league(lambda h: forecast.tune(h, "elo", DEVELOPMENT)),
     "model_metrics": of_league(lambda h: models.evaluated(h, ("ridge", "elo"))),
+    "walk_forward_metrics": of_league(harness.walk_forward_metrics),
+    "lambdarank_scores": ranker("lambdarank"),
+    "boosted_trees": ranker("boosted"),
+    "forest_walk_forward": ranker("forest"),
+    "plackett_luce_steps": of_league(plackett_luce_steps),
     "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
     "elo_by_circuit": of_league(lambda h: models.elo(h, by="circuit")),
     "session_audit": lambda spark, sf_dir: r6(audited(spark, sf_dir)),

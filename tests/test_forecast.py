@@ -87,7 +87,7 @@ def test_tuning_takes_the_first_of_the_best(history):
     table = models.rows(history).toPandas()
     seasons, means = (1997, 1998), []
     actual = {(r.year, r.round, r.driver): r.position for r in table.itertuples() if r.position == r.position}
-    for s in forecast.settings("ridge"):
+    for s in forecast.tried(spark, "ridge").values():
         scored = {k: v for y in seasons for k, v in plain_ridge(table, y, s["alpha"]).items() if k in actual}
         each = []
         for event in {k[:2] for k in scored}:
