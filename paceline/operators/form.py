@@ -164,11 +164,12 @@ def others_mean(value: Column, *by: str) -> Column:
     return F.when(n > 0, (F.sum(value).over(w) - F.coalesce(value, F.lit(0.0))) / n)
 
 
-def weekend_pace(history: DataFrame) -> DataFrame:
+def weekend_pace(history: DataFrame, by: tuple[str, ...] = RACE) -> DataFrame:
+    """by: the columns that tell one field of entrants from another."""
     best = F.col("fp_best_gap")
     return history.select(
-        *RACE, "driver", best.alias("pq_fp_best_gap"), F.col("fp_last_gap").alias("pq_fp_last_gap"), average_rank(best, *RACE).alias("pq_fp_best_rank"),
-        (best - others_mean(best, *RACE, "team")).alias("pq_fp_vs_teammate"),
+        *by, "driver", best.alias("pq_fp_best_gap"), F.col("fp_last_gap").alias("pq_fp_last_gap"), average_rank(best, *by).alias("pq_fp_best_rank"),
+        (best - others_mean(best, *by, "team")).alias("pq_fp_vs_teammate"),
     )
 
 
@@ -176,12 +177,12 @@ def weather(history: DataFrame) -> DataFrame:
     return history.select(*RACE, "wx_air_temp", "wx_rain_frac").distinct().withColumn("wx_is_wet", (F.col("wx_rain_frac") > 0).cast("double"))
 
 
-def grid_features(history: DataFrame) -> DataFrame:
-    """Pit-lane starts and unknown slots go behind the last slot."""
-    w = Window.partitionBy(*RACE)
+def grid_features(history: DataFrame, by: tuple[str, ...] = RACE) -> DataFrame:
+    """Pit-lane starts and unknown slots go behind the last slot of the field, which the columns `by` name."""
+    w = Window.partitionBy(*by)
     slot = F.when(F.col("grid") > 0, F.col("grid"))
     grid = F.coalesce(slot, F.coalesce(F.max(slot).over(w), F.lit(0.0)) + 1)
-    return history.select(*RACE, "driver", grid.alias("grid"), F.coalesce(F.col("grid") == 0, F.lit(False)).cast("double").alias("grid_pit_lane"), (grid / F.count("*").over(w)).alias("grid_frac"))
+    return history.select(*by, "driver", grid.alias("grid"), F.coalesce(F.col("grid") == 0, F.lit(False)).cast("double").alias("grid_pit_lane"), (grid / F.count("*").over(w)).alias("grid_frac"))
 
 
 #: Which groups of features each target may use, and those that must be asked for. Fixed rules.
@@ -223,7 +224,11 @@ def training_frame(history: DataFrame, target: str = "finish", optional: tuple[s
 
 
 def score_entries(history: DataFrame, entries: DataFrame, build) -> DataFrame:
-    """Features of an event that hasn't happened: its entries, without outcomes, behind the history."""
-    year, rnd = entries.select(F.first("year"), F.first("round")).first()
+    """Features of an event that hasn't happened: its entries, without outcomes, behind the history. The entries must be of
+    one event; serving.features_at takes those of many."""
+    events = entries.select(*RACE).distinct().limit(2).collect()
+    if len(events) != 1:
+        raise ValueError("entries must be of one event")
+    year, rnd = events[0]
     both = before(history, year, rnd).unionByName(entries, allowMissingColumns=True)
     return build(both).filter((F.col("year") == year) & (F.col("round") == rnd))
