@@ -197,6 +197,34 @@ there AS (SELECT t, avg(CASE WHEN grid > 0 AND NOT dnf THEN grid - position END)
 SELECT ci.year, ci.round, ci.driver, round((coalesce(n, 0) * coalesce(m, 0.0) + 3 * coalesce(recent, field_mean)) / (coalesce(n, 0) + 3), 6) AS circ_drv_finish,
     coalesce(n, 0) AS circ_drv_n, round(o, 6) AS circ_overtake, round(d, 6) AS circ_dnf_rate, coalesce(y, 0) AS circ_n_years
 FROM ci JOIN fm USING (race_idx) LEFT JOIN mine ON mine.t = ci.race_idx AND mine.driver = ci.driver LEFT JOIN there ON there.t = ci.race_idx"""
+#: Entry lists, their own fields and as-of events; the years before it that count for each.
+LISTS = """, ls AS (
+    SELECT format('{}-{:02d}-{}', year, round, CASE WHEN no % 2 = 1 THEN 'odd' ELSE 'even' END) AS list, year, round, driver, team, circuit, grid FROM league WHERE year >= 1998
+    UNION ALL SELECT format('{}-{:02d}-late', year, round), year, 13, driver, team, circuit, grid FROM league WHERE year >= 1998 AND round % 4 = 0
+), lp AS (
+    SELECT ls.list, ls.driver, p.year AS past_year, p.position FROM ls JOIN league p ON p.driver = ls.driver AND p.circuit = ls.circuit AND p.race_ok AND (p.year, p.round) < (ls.year, ls.round)
+), le AS (
+    SELECT list, past_year, raced, entrants FROM (SELECT list, past_year, count(DISTINCT driver) AS raced FROM lp GROUP BY list, past_year)
+    JOIN (SELECT list, count(DISTINCT driver) AS entrants FROM ls GROUP BY list) USING (list) WHERE raced >= ceil(0.25 * entrants - 1e-9)
+)"""
+#: Features of the entries, each from what lies strictly before its event.
+SERVED = """, lf AS (
+    SELECT list, year, round, driver, row_number() OVER () AS rid, circuit, team FROM ls
+), hist AS (
+    SELECT lf.rid, h.*, row_number() OVER (PARTITION BY lf.rid ORDER BY h.year DESC, h.round DESC) AS back FROM lf JOIN league h ON h.driver = lf.driver AND h.race_ok AND (h.year, h.round) < (lf.year, lf.round)
+), own AS (
+    SELECT rid, avg(position) FILTER (back <= 5) AS l5, count(position) FILTER (back <= 5) AS n5, avg(position) FILTER (back <= 20) AS l20, avg(CASE WHEN dnf THEN 1.0 ELSE 0.0 END) FILTER (back <= 10) AS d10 FROM hist GROUP BY rid
+), cars AS (
+    SELECT team, year, round, avg(position) AS position FROM league WHERE race_ok GROUP BY team, year, round
+), teams AS (
+    SELECT rid, avg(position) AS t5 FROM (SELECT lf.rid, c.position, row_number() OVER (PARTITION BY lf.rid ORDER BY c.year DESC, c.round DESC) AS back FROM lf JOIN cars c ON c.team = lf.team AND (c.year, c.round) < (lf.year, lf.round)) WHERE back <= 5 GROUP BY rid
+), fld AS (
+    SELECT lf.rid, avg(h.position) AS field_mean FROM lf JOIN league h ON h.race_ok AND (h.year, h.round) < (lf.year, lf.round) GROUP BY lf.rid
+), mine AS (
+    SELECT list, driver, count(position) AS n, avg(position) AS m FROM lp JOIN le USING (list, past_year) GROUP BY list, driver
+), ny AS (SELECT list, count(*) AS years FROM le GROUP BY list), gr AS (
+    SELECT list, driver, coalesce(CASE WHEN grid > 0 THEN grid END, coalesce(max(CASE WHEN grid > 0 THEN grid END) OVER (PARTITION BY list), 0) + 1) AS grid FROM ls
+)"""
 RANGE = "year, round, driver"
 
 
@@ -347,6 +375,17 @@ ORACLE_SQL: dict[str, str] = {
     "reliability_bins": f"{L}{BINS} SELECT bin, {rounded('mean_p', 'rate')}, n FROM rel",
     "ece": f"{L}{BINS} SELECT round(sum(n * abs(mean_p - rate)) / sum(n), 6) AS ece FROM rel",
     "build_history": f"{L}{BUILT} SELECT year, round, no, driver, code, team, circuit, {rounded('position', 'grid', 'points', 'quali', 'quali_gap', 'pace_gap', *WX, *PQ)}, dnf, race_ok FROM built",
+    "eligible_years_at": f"{L}{LISTS} SELECT list, past_year, raced, entrants FROM le",
+    "serving_features": f"""{L}{LISTS}{SERVED} SELECT list, year, round, driver, round(l5, 6) AS drv_finish_l5, coalesce(n5, 0) AS drv_n_l5, round(d10, 6) AS drv_dnf_l10, round(t5, 6) AS team_finish_l5,
+        round((coalesce(n, 0) * coalesce(m, 0.0) + 3 * coalesce(l20, field_mean)) / (coalesce(n, 0) + 3), 6) AS circ_drv_finish, coalesce(n, 0) AS circ_drv_n, coalesce(years, 0) AS circ_n_years, round AS season_round, gr.grid
+        FROM lf LEFT JOIN own USING (rid) LEFT JOIN teams USING (rid) LEFT JOIN fld USING (rid) LEFT JOIN mine USING (list, driver) LEFT JOIN ny USING (list) JOIN gr USING (list, driver)""",
+    "session_ingest": f"""{L}{RAW_SQL}, ks AS (SELECT year, round, session FROM rlaps UNION SELECT year, round, session FROM rres),
+        nl AS (SELECT year, round, session, count(*) AS l FROM rlaps GROUP BY ALL), nr AS (SELECT year, round, session, count(*) AS r FROM rres GROUP BY ALL),
+        nw AS (SELECT year, round, 'Race' AS session, count(*) AS w FROM ln WHERE (year + round * 5) % 11 <> 0 GROUP BY ALL),
+        why AS (SELECT year, round, session, coalesce(l, 0) AS l, coalesce(r, 0) AS r, coalesce(w, 0) AS w, concat_ws('; ', CASE WHEN l IS NULL AND session <> 'Sprint' THEN 'laps: empty' END,
+            CASE WHEN r IS NULL AND session IN ('Race', 'Qualifying', 'Sprint') THEN 'results: empty' END, CASE WHEN w IS NULL AND session = 'Race' THEN 'weather: empty' END) AS refused
+            FROM ks LEFT JOIN nl USING (year, round, session) LEFT JOIN nr USING (year, round, session) LEFT JOIN nw USING (year, round, session))
+        SELECT year, round, session, refused = '' AS done, refused, CASE WHEN refused = '' THEN l ELSE 0 END AS n_laps, CASE WHEN refused = '' THEN r ELSE 0 END AS n_results, CASE WHEN refused = '' THEN w ELSE 0 END AS n_weather FROM why""",
     "session_audit": f"{L}{SESSION_AUDIT} SELECT * FROM sv",
     "audit_summary_by_kind": f"""{L}{SESSION_AUDIT} SELECT kind, count(*) AS sessions, CAST(sum(CASE WHEN results_ok THEN 1 ELSE 0 END) AS BIGINT) AS results_ok, CAST(sum(CASE WHEN laps_ok THEN 1 ELSE 0 END) AS BIGINT) AS laps_ok,
         CAST(sum(CASE WHEN weather_ok THEN 1 ELSE 0 END) AS BIGINT) AS weather_ok, CAST(sum(CASE WHEN flags = 'some_untimed_laps' THEN 1 ELSE 0 END) AS BIGINT) AS informational FROM sv GROUP BY kind""",

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, sessions, simulation, walkforward
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, serving, sessions, simulation, walkforward
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table
-from paceline.sources.scratch import written
+from paceline.sources.scratch import shared_dir, written
+from paceline.streaming import store
 
 RACE = form.RACE
 DEVELOPMENT = (1997, 1998)
+SERVED = ("drv_finish_l5", "drv_n_l5", "drv_dnf_l10", "team_finish_l5", "circ_drv_finish", "circ_drv_n", "circ_n_years", "season_round", "grid")
 NOW = "2024-02-20 12:00:00"
 
 
@@ -167,6 +170,36 @@ def plackett_luce_steps(history: DataFrame) -> DataFrame:
     return history.sparkSession.createDataFrame([tuple(vars(s).values()) for s in report], "fold int, step int, loss double, gradient double, change double")
 
 
+def entry_lists(history: DataFrame) -> DataFrame:
+    """Three lists for each event from 1998: the field's odd and even numbers as of the event, and all as of its season's end."""
+    of = history.filter("year >= 1998").select(*RACE, "no", "driver", "team", "circuit", "grid", "fp_best_gap", "fp_last_gap")
+    name = F.format_string("%d-%02d-%s", "year", "round", F.when(F.col("no") % 2 == 1, "odd").otherwise("even"))
+    late = of.filter("round % 4 = 0").withColumn("list", F.format_string("%d-%02d-late", "year", "round")).withColumn("round", F.lit(13))
+    return of.withColumn("list", name).unionByName(late).drop("no")
+
+
+def eligible_years_at(history: DataFrame) -> DataFrame:
+    lists = entry_lists(history).select(F.col("list").alias("t"), *RACE, "circuit", "driver")
+    return circuits.eligible_years_at(history, lists).select(F.col("t").alias("list"), "past_year", "raced", "entrants")
+
+
+def session_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions taken into a store in the shared folder; rows of each table as they are read back from it."""
+    laps, results = written(championship.laps(spark, sf_dir)), championship.results(spark, sf_dir)
+    weather = championship.weather(spark, sf_dir).filter((F.col("year") + F.col("round") * 5) % 11 != 0).withColumn("session", F.lit("Race"))
+    keys = list(store.KEYS)
+    sessions = written(laps.select(*keys).union(results.select(*keys)).distinct())
+    lacking = F.when(F.col("session") != "Race", "weather"), F.when(F.col("session") == "Sprint", "laps"), F.when(~F.col("session").isin("Race", "Qualifying", "Sprint"), "results")
+    allowed = sessions.select(*keys, F.explode(F.array_compact(F.array(*lacking))).alias("table"))
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    out = store.ingest(spark, root, {"laps": laps, "results": results, "weather": weather}, sessions, allowed, {"laps": ("code",), "results": ("code",)})
+    out = out.select(*keys, (F.size("refused") == 0).alias("done"), F.array_join("refused", "; ").alias("refused"))
+    for name in ("laps", "results", "weather"):
+        held = store.stored(spark, root, name).groupBy(*keys).agg(F.count("*").alias("n"))
+        out = out.join(held, keys, "left").withColumn(f"n_{name}", F.coalesce("n", F.lit(0))).drop("n")
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_table": of_league(lambda h: h),
     "driver_form": of_league(form.driver_form),
@@ -245,6 +278,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tuned_ridge": of_league(lambda h: forecast.tune(h, "ridge", DEVELOPMENT)),
     "tuned_elo": of_league(lambda h: forecast.tune(h, "elo", DEVELOPMENT)),
     "model_metrics": of_league(lambda h: models.evaluated(h, ("ridge", "elo"))),
+    "eligible_years_at": of_league(eligible_years_at),
+    "serving_features": of_league(lambda h: serving.features_at(h, entry_lists(h)).select("list", *RACE, "driver", *SERVED)),
+    "session_ingest": session_ingest,
     "walk_forward_metrics": of_league(harness.walk_forward_metrics),
     "lambdarank_scores": ranker("lambdarank"),
     "boosted_trees": ranker("boosted"),
