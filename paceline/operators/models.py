@@ -210,41 +210,17 @@ def elo(history: DataFrame, k_driver: float = 30.0, k_team: float = 50.0, scale:
     return history.select(*RACE, "driver", "team", "position", "race_ok", by).groupBy(by).applyInPandas(of_one, f"{ELO}, {by} {kind}")
 
 
-def plackett_luce(train: DataFrame, x: dict[str, Column], y: str, penalty: float = 1.0, steps: int = 8) -> np.ndarray:
-    """Weights that make the observed orders likeliest, by Newton's method.
+def plackett_luce(train: DataFrame, x: dict[str, Column], y: str, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights that make the observed orders likeliest, by Newton's method; each step is one aggregation over windows."""
+    from paceline.operators import walkforward
+    from paceline.sources.scratch import discard, written
 
-    Each step is one Spark job: every event adds its gradient and Hessian, which Spark sums.
-    """
     n = len(x)
-    t = train.select(*RACE, F.col(y).alias("y"), F.array(*x.values()).alias("v")).cache()
-    w = np.zeros(n)
-    schema = "i int, g double"
-
-    def derivatives(w: np.ndarray):
-        def part(race: pd.DataFrame) -> pd.DataFrame:
-            v = np.stack(race.sort_values("y")["v"].to_numpy())
-            s = np.exp(v @ w - (v @ w).max())
-            grad, hess = np.zeros(n), np.zeros((n, n))
-            for k in range(len(v) - 1):
-                p = s[k:] / s[k:].sum()
-                mean = p @ v[k:]
-                grad += v[k] - mean
-                hess += (v[k:] * p[:, None]).T @ v[k:] - np.outer(mean, mean)
-            return pd.DataFrame({"i": np.arange(n + n * n), "g": np.r_[grad, hess.ravel()]})
-
-        return part
-
-    for _ in range(steps):
-        sums = t.groupBy(*RACE).applyInPandas(derivatives(w), schema).groupBy("i").agg(F.sum("g").alias("g"))
-        total = sums.toPandas().sort_values("i")["g"].to_numpy()  # as many numbers as features, and their square
-        if not len(total):
-            break
-        step = np.linalg.solve(total[n:].reshape(n, n) + penalty * np.eye(n), total[:n] - penalty * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
-            break
-    t.unpersist()
-    return w
+    rows = written(train.select(F.lit(0).alias("fold"), *RACE, "driver", F.col(y).cast("double").alias("y"), F.array(*x.values()).alias("v")))
+    found = lambda w: walkforward.collected(walkforward.plackett_luce_sums(rows, w, n), n)
+    weights, _ = walkforward.newton(found, (0,), n, {0: np.full(n, penalty)}, steps)
+    discard(rows)
+    return weights[0]
 
 
 def plackett_luce_scores(history: DataFrame) -> DataFrame:
