@@ -48,10 +48,15 @@ def practice(history: DataFrame) -> DataFrame:
 BASELINES = {"grid": grid_equals_finish, "previous": previous, "mean_last5": mean_last5, "practice": practice}
 
 
+def previous_race(history: DataFrame) -> DataFrame:
+    """Qualifying as the last race ended: the last known finishing place; newcomers behind all others, as they are told."""
+    return previous(history, "position").withColumn("model", F.lit("previous_race"))
+
+
 #: The baselines of each target; those of qualifying are known before there is a grid.
 BY_TARGET = {
     "finish": BASELINES,
-    "quali": {"previous": lambda h: previous(h, "quali"), "mean_last5": lambda h: mean_last5(h, "quali"), "practice": practice},
+    "quali": {"previous": lambda h: previous(h, "quali"), "previous_race": previous_race, "mean_last5": lambda h: mean_last5(h, "quali"), "practice": practice},
 }
 
 

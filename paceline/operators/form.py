@@ -30,6 +30,21 @@ def usable(history: DataFrame) -> DataFrame:
     return history.filter(flag)
 
 
+def unique_entries(history: DataFrame) -> DataFrame:
+    """The history, refused if an entrant is listed twice in an event, a key is missing or a flag is null. One aggregation."""
+    per = history.groupBy(*RACE, "driver").agg(F.count("*").alias("times"), F.count_if(F.col("race_ok").isNull()).alias("unflagged"))
+    missing = F.col("year").isNull() | F.col("round").isNull() | F.col("driver").isNull()
+    found = per.agg(F.count_if(F.col("times") > 1).alias("twice"), F.count_if(missing).alias("keyless"), F.sum("unflagged").alias("unflagged")).first()
+    if faults := [f"{n} {what}" for n, what in ((found.twice, "entrants listed twice in an event"), (found.keyless, "rows without a key"), (found.unflagged, "rows without race_ok")) if n]:
+        raise ValueError(", ".join(faults))
+    return history
+
+
+def usable_history(history: DataFrame) -> DataFrame:
+    """Rows of events that count, of a history that is fit for features."""
+    return unique_entries(history).filter("race_ok")
+
+
 def duplicates(history: DataFrame) -> DataFrame:
     """Entrants listed more than once in an event."""
     return history.groupBy(*RACE, "driver").agg(F.count("*").alias("times")).filter("times > 1")
@@ -185,6 +200,16 @@ def grid_features(history: DataFrame, by: tuple[str, ...] = RACE) -> DataFrame:
     return history.select(*by, "driver", grid.alias("grid"), F.coalesce(F.col("grid") == 0, F.lit(False)).cast("double").alias("grid_pit_lane"), (grid / F.count("*").over(w)).alias("grid_frac"))
 
 
+def with_grids(features: DataFrame, grids: DataFrame, column: str = "grid") -> DataFrame:
+    """features with grid, grid_pit_lane and grid_frac as other slots have them, for entrants that these name.
+
+    grids: year, round, driver and the slot, real or predicted. A missing slot goes behind the last one of the event.
+    """
+    shown = features.select(*RACE, "driver").join(grids.select(*RACE, "driver", F.col(column).cast("double").alias("grid")), [*RACE, "driver"], "left")
+    others = [c for c in features.columns if c not in ("grid", "grid_pit_lane", "grid_frac")]
+    return features.select(*others).join(grid_features(shown), [*RACE, "driver"])
+
+
 #: Which groups of features each target may use, and those that must be asked for. Fixed rules.
 STAGES = {
     "finish": ("pre_weekend", "recency", "post_practice", "scenario", "post_quali"),

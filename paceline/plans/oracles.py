@@ -197,6 +197,11 @@ there AS (SELECT t, avg(CASE WHEN grid > 0 AND NOT dnf THEN grid - position END)
 SELECT ci.year, ci.round, ci.driver, round((coalesce(n, 0) * coalesce(m, 0.0) + 3 * coalesce(recent, field_mean)) / (coalesce(n, 0) + 3), 6) AS circ_drv_finish,
     coalesce(n, 0) AS circ_drv_n, round(o, 6) AS circ_overtake, round(d, 6) AS circ_dnf_rate, coalesce(y, 0) AS circ_n_years
 FROM ci JOIN fm USING (race_idx) LEFT JOIN mine ON mine.t = ci.race_idx AND mine.driver = ci.driver LEFT JOIN there ON there.t = ci.race_idx"""
+#: Weighted means of entrants and of their teams.
+RECENT = f"""own AS (SELECT year, round, driver, team, {', '.join(ew(v, n, h) for v, n in (('quali_gap', 'drv_qgap'), ('quali', 'drv_quali')) for h in (2, 4, 8))} FROM league JOIN cal USING (year, round)),
+    cars AS (SELECT year, round, team, avg(quali_gap) AS quali_gap, bool_and(race_ok) AS race_ok FROM league GROUP BY year, round, team),
+    teams AS (SELECT year, round, team, {', '.join(ew('quali_gap', 'team_qgap', h, 'team') for h in (2, 4, 8))} FROM cars JOIN cal USING (year, round))"""
+CIRCUIT_HISTORY = CIRCUIT.replace("SELECT ci.year, ci.round", ", ch AS (SELECT ci.year, ci.round") + ")"
 #: Entry lists, their own fields and as-of events; the years before it that count for each.
 LISTS = """, ls AS (
     SELECT format('{}-{:02d}-{}', year, round, CASE WHEN no % 2 = 1 THEN 'odd' ELSE 'even' END) AS list, year, round, driver, team, circuit, grid FROM league WHERE year >= 1998
@@ -303,10 +308,7 @@ ORACLE_SQL: dict[str, str] = {
     "history_table": f"{L} SELECT year, round, no, driver, code, team, circuit, {rounded(*FLOATS)}, dnf, race_ok FROM league",
     "driver_form": f"{L}{DRIVER_FORM} SELECT {RANGE}, {rounded('drv_finish_l5', 'drv_grid_l5', 'drv_quali_l5', 'drv_qgap_l5', 'drv_pace_l5', 'drv_dnf_l10', 'drv_pts_share_ytd')}, drv_n_l5, CAST(drv_rounds_since_last AS BIGINT) AS drv_rounds_since_last FROM df",
     "team_form": f"{L}{SEASON}{TEAM_FORM} SELECT year, round, team, {rounded('team_finish_l5', 'team_qgap_l5', 'team_pace_l3', 'team_dnf_l10', 'team_pts_share_ytd')} FROM tf",
-    "recency_form": f"""{L}{USABLE}, own AS (SELECT {RANGE}, team, {', '.join(ew(v, n, h) for v, n in (('quali_gap', 'drv_qgap'), ('quali', 'drv_quali')) for h in (2, 4, 8))} FROM league JOIN cal USING (year, round)),
-        cars AS (SELECT year, round, team, avg(quali_gap) AS quali_gap, bool_and(race_ok) AS race_ok FROM league GROUP BY year, round, team),
-        teams AS (SELECT year, round, team, {', '.join(ew('quali_gap', 'team_qgap', h, 'team') for h in (2, 4, 8))} FROM cars JOIN cal USING (year, round))
-        SELECT {RANGE}, {rounded(*(f'{n}_ew{h}' for n in ('drv_qgap', 'drv_quali', 'team_qgap') for h in (2, 4, 8)))} FROM own JOIN teams USING (year, round, team)""",
+    "recency_form": f"{L}{USABLE}, {RECENT} SELECT {RANGE}, {rounded(*(f'{n}_ew{h}' for n in ('drv_qgap', 'drv_quali', 'team_qgap') for h in (2, 4, 8)))} FROM own JOIN teams USING (year, round, team)",
     "circuit_history": f"{L}{CIRCUIT}",
     "context": f"{L} SELECT DISTINCT year, round, round AS season_round, year - CASE WHEN year >= 2000 THEN 2000 WHEN year >= 1998 THEN 1998 ELSE 1995 END AS seasons_since_reg_change FROM league",
     "weekend_pace": f"""{L} SELECT {RANGE}, round(fp_best_gap, 6) AS pq_fp_best_gap, round(fp_last_gap, 6) AS pq_fp_last_gap,
@@ -375,6 +377,17 @@ ORACLE_SQL: dict[str, str] = {
     "reliability_bins": f"{L}{BINS} SELECT bin, {rounded('mean_p', 'rate')}, n FROM rel",
     "ece": f"{L}{BINS} SELECT round(sum(n * abs(mean_p - rate)) / sum(n), 6) AS ece FROM rel",
     "build_history": f"{L}{BUILT} SELECT year, round, no, driver, code, team, circuit, {rounded('position', 'grid', 'points', 'quali', 'quali_gap', 'pace_gap', *WX, *PQ)}, dnf, race_ok FROM built",
+    "previous_race_equals_quali": f"{L}{BASE_PREVIOUS} SELECT 'previous_race' AS model, {RANGE}, round(score, 6) AS score FROM bp",
+    "quali_metrics": (L + BASE_PREVIOUS + BASE_PREVIOUS.replace("bp", "bq").replace("THEN position END", "THEN quali END") + BASE_MEAN.replace("position", "quali") + BASE_PRACTICE
+        + ", scores AS (SELECT year, round, driver, 'previous_race' AS model, score FROM bp UNION ALL SELECT year, round, driver, 'previous', score FROM bq UNION ALL SELECT year, round, driver, model, score FROM bm UNION ALL SELECT year, round, driver, model, score FROM bx)"
+        + METRICS.removeprefix(SCORES).replace("position", "quali")).replace("mae_quali", "mae_position") + f" SELECT model, year, round, n, {rounded(*M)} FROM pr",
+    "qgap_training_frame": f"""{L}{CIRCUIT_HISTORY}, {RECENT.replace("cars AS", "rcars AS").replace("FROM cars", "FROM rcars")}, own5 AS (SELECT year, round, driver, {masked('position', 5, 'driver')} AS l5, count(CASE WHEN race_ok THEN position END) OVER (PARTITION BY driver ORDER BY k RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS n5 FROM ci0),
+        tc AS (SELECT year, round, team, avg(position) AS position, bool_and(race_ok) AS race_ok FROM league GROUP BY year, round, team), tk AS (SELECT *, {usable_rank('team')} FROM tc), t5 AS (SELECT year, round, team, {masked('position', 5, 'team')} AS t5 FROM tk)
+        SELECT l.year, l.round, l.driver, round(l.quali_gap, 6) AS y, round(l5, 6) AS drv_finish_l5, n5 AS drv_n_l5, round(t5, 6) AS team_finish_l5, l.round AS season_round, round(drv_qgap_ew4, 6) AS drv_qgap_ew4, round(drv_quali_ew4, 6) AS drv_quali_ew4,
+        round(team_qgap_ew4, 6) AS team_qgap_ew4, round(l.fp_best_gap, 6) AS pq_fp_best_gap, circ_drv_n
+        FROM league l JOIN own5 USING (year, round, driver) JOIN t5 USING (year, round, team) JOIN own USING (year, round, driver) JOIN teams USING (year, round, team) JOIN ch USING (year, round, driver) WHERE l.race_ok AND l.quali_gap IS NOT NULL""",
+    "with_grids": f"""{L}, s AS (SELECT year, round, driver, CASE WHEN no % 7 <> 0 AND quali > 0 THEN quali END AS slot FROM league)
+        SELECT {RANGE}, coalesce(slot, coalesce(max(slot) OVER w, 0) + 1) AS grid, CAST(0 AS DOUBLE) AS grid_pit_lane, round(coalesce(slot, coalesce(max(slot) OVER w, 0) + 1) / count(*) OVER w, 6) AS grid_frac FROM s WINDOW w AS (PARTITION BY year, round)""",
     "eligible_years_at": f"{L}{LISTS} SELECT list, past_year, raced, entrants FROM le",
     "serving_features": f"""{L}{LISTS}{SERVED} SELECT list, year, round, driver, round(l5, 6) AS drv_finish_l5, coalesce(n5, 0) AS drv_n_l5, round(d10, 6) AS drv_dnf_l10, round(t5, 6) AS team_finish_l5,
         round((coalesce(n, 0) * coalesce(m, 0.0) + 3 * coalesce(l20, field_mean)) / (coalesce(n, 0) + 3), 6) AS circ_drv_finish, coalesce(n, 0) AS circ_drv_n, coalesce(years, 0) AS circ_n_years, round AS season_round, gr.grid

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, serving, sessions, simulation, walkforward
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, rulebook, serving, sessions, simulation, walkforward
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table
@@ -170,6 +170,21 @@ def plackett_luce_steps(history: DataFrame) -> DataFrame:
     return history.sparkSession.createDataFrame([tuple(vars(s).values()) for s in report], "fold int, step int, loss double, gradient double, change double")
 
 
+def quali_metrics(history: DataFrame) -> DataFrame:
+    """The baselines of qualifying against its places."""
+    scores = None
+    for name, build in baselines.BY_TARGET["quali"].items():
+        part = build(history).withColumn("model", F.lit(name))
+        scores = part if scores is None else scores.unionByName(part)
+    return evaluation.race_metrics(scores, history.select(*RACE, "driver", F.col("quali").alias("position")))
+
+
+def qgap_training_frame(history: DataFrame) -> DataFrame:
+    """Gaps in qualifying with the features that may be known before it, those with a half-life of four events among them."""
+    frame = rulebook.training_frame(history, "qgap", ("recency", "post_practice"), half_life=4)
+    return frame.select(*RACE, "driver", "y", "drv_finish_l5", "drv_n_l5", "team_finish_l5", "season_round", "drv_qgap_ew4", "drv_quali_ew4", "team_qgap_ew4", "pq_fp_best_gap", "circ_drv_n")
+
+
 def entry_lists(history: DataFrame) -> DataFrame:
     """Three lists for each event from 1998: the field's odd and even numbers as of the event, and all as of its season's end."""
     of = history.filter("year >= 1998").select(*RACE, "no", "driver", "team", "circuit", "grid", "fp_best_gap", "fp_last_gap")
@@ -278,6 +293,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tuned_ridge": of_league(lambda h: forecast.tune(h, "ridge", DEVELOPMENT)),
     "tuned_elo": of_league(lambda h: forecast.tune(h, "elo", DEVELOPMENT)),
     "model_metrics": of_league(lambda h: models.evaluated(h, ("ridge", "elo"))),
+    "previous_race_equals_quali": of_league(baselines.previous_race),
+    "quali_metrics": of_league(quali_metrics),
+    "qgap_training_frame": of_league(qgap_training_frame),
+    "with_grids": of_league(lambda h: form.with_grids(form.grid_features(h), h.filter("no % 7 <> 0").select(*RACE, "driver", F.col("quali").alias("slot")), "slot")),
     "eligible_years_at": of_league(eligible_years_at),
     "serving_features": of_league(lambda h: serving.features_at(h, entry_lists(h)).select("list", *RACE, "driver", *SERVED)),
     "session_ingest": session_ingest,

@@ -181,3 +181,18 @@ def test_elo_shrinks_teams_harder_at_a_new_era(spark):
     late = 1 - 1 / (1 + 10 ** (-2 * 0.75 * (d + t) / 400))
     want = {1994: (0, 0), 1995: (d * 0.75, t * 0.3), 1996: (d * 0.75, t * 0.75), 1998: ((d * 0.75 + 30 * late) * 0.75, (t * 0.75 + 50 * late) * 0.3)}
     assert {y: pytest.approx(w) for y, w in want.items()} == got
+
+
+def test_a_history_unfit_for_features_is_refused(spark):
+    good = [row(2022, 1, d) for d in "ab"]
+    assert form.usable_history(frame(spark, [*good, row(2022, 2, "a", race_ok=False)])).count() == 2
+    for bad, fault in (([row(2022, 1, "a")], "listed twice"), ([row(2022, 2, "c", race_ok=None)], "without race_ok"), ([row(2022, None, "c")], "without a key")):
+        with pytest.raises(ValueError, match=fault):
+            form.usable_history(frame(spark, good + bad))
+
+
+def test_other_grids(spark):
+    given = form.grid_features(frame(spark, [row(2022, 1, d, grid=g) for d, g in (("a", 1.0), ("b", 0.0), ("c", 3.0), ("d", 2.0))]))
+    slots = spark.createDataFrame([(2022, 1, "a", 2.5), (2022, 1, "b", 1.0), (2022, 1, "d", 0.0)], "year int, round int, driver string, slot double")
+    got = {r.driver: (r.grid, r.grid_pit_lane, r.grid_frac) for r in form.with_grids(given, slots, "slot").collect()}
+    assert got == {"a": (2.5, 0.0, 0.625), "b": (1.0, 0.0, 0.25), "c": (3.5, 0.0, 0.875), "d": (3.5, 1.0, 0.875)}
