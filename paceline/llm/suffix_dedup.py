@@ -310,6 +310,8 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
         group: list[dict] = []
         for batch in batches:
             for r in batch.to_pylist():
+                if group and all(r[c] == group[-1][c] for c in ("anchor", "a", "b", "first")):
+                    continue  # of an equal row that another task fetched
                 if group and r["anchor"] != group[0]["anchor"]:
                     held += trimmed(group, length)
                     group = []
@@ -340,6 +342,28 @@ def _by_windows(edges: DataFrame, length: int) -> DataFrame:
     return windows.filter("n = 1").join(often, ["w", "w2"], "left_semi").select("a", "b", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
+def contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of the wanted runs. Rows equal in (a, b) would all give the same: each task fetches them of one row only."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("first", pa.int32()), ("left", pa.int32()), ("context", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part, got = batch.slice(at, 128), []
+                for i, row in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                    if row in seen:
+                        continue
+                    seen.add(row)
+                    data = part.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+                    got += [(*row, x["anchor"], x["n"], x["kinds"], x["first"], x["extent"] & 511, data[x["first"] : x["first"] + (x["extent"] >> 9) + length]) for x in part.column("runs")[i].as_py()]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], schema=schema)
+
+    fetched = texts.join(wanted, ["a", "b"]).select("a", "b", "text", "runs")
+    return fetched.mapInArrow(run, "a long, b long, anchor long, n long, kinds long, first int, left int, context binary")
+
+
 def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs with n_bytes, n_removed, n_spans and kept (the bytes that are left)."""
     if not 2 * GRAM <= length <= 512:
@@ -360,21 +384,8 @@ def dedup(docs: DataFrame, length: int = 200, text: str = "text", key: str = "do
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
     edges = kinds.join(groups.select("anchor", "kinds"), "anchor")
     wanted = edges.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "n", "kinds", "first", "extent")).alias("runs"))
-    held_text = texts.join(wanted, ["a", "b"])  # of repeated rows each gives the same contexts
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64()), ("first", pa.int32()), ("left", pa.int32()), ("context", pa.binary())])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                got = []
-                for r in batch.slice(at, 128).to_pylist():
-                    data = r["text"].encode("utf-8", "surrogatepass")
-                    got += [(r["a"], r["b"], x["anchor"], x["n"], x["kinds"], x["first"], x["extent"] & 511, data[x["first"] : x["first"] + (x["extent"] >> 9) + length]) for x in r["runs"]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], schema=schema)
-
-    fetched = held_text.mapInArrow(contexts, "a long, b long, anchor long, n long, kinds long, first int, left int, context binary")
-    fetched = cut(fetched)
-    few = fetched.filter(F.col("kinds") <= MOST).repartition("anchor").sortWithinPartitions("anchor")
+    fetched = cut(contexts(texts, wanted, length))
+    few = fetched.filter(F.col("kinds") <= MOST).repartition("anchor").sortWithinPartitions("anchor", "a", "b", "first")
     parts = _by_suffixes(few.select("anchor", "n", "a", "b", "first", "left", "context"), length)
     parts = parts.unionByName(_by_windows(fetched.filter(F.col("kinds") > MOST), length))
     spans = whole.unionByName(parts).groupBy("a", "b").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
