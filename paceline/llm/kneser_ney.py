@@ -13,6 +13,10 @@ All documents are in the model, so none of their n-grams is missing there. A doc
 perplexity per word. A language's band is its median plus and minus `spread` robust standard deviations, which widen
 for short documents as the error of a mean of few words does; documents outside are rejected.
 
+Documents are read twice, to count and to score, and chunks are numbered by the partition and place of their rows. Both
+reads deal files into partitions by the settings and cores that the first one found, so executors that are lost or gained
+between them change no chunk.
+
 Size: the order is the same at every size, and no task, nor the driver, holds the model; a task holds one chunk, or
 one text if that is longer.
 
@@ -23,13 +27,14 @@ empty table gives an empty result; columns named like the added ones are replace
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,6 +244,32 @@ def fit(docs: DataFrame, order: int = 4, text: str = "text", lang: str = "lang")
     return Arrays(order, gathered(probs, "logp"), gathered(weights, "logg"))
 
 
+#: What Spark deals files and rows into partitions by.
+SPLITS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.maxPartitionNum", "spark.sql.leafNodeDefaultParallelism")
+
+
+def same_splits(spark: SparkSession) -> Callable[[], AbstractContextManager]:
+    """A context in which a scan gives the partitions that it gives now, though executors come or go meanwhile, or settings
+    change: without it their number follows from the cores that are there when a job starts."""
+    now = {k: spark.conf.get(k, None) for k in SPLITS}
+    now[SPLITS[-1]] = now[SPLITS[-1]] or str(spark.sparkContext.defaultParallelism)
+    now[SPLITS[2]] = now[SPLITS[2]] or now[SPLITS[-1]]
+
+    @contextmanager
+    def held() -> Iterator[None]:
+        before = {k: spark.conf.get(k, None) for k in SPLITS}
+        put = lambda k, v: spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for k, v in now.items():
+            put(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                put(k, v)
+
+    return held
+
+
 def packed(held: DataFrame, text: str) -> DataFrame:
     """chunk, rows: the documents of each chunk of `counted`, all columns, as one compressed Arrow stream."""
     most = CHUNK
@@ -281,7 +312,9 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str, kept: list[str]
         raise ValueError("n-grams of 1 to 4 symbols fit in 64 bits")
     if "Exchange" in held._jdf.queryExecution().executedPlan().toString():
         held = cut(held)
-    parts = cut(counted(held, order, text, lang))
+    as_first_read = same_splits(held.sparkSession)
+    with as_first_read():
+        parts = cut(counted(held, order, text, lang))
     top = cut(totals(parts))
     p = model(top, order, drops=True)[2]
     drop(top)
@@ -323,7 +356,8 @@ def scored_by(held: DataFrame, order: int, text: str, lang: str, kept: list[str]
                     out.append(pa.RecordBatch.from_arrays([*batch.select(kept).columns, *added], names=schema.names))
         return pa.Table.from_batches(out)
 
-    out = cut(packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema))
+    with as_first_read():
+        out = cut(packed(held, text).groupBy("chunk").cogroup(answers.select("chunk", "lang", "code", "logp").groupBy("chunk")).applyInArrow(score, schema))
     drop(parts, p)
     return out
 
@@ -379,12 +413,19 @@ def rules(docs: DataFrame, spread: float = 6.0, order: int = 4, text: str = "tex
 
 def banded(scored: DataFrame, least: float = 0.02) -> DataFrame:
     """(l, mid, far, per_word) for each language, from the documents that pass the base rules: the median surprise,
-    the robust deviation from it, and the robust deviation times the root of the words."""
+    the robust deviation from it, and the robust deviation times the root of the words.
+
+    Values are counted at four decimals first, so that a median is exact on them, the same in every run, and its state
+    grows with the values that there are and not with the documents.
+    """
     ok = scored.filter(~F.col("base_failed") & F.col("surprise").isNotNull())
-    mid = ok.groupBy("k").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("mid")).withColumnRenamed("k", "l")
-    off = ok.join(mid, F.col("k").eqNullSafe(F.col("l"))).withColumn("off", F.abs(F.col("surprise") - F.col("mid")) * 1.4826)
-    return off.groupBy("l").agg(
-        F.first("mid").alias("mid"),
-        F.greatest(F.percentile_approx("off", 0.5, 10_000), F.lit(least)).alias("far"),
-        F.percentile_approx(F.col("off") * F.sqrt("n_words"), 0.5, 10_000).alias("per_word"),
-    )
+
+    def median(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        counts = rows.groupBy("k", F.round(value, 4).alias("x")).agg(F.count("*").alias("n"))
+        return counts.groupBy("k").agg(F.percentile("x", F.lit(0.5), F.col("n")).alias(name)).withColumnRenamed("k", "l")
+
+    mid = cut(median(ok, F.col("surprise"), "mid"))
+    off = ok.join(mid, F.col("k").eqNullSafe(F.col("l"))).drop("l").withColumn("off", F.abs(F.col("surprise") - F.col("mid")) * 1.4826)
+    far, per_word = median(off, F.col("off"), "far"), median(off, F.col("off") * F.sqrt("n_words"), "per_word")
+    same = lambda other: mid.l.eqNullSafe(other.l)
+    return mid.join(far, same(far)).join(per_word, same(per_word)).select(mid.l, "mid", F.greatest("far", F.lit(least)).alias("far"), "per_word")
