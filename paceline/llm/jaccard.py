@@ -46,6 +46,7 @@ WORDS = 100_000
 GATHERED = 4_000_000
 SIG_MASK = -1
 MOST_CLASHES = 1000
+PER_FILE = 250_000  # labels in a file of a round's table
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -375,12 +376,13 @@ def components(links: DataFrame) -> DataFrame:
     """(v, label): for each end of a link (x, y) the least end that it reaches."""
     both = cut(links.select("x", "y").union(links.select("y", "x")).distinct())
     held = cut(both.groupBy(F.col("x").alias("v")).agg(F.least(F.first("x"), F.min("y")).alias("label")).withColumn("old", F.lit(None).cast("long")))
+    files = 1 + held.count() // PER_FILE  # every round's table has as many rows
     while True:
         labels = held.select("v", "label")
         near = both.join(labels.select(F.col("v").alias("y"), "label"), "y").groupBy(F.col("x").alias("v")).agg(F.min("label").alias("near"))
         new = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("v").alias("mid"), F.col("label").alias("far"))
-        new = cut(new.join(jump, "mid", "left").select("v", F.least("mid", "far").alias("label"), "old"))
+        new = cut(new.join(jump, "mid", "left").select("v", F.least("mid", "far").alias("label"), "old").coalesce(files))
         drop(held)
         held = new
         if new.filter("label < old").isEmpty():
