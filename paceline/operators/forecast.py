@@ -93,6 +93,23 @@ def probabilities(raw: DataFrame, n_sims: int = 20_000, sigma: float = 0.8, gamm
     return raw.join(simulated, [*RACE, "driver"])
 
 
+def report(history: DataFrame, seasons: tuple[int, ...] | None = None, n_sims: int = 20_000, sigma: float = 0.8, gamma: float = 0.5) -> DataFrame:
+    """simulation.score_report of walk-forward forecasts, with real and with predicted grids (column mode).
+
+    The forecasts meet the chances by slot that each season's fold learned from those before it, and equal chances.
+    """
+    actual, out = simulation.outcomes(history), None
+    for mode, predicted in (("grid", False), ("predicted_grid", True)):
+        raw = kept(collect(history, seasons, predicted_grid=predicted))
+        keys = (*RACE, "driver")
+        slots = raw.select(*keys, *(F.col(f"base_p_{e}").alias(f"p_{e}") for e in simulation.EVENTS), F.col("base_p_dnf").alias("p_dnf"))
+        equal = simulation.uniform_probabilities(raw).join(slots.select(*keys, "p_dnf"), list(keys))
+        given = {"forecast": probabilities(raw, n_sims, sigma, gamma), "grid_prior": slots, "uniform": equal}
+        part = simulation.score_report(given, actual, "forecast").withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def forecast(history: DataFrame, entries: DataFrame, predicted_grid: bool = False, n_sims: int = 20_000, sigma: float = 0.8, gamma: float = 0.5, seed: int = 0) -> DataFrame:
     """year, round, driver, grid, p_win, p_podium, p_top10, p_dnf, expected_place of one event's entrants.
 

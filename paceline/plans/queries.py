@@ -289,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relevance_labels": of_league(lambda h: h.filter("position IS NOT NULL").select(*RACE, "driver", evaluation.relevance(F.col("position")).alias("relevance"))),
     "walk_forward_forecasts": of_league(forecast.collect),
     "walk_forward_predicted_grid": of_league(lambda h: forecast.collect(h, predicted_grid=True)),
+    "forecast_report": of_league(lambda h: forecast.report(h, (1998, 1999), 1000)),
     "race_forecast": of_league(last_event_forecast),
     "tuned_ridge": of_league(lambda h: forecast.tune(h, "ridge", DEVELOPMENT)),
     "tuned_elo": of_league(lambda h: forecast.tune(h, "elo", DEVELOPMENT)),

@@ -108,3 +108,16 @@ def test_every_batch_of_an_ingest_is_counted(spark, tmp_path):
     spark.range(0, 120, 1, 120).write.parquet(source)
     assert ingest_available(spark, source, "id bigint", target, state, files_per_batch=1) == spark.read.parquet(target).count() == 120
     assert spark.conf.get("spark.sql.streaming.numRecentProgressUpdates") == "100"
+
+
+def test_report_scores_forecasts_in_both_modes(history):
+    got = {(r.mode, r.event, r.model): r for r in forecast.report(history, (1998,), 300).collect()}
+    assert len(got) == 2 * 4 * 3
+    raw = forecast.collect(history, (1998,), predicted_grid=True).toPandas()
+    p = raw.base_p_podium.clip(1e-3, 1 - 1e-3)
+    known = raw[raw.position.notna()].index
+    loss = -np.where(raw.position <= 3, np.log(p), np.log(1 - p))
+    mean = np.mean([loss[known.intersection(x.index)].mean() for _, x in raw.groupby(["year", "round"])])
+    row = got["predicted_grid", "podium", "grid_prior"]
+    assert row.logloss == pytest.approx(mean, abs=1e-9) and row.best_baseline is None
+    assert all(got[m, e, "forecast"].best_baseline in ("grid_prior", "uniform") for m in ("grid", "predicted_grid") for e in ("win", "podium", "top10", "dnf"))
