@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paceline.sources.championship import RAW_SQL
-from paceline.sources.league import LEAGUE_SQL
+from paceline.sources.league import LEAGUE_SQL, WIDE_LEAGUE_SQL
 
 
 def rounded(*columns: str) -> str:
@@ -420,3 +420,10 @@ ORACLE_SQL: dict[str, str] = {
     "named_results": f"{L}{RAW_SQL} SELECT year, round, session, code, position FROM rres WHERE session <> 'Qualifying'",
     "races_that_count": f"{L} SELECT DISTINCT year, round FROM league WHERE race_ok",
 }
+
+#: Queries that run on the wide league, too.
+ON_WIDE = {
+    "wide_history": "history_table", "wide_driver_form": "driver_form", "wide_team_form": "team_form", "wide_circuit_history": "circuit_history", "wide_eligible_years": "eligible_circuit_years",
+    "wide_grid_features": "grid_features", "wide_mean_last5": "baseline_mean_last5", "wide_race_metrics": "race_metrics", "wide_leaderboard": "leaderboard",
+}
+ORACLE_SQL |= {wide: ORACLE_SQL[name].replace(LEAGUE_SQL, WIDE_LEAGUE_SQL) for wide, name in ON_WIDE.items()}

@@ -12,7 +12,7 @@ from paceline.functions import scalars
 from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, rulebook, serving, sessions, simulation, walkforward
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
-from paceline.sources.league import league, table
+from paceline.sources.league import league, table, wide_league
 from paceline.sources.scratch import shared_dir, written
 from paceline.streaming import store
 
@@ -30,6 +30,11 @@ def of_league(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
     return lambda spark, sf_dir: r6(build(league(spark, sf_dir)))
 
 
+def of_wide(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """On the league that grows with the tables, which is written once, as most queries read it several times."""
+    return lambda spark, sf_dir: r6(build(written(wide_league(spark, sf_dir))))
+
+
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.laps(table(spark, sf_dir, "events"))
 
@@ -306,6 +311,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "boosted_trees": ranker("boosted"),
     "forest_walk_forward": ranker("forest"),
     "plackett_luce_steps": of_league(plackett_luce_steps),
+    "wide_history": of_wide(lambda h: h),
+    "wide_driver_form": of_wide(form.driver_form),
+    "wide_team_form": of_wide(form.team_form),
+    "wide_circuit_history": of_wide(circuits.circuit_history),
+    "wide_eligible_years": of_wide(circuits.eligible_years),
+    "wide_grid_features": of_wide(form.grid_features),
+    "wide_mean_last5": of_wide(baselines.mean_last5),
+    "wide_race_metrics": of_wide(metrics),
+    "wide_leaderboard": of_wide(lambda h: evaluation.leaderboard(metrics(h), "previous")),
+    "wide_ridge": of_wide(lambda h: harness.walk_forward_scores(h, ("ridge",))),
     "build_history": lambda spark, sf_dir: assembly.ordered(r6(built(spark, sf_dir))),
     "elo_by_circuit": of_league(lambda h: models.elo(h, by="circuit")),
     "session_audit": lambda spark, sf_dir: r6(audited(spark, sf_dir)),

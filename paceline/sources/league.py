@@ -1,7 +1,7 @@
 """A competition's fact table, derived from the star schema: one row per entrant and event.
 
-An event is a month (year, round); entrants are nations and their teams regions. Results follow from the orders of
-the month: total price sets the finishing position, the number of orders the grid slot, the largest order the
+An event is a month (year, round); entrants are nations and their teams regions. In the wide league, which grows with
+the tables, events are days, entrants customers and teams nations. Results follow from the orders of the event: total price sets the finishing position, the number of orders the grid slot, the largest order the
 qualifying position. Some cells are unknown or zero by rule, so that missing results, pit-lane starts and unusable
 events occur.
 """
@@ -28,6 +28,18 @@ def race_ok(year: Column, rnd: Column) -> Column:
 
 
 def league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in months: 25 entrants at most, and as many events, at every scale."""
+    keys = [F.month("o_orderdate").alias("round"), F.col("n_nationkey").alias("no"), F.col("n_name").alias("driver"), F.col("r_name").alias("team")]
+    return _results(spark, sf_dir, keys, "N", 6)
+
+
+def wide_league(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in days, with their nations as teams: entrants, fields and histories grow with the scale."""
+    keys = [F.dayofyear("o_orderdate").alias("round"), F.col("c_custkey").alias("no"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("driver"), F.col("n_name").alias("team")]
+    return _results(spark, sf_dir, keys, "C", 24)
+
+
+def _results(spark: SparkSession, sf_dir: str, keys: list[Column], prefix: str, circuits: int) -> DataFrame:
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     o = (
@@ -35,9 +47,8 @@ def league(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    keys = [F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("round"), F.col("n_nationkey").alias("no")]
     price = F.col("o_totalprice")
-    g = o.groupBy(*keys, F.col("n_name").alias("driver"), F.col("r_name").alias("team")).agg(
+    g = o.groupBy(F.year("o_orderdate").alias("year"), *keys).agg(
         F.round(F.sum(price), 2).alias("s"), F.count("*").alias("n"), F.max(price).alias("m"), F.min(price).alias("lo"),
         F.sum((F.col("o_orderstatus") == "F").cast("int")).alias("f"),
     )
@@ -51,7 +62,7 @@ def league(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = F.coalesce(F.element_at(F.array(*map(F.lit, POINTS)), F.least(position, F.lit(10.0)).cast("int")), F.lit(0))
     mean = F.col("s") / F.col("n")
     h = g.select(
-        "year", "round", "no", "driver", F.concat(F.lit("N"), no.cast("string")).alias("code"), "team", ((r - 1) % 6).alias("circuit"),
+        "year", "round", "no", "driver", F.concat(F.lit(prefix), no.cast("string")).alias("code"), "team", ((r - 1) % circuits).alias("circuit"),
         F.when((y + r * 7 + no) % 41 != 0, position).alias("position"),
         F.when((y * 12 + r + no) % 37 == 0, F.lit(0.0)).otherwise(slot("n")).alias("grid"),
         slot("m").alias("quali"),
@@ -98,3 +109,9 @@ WITH o AS (
         CASE WHEN n > 3 THEN (mean / min(mean) OVER (PARTITION BY year, round) - 1) * 100 END AS fp_last_gap
     FROM ranked
 )"""
+
+#: The same of customers in days.
+WIDE_LEAGUE_SQL = (
+    LEAGUE_SQL.replace("month(o_orderdate)", "dayofyear(o_orderdate)").replace("n_nationkey AS no", "c_custkey AS no").replace("n_name AS driver, r_name AS team", "'C' || c_custkey AS driver, n_name AS team")
+    .replace("'N' || no AS code", "'C' || no AS code").replace("(round - 1) % 6 AS circuit", "(round - 1) % 24 AS circuit")
+)
