@@ -78,6 +78,13 @@ def sessions(schedule: DataFrame) -> DataFrame:
     return long.filter(F.col("start").isNotNull() & (F.trim("name") != "")).withColumn("kind", session_kind(F.col("name")))
 
 
+def in_utc(schedule: DataFrame, zone: str = "zone") -> DataFrame:
+    """The schedule with starts in UTC. zone: a column with the name or the offset of each event's zone; starts are local
+    times of it, and those of an event without a zone are taken as UTC."""
+    starts = [c for c in schedule.columns if c.startswith("start")]
+    return schedule.withColumns({c: F.to_utc_timestamp(c, F.coalesce(zone, F.lit("UTC"))) for c in starts}).drop(zone)
+
+
 def earlier_sessions(schedule: DataFrame, target: str = "qualifying") -> DataFrame:
     """The sessions that start strictly before the target session of their event."""
     long = sessions(schedule)

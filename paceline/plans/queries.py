@@ -19,7 +19,8 @@ from paceline.streaming import store
 RACE = form.RACE
 DEVELOPMENT = (1997, 1998)
 SERVED = ("drv_finish_l5", "drv_n_l5", "drv_dnf_l10", "team_finish_l5", "circ_drv_finish", "circ_drv_n", "circ_n_years", "season_round", "grid")
-NOW = "2024-02-20 12:00:00"
+NOW = "1998-02-20 12:00:00"
+ZONES = ("+00:00", "+02:00", "-05:00", "+09:00", "-03:00", "+10:00")  # of the circuits
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -78,7 +79,9 @@ def team_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def schedule_query(build) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = build(sessions.calendar(spark), F.to_timestamp(F.lit(NOW)))
+        zone = F.element_at(F.array(*map(F.lit, ZONES)), F.col("circuit") + 1)
+        schedule = sessions.in_utc(championship.schedule(spark, sf_dir).withColumn("zone", zone))
+        out = build(schedule, F.to_timestamp(F.lit(NOW)))
         return out.select("year", "round", "slot", "name", "kind", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
     return query

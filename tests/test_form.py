@@ -196,3 +196,14 @@ def test_other_grids(spark):
     slots = spark.createDataFrame([(2022, 1, "a", 2.5), (2022, 1, "b", 1.0), (2022, 1, "d", 0.0)], "year int, round int, driver string, slot double")
     got = {r.driver: (r.grid, r.grid_pit_lane, r.grid_frac) for r in form.with_grids(given, slots, "slot").collect()}
     assert got == {"a": (2.5, 0.0, 0.625), "b": (1.0, 0.0, 0.25), "c": (3.5, 0.0, 0.875), "d": (3.5, 1.0, 0.875)}
+
+
+def test_starts_in_utc(spark):
+    """Zones with offsets and with summer time, and none; sessions finish by UTC."""
+    at = "2024-07-05 10:00:00"
+    rows = [(1, "+02:00"), (2, "America/New_York"), (3, None)]
+    schedule = spark.createDataFrame(rows, "round int, zone string").selectExpr("2024 AS year", "round", "zone", *(f"'Practice {i}' AS session{i}" for i in range(1, 6)), *(f"timestamp'{at}' AS start{i}" for i in range(1, 6)))
+    got = {r["round"]: r.start1.hour for r in sessions.in_utc(schedule).collect()}
+    assert got == {1: 8, 2: 14, 3: 10}
+    done = sessions.finished_sessions(sessions.in_utc(schedule), F.lit("2024-07-05 16:00:00").cast("timestamp"))
+    assert {r["round"] for r in done.select("round").distinct().collect()} == {1, 3}
