@@ -89,15 +89,20 @@ def feature_columns(df: DataFrame, target: str, optional: tuple[str, ...] = (),
     return out
 
 
-def feature_table(history: DataFrame, target: str = "finish", optional: tuple[str, ...] = (), half_life: int | None = None, with_grid: bool = True) -> DataFrame:
-    """Keys and features of the target, all with their stages."""
+def all_features(history: DataFrame, stages: tuple[str, ...]) -> DataFrame:
+    """Keys and every feature of these stages, marked. For those who then take from it what a target may know."""
     out = mark(history.select(*KEYS), "key")
-    for stage in allowed(target, optional):
-        if stage == "post_quali" and not with_grid:
-            continue
+    for stage in (s for s in ORDER if s in stages and s in BUILDERS):
         for build in BUILDERS[stage]:
             part = mark(build(history), stage)
             out = out.join(part, [c for c in KEYS if c in part.columns], "left")
+    return out
+
+
+def feature_table(history: DataFrame, target: str = "finish", optional: tuple[str, ...] = (), half_life: int | None = None, with_grid: bool = True) -> DataFrame:
+    """Keys and features of the target, all with their stages."""
+    stages = tuple(s for s in allowed(target, optional) if with_grid or s != "post_quali")
+    out = all_features(history, stages)
     return checked(out.select(*KEYS, *feature_columns(out, target, optional, half_life, with_grid)), target, optional)
 
 

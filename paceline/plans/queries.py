@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import scalars
-from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, rulebook, serving, sessions, simulation, walkforward
+from paceline.operators import assembly, audit, baselines, circuits, dimensions, evaluation, folds, forecast, form, harness, models, rulebook, serving, sessions, simulation, walkforward, zoo
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table, wide_league
@@ -306,6 +306,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quali_metrics": of_league(quali_metrics),
     "qgap_training_frame": of_league(qgap_training_frame),
     "with_grids": of_league(lambda h: form.with_grids(form.grid_features(h), h.filter("no % 7 <> 0").select(*RACE, "driver", F.col("quali").alias("slot")), "slot")),
+    "qualifying_board": of_league(lambda h: zoo.board(h, "qualifying_after_practice", ("ridge", "plackett_luce"))),
+    "race_before_qualifying_board": of_league(lambda h: zoo.board(h, "race_before_qualifying", ("ridge", "pairwise"))),
+    "tuned_features": of_league(lambda h: zoo.tune_features(h, "ridge", DEVELOPMENT)),
+    "tuned_trees": of_league(lambda h: zoo.tune_trees(h, DEVELOPMENT, rounds=3)),
     "eligible_years_at": of_league(eligible_years_at),
     "serving_features": of_league(lambda h: serving.features_at(h, entry_lists(h)).select("list", *RACE, "driver", *SERVED)),
     "session_ingest": session_ingest,
