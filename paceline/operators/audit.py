@@ -23,7 +23,13 @@ def audit_kind(name: Column) -> Column:
 
 
 def audit(markers: DataFrame, results: DataFrame, laps: DataFrame, least: int = LEAST_RESULTS, most: int = MOST_RESULTS) -> DataFrame:
-    """A row per marker, whether or not there are results or laps. Lap 1 is not judged, as it is often untimed."""
+    """A row per marker, whether or not there are results or laps. Lap 1 is not judged, as it is often untimed.
+
+    Markers tell how many rows there are of weather and, if they have that column, of the track's status; those of one
+    that can't be read tell nothing.
+    """
+    if "track_status_rows" not in markers.columns:
+        markers = markers.withColumn("track_status_rows", F.lit(0).cast("long"))
     r = results.groupBy(*KEYS).agg(
         F.count("*").alias("results_rows"), F.sum(F.col("position").isNull().cast("long")).alias("results_null_position"),
         (F.count("*") - F.countDistinct("code")).alias("results_dup_drivers"), F.sum((F.col("position") == 1).cast("long")).alias("winners"),
@@ -31,7 +37,7 @@ def audit(markers: DataFrame, results: DataFrame, laps: DataFrame, least: int =
     judged = F.when(F.col("lap") != 1, F.col("seconds").isNull().cast("double"))
     t = laps.groupBy(*KEYS).agg(F.count("*").alias("laps_rows"), F.countDistinct("code").alias("laps_drivers"), F.avg(judged).alias("laptime_null_frac"))
     x = markers.join(r, list(KEYS), "left").join(t, list(KEYS), "left").fillna(0, ["results_rows", "results_null_position", "results_dup_drivers", "winners", "laps_rows", "laps_drivers"])
-    x = x.withColumn("kind", audit_kind(F.col("session"))).withColumn("weather_rows", F.when(F.col("unreadable"), 0).otherwise(F.col("weather_rows")))
+    x = x.withColumn("kind", audit_kind(F.col("session"))).withColumns({c: F.when(F.col("unreadable"), 0).otherwise(F.coalesce(c, F.lit(0))) for c in ("weather_rows", "track_status_rows")})
     race, some, untimed = F.col("kind") == "race", F.col("results_rows") > 0, F.col("laptime_null_frac")
     driven = F.col("laps_rows") > 0
     flags = F.array_compact(F.array(
@@ -50,7 +56,7 @@ def audit(markers: DataFrame, results: DataFrame, laps: DataFrame, least: int =
     clear = lambda bad: F.size(F.array_intersect("found", F.array(*map(F.lit, bad)))) == 0
     missing = F.when(F.col("unreadable"), "").otherwise(F.array_join("missing", ","))
     return x.select(
-        *KEYS, "kind", "results_rows", "results_null_position", "results_dup_drivers", "laps_rows", "laps_drivers", "laptime_null_frac", "weather_rows", missing.alias("missing_tables"),
+        *KEYS, "kind", "results_rows", "results_null_position", "results_dup_drivers", "laps_rows", "laps_drivers", "laptime_null_frac", "weather_rows", "track_status_rows", missing.alias("missing_tables"),
         F.array_join("found", ",").alias("flags"), clear(RESULT_FLAGS).alias("results_ok"), clear(LAP_FLAGS).alias("laps_ok"), clear(("no_weather",)).alias("weather_ok"),
     )
 

@@ -250,7 +250,7 @@ SESSION_AUDIT = RAW_SQL + """, ar AS (
 ), ax AS (
     SELECT year, round, session, CASE WHEN session IN ('Race', 'Sprint') THEN 'race' WHEN session LIKE '%Qualifying%' THEN 'qualifying' ELSE 'practice' END AS kind,
         coalesce(results_rows, 0) AS results_rows, coalesce(results_null_position, 0) AS results_null_position, coalesce(results_dup_drivers, 0) AS results_dup_drivers, coalesce(winners, 0) AS winners,
-        coalesce(laps_rows, 0) AS laps_rows, coalesce(laps_drivers, 0) AS laps_drivers, laptime_null_frac AS u, unreadable, CASE WHEN unreadable THEN 0 ELSE weather_rows END AS weather_rows, CASE WHEN unreadable THEN '' ELSE missing_tables END AS missing_tables
+        coalesce(laps_rows, 0) AS laps_rows, coalesce(laps_drivers, 0) AS laps_drivers, laptime_null_frac AS u, unreadable, CASE WHEN unreadable THEN 0 ELSE weather_rows END AS weather_rows, CASE WHEN unreadable THEN 0 ELSE track_rows END AS track_status_rows, CASE WHEN unreadable THEN '' ELSE missing_tables END AS missing_tables
     FROM rmk LEFT JOIN ar USING (year, round, session) LEFT JOIN al USING (year, round, session)
 ), sa AS (
     SELECT *, list_filter([CASE WHEN unreadable THEN 'unreadable_marker' END, CASE WHEN results_rows NOT BETWEEN 18 AND 25 THEN 'unusual_result_rows' END, CASE WHEN results_dup_drivers > 0 THEN 'duplicate_drivers' END,
@@ -258,7 +258,7 @@ SESSION_AUDIT = RAW_SQL + """, ar AS (
         CASE WHEN laps_rows = 0 THEN 'no_laps' END, CASE WHEN laps_rows > 0 AND kind = 'race' AND (u IS NULL OR u > 0.25) THEN 'many_null_laptimes' END, CASE WHEN laps_rows > 0 AND kind = 'race' AND u > 0.05 AND u <= 0.25 THEN 'some_untimed_laps' END,
         CASE WHEN laps_rows > 0 AND laps_drivers < results_rows - 2 THEN 'laps_missing_drivers' END, CASE WHEN weather_rows = 0 THEN 'no_weather' END], lambda f: f IS NOT NULL) AS f FROM ax
 ), sv AS (
-    SELECT year, round, session, kind, results_rows, results_null_position, results_dup_drivers, laps_rows, laps_drivers, round(u, 6) AS laptime_null_frac, weather_rows, missing_tables, array_to_string(f, ',') AS flags,
+    SELECT year, round, session, kind, results_rows, results_null_position, results_dup_drivers, laps_rows, laps_drivers, round(u, 6) AS laptime_null_frac, weather_rows, track_status_rows, missing_tables, array_to_string(f, ',') AS flags,
         NOT list_has_any(f, ['unusual_result_rows', 'duplicate_drivers', 'many_null_positions', 'no_single_winner', 'unreadable_marker']) AS results_ok,
         NOT list_has_any(f, ['no_laps', 'many_null_laptimes', 'laps_missing_drivers', 'unreadable_marker']) AS laps_ok, NOT list_contains(f, 'no_weather') AS weather_ok FROM sa
 )"""

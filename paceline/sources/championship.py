@@ -67,12 +67,14 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marker of each session that laps or results tell of: year, round, session, weather_rows, missing, unreadable."""
-    known = laps(spark, sf_dir).select(*KEYS).union(results(spark, sf_dir).select(*KEYS)).distinct()
+    """A marker of each session that laps or results tell of: year, round, session, weather_rows, track_status_rows, missing,
+    unreadable."""
+    driven = laps(spark, sf_dir).groupBy(*KEYS).agg(F.count_if(F.col("track") == "2").alias("track_status_rows"))
+    known = driven.join(results(spark, sf_dir).select(*KEYS).distinct(), list(KEYS), "full").fillna(0, ["track_status_rows"])
     readings = weather(spark, sf_dir).groupBy("year", "round").agg(F.count("*").alias("n"))
     dry = (F.col("year") + F.col("round") * 5) % 11 == 0
     return known.join(readings, ["year", "round"], "left").select(
-        *KEYS, F.when(dry, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("weather_rows"), F.when(dry, F.array(F.lit("weather"))).otherwise(F.array().cast("array<string>")).alias("missing"),
+        *KEYS, F.when(dry, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("weather_rows"), "track_status_rows", F.when(dry, F.array(F.lit("weather"))).otherwise(F.array().cast("array<string>")).alias("missing"),
         ((F.col("year") * 12 + F.col("round")) % 29 == 0).alias("unreadable"),
     )
 
@@ -99,6 +101,7 @@ RAW_SQL = """, ln AS (
     UNION ALL SELECT year, round, 'Sprint', code, quali FROM league WHERE round % 3 = 0
 ), rmk AS (
     SELECT k.*, CAST(CASE WHEN (k.year + k.round * 5) % 11 = 0 THEN 0 ELSE coalesce(n, 0) END AS BIGINT) AS weather_rows, CASE WHEN (k.year + k.round * 5) % 11 = 0 THEN 'weather' ELSE '' END AS missing_tables,
-        (k.year * 12 + k.round) % 29 = 0 AS unreadable
+        (k.year * 12 + k.round) % 29 = 0 AS unreadable, coalesce(tn, 0) AS track_rows
     FROM (SELECT year, round, session FROM rlaps UNION SELECT year, round, session FROM rres) k LEFT JOIN (SELECT year, round, count(*) AS n FROM ln GROUP BY year, round) w USING (year, round)
+    LEFT JOIN (SELECT year, round, session, count(*) FILTER (track = '2') AS tn FROM rlaps GROUP BY ALL) t USING (year, round, session)
 )"""
