@@ -57,12 +57,16 @@ def seconds(nanoseconds: str):
 
 
 def write_marker(path: str, year: int, rnd: int, session: str, counts: dict[str, int], missing: list[str], at: str) -> None:
-    """Marks a session as done. To be called last, so that an interrupted session is done again."""
-    target = Path(path)
-    target.mkdir(parents=True, exist_ok=True)
-    part = target / f".{year}_{rnd}_{session}.tmp"
-    part.write_text(json.dumps({"counts": counts, "missing": missing, "ingested_at": at}))
-    part.rename(target / f"{year}_{rnd}_{session}.json")
+    """Marks a session as done, in whichever file system the path names. To be called last, so that an interrupted session
+    is done again; the marker appears whole, by a rename."""
+    spark = SparkSession.active()
+    part, target = (spark._jvm.org.apache.hadoop.fs.Path(path, name) for name in (f".{year}_{rnd}_{session}.tmp", f"{year}_{rnd}_{session}.json"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(json.dumps({"counts": counts, "missing": missing, "ingested_at": at}).encode())
+    out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

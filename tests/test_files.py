@@ -55,3 +55,16 @@ def test_scalars(spark):
     t = spark.createDataFrame([("São Paulo -- GP", "1\n"), ("__A b", "R"), (None, None)], "a string, b string")
     got = [tuple(r) for r in t.select(scalars.circuit_id(F.col("a")), scalars.slugify(F.col("a")), scalars.dnf_flag(F.col("b"))).collect()]
     assert got == [("sao_paulo_gp", "s_o_paulo_gp", True), ("a_b", "a_b", True), (None, None, True)]
+
+
+def test_markers_replace_one_another(spark, tmp_path):
+    path = f"file://{tmp_path}/done"
+    for n in (1, 2):
+        files.write_marker(path, 2024, 1, "race", {"laps": n}, [], "now")
+    assert [r.counts for r in files.read_ledger(spark, path).collect()] == [{"laps": 2}]
+
+
+def test_spans_of_time_and_expectations(spark):
+    t = spark.createDataFrame([(1_500_000_000, 0.0), (None, 400.0), (-250_000_000, -400.0)], "ns long, d double")
+    got = t.select(files.seconds("ns").alias("s"), scalars.elo_expectation(F.col("d")).alias("e")).collect()
+    assert [r.s for r in got] == [1.5, None, -0.25] and [r.e for r in got] == pytest.approx([0.5, 1 / 11, 10 / 11])

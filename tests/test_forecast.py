@@ -83,7 +83,7 @@ def test_probabilities_keep_the_models_chance_to_retire(history):
     assert out.p_dnf.to_dict() == raw.toPandas().set_index("driver").p_dnf.to_dict() and abs(out.p_top10.sum() - 10) < 1e-9
 
 
-def test_tuning_takes_the_first_of_the_best(history):
+def test_tuning_takes_the_first_of_the_best(spark, history):
     table = models.rows(history).toPandas()
     seasons, means = (1997, 1998), []
     actual = {(r.year, r.round, r.driver): r.position for r in table.itertuples() if r.position == r.position}
