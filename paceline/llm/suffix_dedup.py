@@ -308,10 +308,13 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
             held.clear()
 
         group: list[dict] = []
+        before = None
         for batch in batches:
             for r in batch.to_pylist():
-                if group and all(r[c] == group[-1][c] for c in ("anchor", "a", "b", "first")):
+                this = r["anchor"], r["a"], r["b"], r["first"]
+                if this == before:
                     continue  # of an equal row that another task fetched
+                before = this
                 if group and r["anchor"] != group[0]["anchor"]:
                     held += trimmed(group, length)
                     group = []
@@ -350,13 +353,15 @@ def contexts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                part, got = batch.slice(at, 128), []
-                for i, row in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
-                    if row in seen:
-                        continue
+                part = batch.slice(at, 128)
+                new = []
+                for row in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                    new.append(row not in seen)
                     seen.add(row)
-                    data = part.column("text")[i].as_py().encode("utf-8", "surrogatepass")
-                    got += [(*row, x["anchor"], x["n"], x["kinds"], x["first"], x["extent"] & 511, data[x["first"] : x["first"] + (x["extent"] >> 9) + length]) for x in part.column("runs")[i].as_py()]
+                got = []
+                for r in part.filter(pa.array(new, pa.bool_())).to_pylist():
+                    data = r["text"].encode("utf-8", "surrogatepass")
+                    got += [(r["a"], r["b"], x["anchor"], x["n"], x["kinds"], x["first"], x["extent"] & 511, data[x["first"] : x["first"] + (x["extent"] >> 9) + length]) for x in r["runs"]]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), schema.types, strict=True)], schema=schema)
 
