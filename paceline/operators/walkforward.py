@@ -67,13 +67,12 @@ def season_sums(table: DataFrame, names: tuple[str, ...], y: str) -> dict[int, n
     """By season, the sums of products of Sums over the rows that may be learned from: one aggregation."""
     f = len(names)
     x = [F.coalesce(number(c), F.lit(0.0)) for c in names] + [number(c).isNull().cast("double") for c in names] + [F.lit(1.0), F.col(y).cast("double")]
-    z = table.filter(usable(y)).select("year", *(v.alias(f"z{i}") for i, v in enumerate(x)))
-    pairs = [(i, j) for i in range(2 * f + 2) for j in range(i, 2 * f + 2)]
-    out = {}
-    for r in z.groupBy("year").agg(*(F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs)).collect():
-        p = out[r.year] = np.zeros((2 * f + 2, 2 * f + 2))
-        for i, j in pairs:
-            p[i, j] = p[j, i] = r[f"p{i}_{j}"]
+    z = table.filter(usable(y)).select("year", F.array(*x).alias("z"))
+    # a row for each factor that isn't 0, so that there is a sum for each other factor and not for each pair
+    own = z.select("year", "z", F.posexplode("z").alias("i", "factor")).filter("factor <> 0")
+    out: dict[int, np.ndarray] = {}
+    for r in own.groupBy("year", "i").agg(*(F.sum(F.col("factor") * F.get("z", F.lit(j))).alias(f"p{j}") for j in range(2 * f + 2))).collect():
+        out.setdefault(r.year, np.zeros((2 * f + 2, 2 * f + 2)))[r.i] = [r[f"p{j}"] for j in range(2 * f + 2)]
     return out
 
 

@@ -306,7 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quali_metrics": of_league(quali_metrics),
     "qgap_training_frame": of_league(qgap_training_frame),
     "with_grids": of_league(lambda h: form.with_grids(form.grid_features(h), h.filter("no % 7 <> 0").select(*RACE, "driver", F.col("quali").alias("slot")), "slot")),
-    "qualifying_board": of_league(lambda h: zoo.board(h, "qualifying_after_practice", ("ridge", "plackett_luce"))),
+    "qualifying_board": of_league(lambda h: zoo.board(h, "qualifying_after_practice", ("ridge",))),
     "race_before_qualifying_board": of_league(lambda h: zoo.board(h, "race_before_qualifying", ("ridge", "pairwise"))),
     "tuned_features": of_league(lambda h: zoo.tune_features(h, "ridge", DEVELOPMENT)),
     "tuned_trees": of_league(lambda h: zoo.tune_trees(h, DEVELOPMENT, rounds=3)),
