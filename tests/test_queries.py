@@ -11,6 +11,8 @@ from tests.compare import connect, rows
 SF = "/root/testdata/sf0.001"
 #: Tens of millions of draws; test_assembly compares their operators with brute force on small fields.
 LARGE = {"outcome_probabilities", "noise_grid_search"}
+#: Parts of walk_forward_metrics, and what test_zoo runs; they take long to start many small jobs.
+ELSEWHERE = {"lambdarank_scores", "boosted_trees", "forest_walk_forward", "tuned_trees", "qualifying_board"}
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     ours, theirs = QUERIES[name](spark, SF).toPandas(), connect(SF).sql(ORACLE_SQL[name]).df()
@@ -18,7 +20,7 @@ def test_sql(spark, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - LARGE))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - LARGE - ELSEWHERE))
 def test_rows(spark, name):
     assert not QUERIES[name](spark, SF).isEmpty()
 
