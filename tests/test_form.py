@@ -198,6 +198,12 @@ def test_best_lap_gap_above_a_best_of_zero(spark):
     assert got == {("2024-01-01", 1): "0.0", ("2024-01-01", 2): "20.0", ("2024-01-02", 1): "nan", ("2024-01-02", 2): "inf", ("2024-01-04", 1): "nan", ("2024-01-04", 2): "inf"}
 
 
+def test_quali_gap_above_a_best_of_zero(spark):
+    times = zero_laps(spark).select("session", "driver", F.col("seconds").alias("q1"), F.lit(None).cast("double").alias("q2"))
+    got = {(str(r.session), r.driver): str(r.quali_gap_pct) for r in sessions.quali_gap(times, "q1", "q2").collect()}
+    assert got == {("2024-01-01", 1): "0.0", ("2024-01-01", 2): "20.0", ("2024-01-02", 1): "nan", ("2024-01-02", 2): "inf", ("2024-01-04", 1): "nan", ("2024-01-04", 2): "inf"}
+
+
 def test_session_rules(spark):
     schedule = sessions.calendar(spark)
     early = {(r.round, r.name) for r in sessions.earlier_sessions(schedule).collect()}
