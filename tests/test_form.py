@@ -204,6 +204,12 @@ def test_quali_gap_above_a_best_of_zero(spark):
     assert got == {("2024-01-01", 1): "0.0", ("2024-01-01", 2): "20.0", ("2024-01-02", 1): "nan", ("2024-01-02", 2): "inf", ("2024-01-04", 1): "nan", ("2024-01-04", 2): "inf"}
 
 
+def test_weekend_table_of_sessions_with_a_best_of_zero(spark):
+    """NaN is the largest, as in SQL: it is an event's best gap only where there is no other."""
+    got = {(r.event, r.driver): (str(r.fp_best_gap), str(r.fp_last_gap), r.fp_n) for r in sessions.weekend_table(zero_laps(spark)).collect()}
+    assert got == {(0, 1): ("0.0", "nan", 2), (0, 2): ("20.0", "inf", 2), (1, 1): ("nan", "nan", 1), (1, 2): ("inf", "inf", 1)}
+
+
 def test_session_rules(spark):
     schedule = sessions.calendar(spark)
     early = {(r.round, r.name) for r in sessions.earlier_sessions(schedule).collect()}
