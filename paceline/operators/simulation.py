@@ -37,10 +37,14 @@ def _noise(field: DataFrame, n_sims: int, seed: int, draw, block: int = 250) ->
     """The random numbers of each entrant in each simulation: z (pace), u (retirement), v (order of the retired). They
     are draw(seed, event, simulation, entrant, name).
 
-    Simulations are dealt in blocks: a block of an event stays in one task, whose windows need no further shuffle.
+    Simulations are dealt in blocks: a block of an event stays in one task, whose windows need no further shuffle. The
+    number of tasks is given, as what is dealt is small and would be coalesced into one task, which then has all
+    simulations to sort.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_sims - 1) // block)))
-    dealt = field.withColumn("block", blocks).repartition(*RACE, "block")
+    n_blocks = (n_sims - 1) // block + 1
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    tasks = max(int(field.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * n_blocks)
+    dealt = field.withColumn("block", blocks).repartition(tasks, *RACE, "block")
     sims = dealt.withColumn("sim", F.explode(F.sequence(F.col("block") * block + 1, F.least(F.lit(n_sims), (F.col("block") + 1) * block))))
     key = [F.lit(seed), F.col("year"), F.col("round"), F.col("sim"), F.col("driver")]
     return sims.withColumn("z", normal(*key, F.lit("pace"), draw=draw)).withColumn("u", draw(*key, F.lit("dnf"))).withColumn("v", draw(*key, F.lit("order")))

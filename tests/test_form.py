@@ -174,6 +174,14 @@ def test_probabilities_sum(spark):
     assert list(p) == pytest.approx([1, 3, 10])
 
 
+def test_simulations_are_spread_over_tasks(spark):
+    """Not all in one, however small the field is before its simulations are dealt."""
+    events = [(2022, r, f"d{i:02}", float(i), 0.1) for r in range(1, 13) for i in range(1, 6)]
+    field = spark.createDataFrame(events, "year int, round int, driver string, score double, p_dnf double")
+    sizes = [r["count"] for r in simulation.simulate(field, 1000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 12 * 5 * 1000 and len(sizes) > 8 and max(sizes) <= sum(sizes) / 4
+
+
 def test_fit_total_is_the_fixed_point(spark):
     values = [0.9, 0.8, 0.5, 0.2, 0.1, 0.05]
     p = spark.createDataFrame([(2022, 1, f"d{i}", x) for i, x in enumerate(values)], "year int, round int, driver string, p double")
