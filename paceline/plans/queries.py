@@ -13,7 +13,7 @@ from paceline.operators import assembly, audit, baselines, circuits, dimensions,
 from paceline.plans.oracles import ORACLE_SQL  # noqa: F401
 from paceline.sources import championship
 from paceline.sources.league import league, table, wide_league
-from paceline.sources.scratch import shared_dir, written
+from paceline.sources.scratch import discard, shared_dir, written
 from paceline.streaming import store
 
 RACE = form.RACE
@@ -208,14 +208,16 @@ def eligible_years_at(history: DataFrame) -> DataFrame:
 
 def session_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sessions taken into a store in the shared folder; rows of each table as they are read back from it."""
-    laps, results = written(championship.laps(spark, sf_dir)), championship.results(spark, sf_dir)
-    weather = championship.weather(spark, sf_dir).filter((F.col("year") + F.col("round") * 5) % 11 != 0).withColumn("session", F.lit("Race"))
+    lines, facts = written(championship.lines(spark, sf_dir)), written(league(spark, sf_dir))  # joined once for all that follows
+    laps, results = championship.laps(spark, sf_dir, lines), championship.results(spark, sf_dir, facts)
+    weather = championship.weather(spark, sf_dir, lines).filter((F.col("year") + F.col("round") * 5) % 11 != 0).withColumn("session", F.lit("Race"))
     keys = list(store.KEYS)
     sessions = written(laps.select(*keys).union(results.select(*keys)).distinct())
     lacking = F.when(F.col("session") != "Race", "weather"), F.when(F.col("session") == "Sprint", "laps"), F.when(~F.col("session").isin("Race", "Qualifying", "Sprint"), "results")
     allowed = sessions.select(*keys, F.explode(F.array_compact(F.array(*lacking))).alias("table"))
     root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     out = store.ingest(spark, root, {"laps": laps, "results": results, "weather": weather}, sessions, allowed, {"laps": ("code",), "results": ("code",)})
+    discard(lines, facts, sessions)
     out = out.select(*keys, (F.size("refused") == 0).alias("done"), F.array_join("refused", "; ").alias("refused"))
     for name in ("laps", "results", "weather"):
         held = store.stored(spark, root, name).groupBy(*keys).agg(F.count("*").alias("n"))

@@ -14,11 +14,16 @@ from paceline.sources.league import NOT_A_RACE, league, table
 KEYS = ("year", "round", "session")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What laps and weather take from a line.
+LINE = ("year", "round", "code", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all orders with their event and entrant. Who needs both laps and weather may write them once."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     o = o.select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("round"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("code"))
-    return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE)
 
 
 def session_name(line: Column, rnd: Column) -> Column:
@@ -26,9 +31,10 @@ def session_name(line: Column, rnd: Column) -> Column:
     return F.when(line == 1, "Practice 1").when(line == 2, "Practice 2").when(line == 3, third).when(line == 4, "Qualifying").otherwise("Race")
 
 
-def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def laps(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Numbered laps. of: the lines, if they are written already."""
     key = F.col("l_orderkey")
-    x = _lines(spark, sf_dir).select(
+    x = (lines(spark, sf_dir) if of is None else of).select(
         "year", "round", session_name(F.col("l_linenumber"), F.col("round")).alias("session"), "code",
         F.when(key % 17 != 0, 60 + F.col("l_extendedprice") / 10000).alias("seconds"), (key % 19 != 0).alias("accurate"),
         F.when(F.col("l_returnflag") == "N", "2").otherwise("1").alias("track"), (F.col("l_partkey") % 23 == 0).alias("pit_in"), (F.col("l_suppkey") % 29 == 0).alias("pit_out"),
@@ -38,15 +44,16 @@ def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("lap", lap).drop("k", "i", "p")
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of each event."""
+def weather(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Readings of each event. of: the lines, if they are written already."""
     rain = F.col("l_returnflag") == "R"
-    return _lines(spark, sf_dir).select("year", "round", F.col("l_quantity").alias("air"), (F.col("l_tax") * 1000).alias("track"), (F.col("l_discount") * 1000).alias("humidity"), (F.col("l_extendedprice") / 1000).alias("wind"), rain.alias("rain"))
+    return (lines(spark, sf_dir) if of is None else of).select("year", "round", F.col("l_quantity").alias("air"), (F.col("l_tax") * 1000).alias("track"), (F.col("l_discount") * 1000).alias("humidity"), (F.col("l_extendedprice") / 1000).alias("wind"), rain.alias("rain"))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of races, of qualifying (not for all) and of sprints, with the columns that each has."""
-    h = league(spark, sf_dir)
+def results(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Results of races, of qualifying (not for all) and of sprints, with the columns that each has. of: the league, if it
+    is written already."""
+    h = league(spark, sf_dir) if of is None else of
     race = h.select("year", "round", F.lit("Race").alias("session"), "no", "driver", "code", "team", "position", "grid", "points", F.when(F.col("dnf"), "R").otherwise(F.coalesce(F.col("position").cast("int").cast("string"), F.lit("W"))).alias("classified"))
     quali = h.filter((F.col("year") + F.col("round") + F.col("no")) % 23 != 0).select("year", "round", F.lit("Qualifying").alias("session"), "no", "driver", "code", "team", F.col("quali").alias("position"), *(F.when((F.col("no") + i) % 5 != 0, 80 + F.col("quali_gap") - i / 8).alias(f"q{i}") for i in (1, 2, 3)))
     sprint = h.filter(F.col("round") % 3 == 0).select("year", "round", F.lit("Sprint").alias("session"), "no", "driver", "code", "team", F.col("quali").alias("position"))

@@ -109,6 +109,18 @@ def test_announced_sessions_as_a_stream(spark, tmp_path, delivered):
     assert sorted(r.round for r in store.ledger(spark, root).collect()) == [1, 2, 3]
 
 
+def test_the_query_joins_lines_and_facts_once(spark, monkeypatch):
+    """Laps, weather and the list of sessions come from the same written lines, all results from one league."""
+    from paceline.plans import queries
+    from paceline.sources import championship, league
+
+    read = []
+    for module in (championship, league):
+        monkeypatch.setattr(module, "table", lambda s, d, name, of=module.table: read.append(name) or of(s, d, name))
+    assert not queries.QUERIES["session_ingest"](spark, "/root/testdata/sf0.001").isEmpty()
+    assert read.count("lineitem") == 1 and read.count("orders") == 2
+
+
 # --- settled sessions
 
 
