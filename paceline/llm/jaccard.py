@@ -223,8 +223,9 @@ class Block:
         return found + lo
 
 
-def _lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
-    """The rows of each gram's list but the gram, from batches in which they stand together."""
+def _complete(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Columns, and where in them the lists of more than one entry begin and how long they are, from batches in which a
+    gram's entries stand together."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(size)]
@@ -232,13 +233,37 @@ def _lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.nda
             columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         cuts = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
         n = np.diff(np.r_[0, cuts])
-        for lo, m in zip(np.r_[0, cuts[:-1]][: len(n)], n, strict=True):
-            if m > 1:
-                yield [c[lo : lo + m] for c in columns]
+        starts = np.r_[0, cuts[:-1]][: len(n)]
+        if (n > 1).any():
+            yield columns, starts[n > 1], n[n > 1]
         last = cuts[-1] if len(cuts) else 0
         held = [c[last:] for c in columns]
     if held is not None and len(held[0]) > 1:
-        yield held
+        yield held, np.array([0]), np.array([len(held[0])])
+
+
+def _lists(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[np.ndarray]]:
+    """The rows of each gram's list, from batches in which they stand together."""
+    for columns, starts, lengths in _complete(batches, size):
+        for lo, m in zip(starts, lengths, strict=True):
+            yield [c[lo : lo + m] for c in columns]
+
+
+def _near_pairs(columns: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x the smaller, of all pairs within short lists that may be linked, as Block.near tells one by one."""
+    sig, size, pos, s0, s1 = columns
+    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    behind = np.repeat(lengths, lengths) - 1 - within
+    i = np.repeat(np.repeat(starts, lengths) + within, behind)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+    size, pos = size.astype(np.int64), pos.astype(np.int64)
+    a, b = size[i], size[j]
+    spare = np.minimum(pos[i], pos[j]) + np.minimum(a - pos[i], b - pos[j]) - least_shared(a, b, num, den)
+    ok = (spare >= 0) & (sig[i] != sig[j])
+    i, j, most = i[ok], j[ok], (a + b - 2 * least_shared(a, b, num, den))[ok]
+    apart = np.bitwise_count((s0[i] ^ s0[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s1[i] ^ s1[j]).view(np.uint64))
+    x, y = sig[i[apart <= most]], sig[j[apart <= most]]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("gram", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
@@ -263,24 +288,24 @@ def _first_round(entries: DataFrame, num: int, den: int) -> DataFrame:
                 yield _rows([none, none, *columns], PAIRS)
                 large.clear()
 
-        for columns in _lists(batches, 6):
-            block = Block(columns[1:], num, den)
-            n = len(block.sig)
-            attached = np.zeros(n, bool)
-            for i in range(n):
-                if n > FEW and attached[i]:
-                    continue
-                for j in block.near(i):
-                    if n > FEW:
+        for columns, starts, lengths in _complete(batches, 6):
+            short = lengths <= FEW
+            if short.any():
+                found.update(zip(*(v.tolist() for v in _near_pairs(columns[1:], starts[short], lengths[short], num, den)), strict=True))
+            for lo, n in zip(starts[~short], lengths[~short], strict=True):
+                own = [c[lo : lo + n] for c in columns]
+                block = Block(own[1:], num, den)
+                attached = np.zeros(n, bool)
+                for i in range(n):
+                    if attached[i]:
+                        continue
+                    for j in block.near(i):
                         attached[j] = True
                         found.add((int(block.sig[i]), int(block.sig[j])))
-                    elif j > i:
-                        a, b = int(block.sig[i]), int(block.sig[j])
-                        found.add((min(a, b), max(a, b)))
-            # a leader has met its whole list, and so has an entry that none may be linked with
-            if attached.sum() > 1:
-                again = block.order[attached]
-                large.append([c[again] for c in columns])
+                # a leader has met its whole list, and so has an entry that none may be linked with
+                if attached.sum() > 1:
+                    again = block.order[attached]
+                    large.append([c[again] for c in own])
             if len(found) > 100_000 or sum(len(c[0]) for c in large) > 100_000:
                 yield from out()
         yield from out()

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -563,6 +564,29 @@ def test_words_that_collide_in_polynomial_hashes(spark):
     assert [x.component_id for x in got] == [0, 1]
 
 
+def test_pairs_of_short_lists_at_once_are_those_of_each_entry():
+    """Ten thousand lists of 2 to 16 entries; all at once takes no Python step by entry."""
+    rng = np.random.default_rng(7)
+    for num in (80, 90):
+        lengths = rng.integers(2, jaccard.FEW + 1, 10_000)
+        starts, total = np.cumsum(lengths) - lengths, int(lengths.sum())
+        size = rng.integers(5, 40, total).astype(np.int32)
+        pos = np.minimum(rng.integers(0, 6, total), size - 1).astype(np.int32)
+        sketch = np.int64(1) << rng.integers(0, 62, total)
+        columns = [rng.integers(0, 5000, total), size, pos, sketch, np.roll(sketch, 1)]
+        began = time.process_time()
+        got = set(zip(*(v.tolist() for v in jaccard._near_pairs(columns, starts, lengths, num, 100)), strict=True))
+        took = time.process_time() - began
+        want, began = set(), time.process_time()
+        for lo, m in zip(starts, lengths, strict=True):
+            block = jaccard.Block([c[lo : lo + m] for c in columns], num, 100)
+            for i in range(m):
+                want |= {(int(min(block.sig[i], block.sig[j])), int(max(block.sig[i], block.sig[j]))) for j in block.near(i) if j > i}
+        slow = time.process_time() - began
+        print(len(want), took, slow)
+        assert got == want and want and took < slow / 3
+
+
 def test_clashing_fingerprints_are_told_apart(spark, monkeypatch):
     texts = near_copies(1, prose(11, 150), 10, 2) + [prose(i, 60) for i in range(20, 40)] + ["", "one two", "One  two", None]
     monkeypatch.setattr(jaccard, "SIG_MASK", 3)
