@@ -106,15 +106,15 @@ def pending_sessions(schedule: DataFrame, ledger: DataFrame, now: Column) -> Dat
 def weekend_table(laps: DataFrame, gap_days: int = 3) -> DataFrame:
     """Practice before each session of an event, the days of one event being gap_days in a row.
 
-    fp_n counts the sessions with data, the same for all drivers; the last gap is that of the last such session only.
+    fp_n counts the sessions with data, the same for all drivers; the last gap is that of the last such session only. Laps without
+    a day are an event of their own, a null one, without sessions: it has best gaps only.
     """
     start = F.lit("2024-01-01").cast("date")
     best = best_lap_gap(laps).withColumn("event", F.floor(F.datediff("session", start) / gap_days).cast("int"))
     event = Window.partitionBy("event")
-    out = best.withColumn("final", F.max("session").over(event))
-    n = best.groupBy("event").agg(F.countDistinct("session").cast("int").alias("fp_n"))
-    per = out.groupBy("event", "driver").agg(F.min("best_gap_pct").alias("fp_best_gap"), F.max(F.when(F.col("session") == F.col("final"), F.col("best_gap_pct"))).alias("fp_last_gap"))
-    return per.join(n, "event")
+    out = best.withColumn("final", F.max("session").over(event)).withColumn("n", F.size(F.collect_set("session").over(event)))
+    last = F.when(F.col("session") == F.col("final"), F.col("best_gap_pct"))
+    return out.groupBy("event", "driver").agg(F.min("best_gap_pct").alias("fp_best_gap"), F.max(last).alias("fp_last_gap"), F.max("n").alias("fp_n"))
 
 
 def audit(laps: DataFrame) -> DataFrame:

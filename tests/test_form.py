@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators import circuits, dimensions, evaluation, form, models, sessions, simulation
+from paceline.plans import queries
+from paceline.plans.oracles import ORACLE_SQL
+from tests import compare
 
 #: name, type, and what a row has unless a test says otherwise
 FIELDS = [
@@ -218,6 +222,19 @@ def test_weekend_table_of_sessions_with_a_best_of_zero(spark):
     assert got == {(0, 1): ("0.0", "nan", 2), (0, 2): ("20.0", "inf", 2), (1, 1): ("nan", "nan", 1), (1, 2): ("inf", "inf", 1)}
 
 
+def test_weekend_table_of_laps_without_a_day(spark, tmp_path):
+    """They are a row for each driver, as in the SQL, not left out."""
+    day = F.when(F.col("id") % 4 > 0, F.timestamp_add("HOUR", (F.col("id") * 7).cast("int"), F.to_timestamp_ntz(F.lit("2024-01-01 00:30:00"))))
+    driver = F.when(F.col("id") % 23 > 0, F.col("id") % 3)
+    events = spark.range(1, 60).select(F.col("id").alias("event_id"), day.alias("ts"), driver.alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 1.5).alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["weekend_table"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert compare.rows(got) == compare.rows(con.sql(ORACLE_SQL["weekend_table"]).df())
+    assert sorted(got[got.event.isna()].fp_n) == [0, 0, 0] and got[got.event.isna()].fp_last_gap.isna().all()
+
+
 def test_session_rules(spark):
     schedule = sessions.calendar(spark)
     early = {(r.round, r.name) for r in sessions.earlier_sessions(schedule).collect()}
