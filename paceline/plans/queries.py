@@ -24,7 +24,12 @@ ZONES = ("+00:00", "+02:00", "-05:00", "+09:00", "-03:00", "+10:00")  # of the c
 
 
 def r6(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Rounded as the SQL rounds: the double scaled, rounded half away from zero and scaled back; one that overflows stays."""
+    def rounded(x: str):
+        by_scale = F.round(F.col(x) * 1e6) / 1e6
+        return F.when(F.abs(by_scale) < float("inf"), by_scale).otherwise(F.col(x)).alias(x)
+
+    return df.select(*(rounded(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def of_league(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

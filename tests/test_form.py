@@ -222,6 +222,27 @@ def test_weekend_table_of_sessions_with_a_best_of_zero(spark):
     assert got == {(0, 1): ("0.0", "nan", 2), (0, 2): ("20.0", "inf", 2), (1, 1): ("nan", "nan", 1), (1, 2): ("inf", "inf", 1)}
 
 
+def test_quali_gap_above_a_tiny_best_is_rounded_as_in_sql(spark, tmp_path):
+    """Of gaps above a nanosecond's fraction six places are beyond a double's digits; values are compared exactly."""
+    value = F.when(F.col("id") % 40 == 1, F.col("id") * 1e-10).otherwise(F.col("id") * 0.37)
+    events = spark.range(1, 800).select(F.col("id").alias("event_id"), F.to_timestamp_ntz(F.lit("2024-01-01 10:00:00")).alias("ts"), F.col("id").alias("user_id"), F.lit("view").alias("event_type"), value.alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.driver: (r.best, r.quali_gap_pct) for r in queries.QUERIES["quali_gap"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {d: (b, g) for d, b, g in con.sql(f"SELECT driver, best, quali_gap_pct FROM ({ORACLE_SQL['quali_gap']})").fetchall()}
+    assert max(g for _, g in want.values()) > 1e10 and got == want
+
+
+def test_rounding_is_that_of_sql(spark):
+    ties = [i / 2e6 for i in range(1, 20_000)] + [-i / 2e6 for i in range(1, 2_000, 2)] + [1e14 / i for i in range(1, 20_000)]
+    odd = [None, float("inf"), float("-inf"), 0.0, 1e305, -1e308, 5e-324]
+    x = spark.createDataFrame([(v,) for v in ties + odd], "x double").coalesce(1)
+    got = [r.x for r in queries.r6(x).collect()]
+    assert got == [v for (v,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [ties + odd]).fetchall()]
+    assert str(queries.r6(spark.createDataFrame([(float("nan"),)], "x double")).first().x) == "nan"
+
+
 def test_weekend_table_of_laps_without_a_day(spark, tmp_path):
     """They are a row for each driver, as in the SQL, not left out."""
     day = F.when(F.col("id") % 4 > 0, F.timestamp_add("HOUR", (F.col("id") * 7).cast("int"), F.to_timestamp_ntz(F.lit("2024-01-01 00:30:00"))))
